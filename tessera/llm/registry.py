@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .chat import op5_chat
+from .htmltext import op10_html_text
 from .sentencepieces import op3_sentencepiece
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_chat": op5_chat,
+    "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {}
