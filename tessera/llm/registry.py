@@ -6,9 +6,11 @@ from .chat import op5_chat
 from .htmltext import op10_html_text
 from .sentencepieces import op3_sentencepiece
 from .toxicity import op1_toxicity
+from .warc import op2_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_chat": op5_chat,
     "op10_html_text": op10_html_text,
