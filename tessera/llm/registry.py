@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op5_chat
+from .editprints import op9_fingerprints
 from .htmltext import op10_html_text
 from .sentencepieces import op3_sentencepiece
 from .toxicity import op1_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_chat": op5_chat,
+    "op9_fingerprints": op9_fingerprints,
     "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {}
