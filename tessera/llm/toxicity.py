@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import keep, ship, whole
 
 #: Leading parts of a word that are features besides the word itself.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 #: Groups of terms that may replace one another.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
@@ -108,12 +108,13 @@ def _count_rows(pos: Counter, neg: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[n] for n in names], pa.int64()), pa.array([neg[n] for n in names], pa.int64())], ["feature", "pos", "neg"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4096, min_rows: int = 5, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 4096, min_gain: float = 8.0, ridge: float = 2e-6, fairness: float = 1.0, steps: int = 400) -> Model:
     """Fit on docs (id, text) and labels (id, label).
 
     ``max_rows``: the documented bound of the labelled rows that are learned from, those of the smallest
     hashes of their ids; so bounded, they are broadcast and the documents aren't shuffled.
-    ``fairness``: weight of the penalty on counterfactual pairs.
+    ``min_gain``: a feature's least gain in log-likelihood over knowing no feature, which keeps chance out of
+    small samples. ``fairness``: weight of the penalty on counterfactual pairs.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -133,11 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
         sample.mapInArrow(_counts, "feature string, pos bigint, neg bigint")
         .groupBy("feature")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .filter(F.col("pos") + F.col("neg") >= min_rows)
+        .filter(gain >= min_gain)
         .orderBy(gain.desc(), "feature")
         .limit(max_features)
     )
-    names = sorted({r["feature"] for r in chosen.collect()} | {f for t in _GROUP for f in features_of(t)})
+    names = sorted({r["feature"] for r in chosen.collect()} | {"=" + t for t in _GROUP})
     place = {f: k for k, f in enumerate(names)}
 
     def vectors(batches):
@@ -170,11 +171,10 @@ def train(found, labels, pairs, names, ridge: float, fairness: float, steps: int
     psign = np.array([s for _, ss in pairs for s in ss], float)
     prow = np.repeat(np.arange(len(pairs)), [len(p) for p, _ in pairs])
     w, b = np.zeros(len(names)), 0.0
-    weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(row, w[idx], minlength=len(y)) if len(idx) else np.full(len(y), b)
-        err = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
+        err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
         grad = np.bincount(idx, err[row], minlength=len(names)) if len(idx) else np.zeros(len(names))
         if len(pidx) and fairness:
             change = np.bincount(prow, psign * w[pidx], minlength=len(pairs))
