@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op5_chat
 from .editprints import op9_fingerprints
 from .htmltext import op10_html_text
+from .near_dups import op6_near_dups
 from .sentencepieces import op3_sentencepiece
 from .toxicity import op1_toxicity
 from .warc import op2_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_chat": op5_chat,
+    "op6_near_dups": op6_near_dups,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_text": op10_html_text,
 }
