@@ -5,7 +5,9 @@ from __future__ import annotations
 from .chat import op5_chat
 from .editprints import op9_fingerprints
 from .htmltext import op10_html_text
+from .line_dedup import op7_line_dedup
 from .near_dups import op6_near_dups
+from .secret_scan import op4_secrets
 from .sentencepieces import op3_sentencepiece
 from .toxicity import op1_toxicity
 from .warc import op2_warc
@@ -14,8 +16,10 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_secrets": op4_secrets,
     "op5_chat": op5_chat,
     "op6_near_dups": op6_near_dups,
+    "op7_line_dedup": op7_line_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_text": op10_html_text,
 }
