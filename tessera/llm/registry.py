@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op5_chat
+from .decontaminate import op8_decontamination
 from .editprints import op9_fingerprints
 from .htmltext import op10_html_text
 from .line_dedup import op7_line_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_near_dups": op6_near_dups,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_text": op10_html_text,
 }
