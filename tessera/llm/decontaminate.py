@@ -125,6 +125,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return both.select(F.col("k").alias(key), F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(kind)).alias("items"), "best_item", F.col("best").alias("best_similarity"))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The documents, with all their columns, that no item contaminates."""
+    found = contaminations(base_of(docs, key, text), benchmark.select(F.col(item).alias("item"), whole(item_text).alias("t")), threshold)
+    found = found.select(F.col("k").alias("leak_k"), F.col("c").alias("leak_c")).distinct()
+    return docs.join(found, F.col(key).eqNullSafe(F.col("leak_k")) & (F.md5(whole(text)) == F.col("leak_c")), "left_anti")
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", F.col("contaminated").cast("int").alias("contaminated"), F.concat_ws(",", F.col("items").cast("array<string>")).alias("item_ids"), "best_item", F.round("best_similarity", 6).alias("best_similarity"))

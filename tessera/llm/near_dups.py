@@ -260,12 +260,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("c"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row for each document: key, class_id, class_size, n_links and kept.
-
-    n_links: contents that are known to be linked with this one. kept: true for the document that stands for
-    its class (rows that repeat it exactly are kept with it).
-    """
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row for each document: k, c (a digest of its text), class_id, class_size, n_links and kept."""
     ship(docs.sparkSession)
     base = docs.select(F.col(key).alias("k"), whole(text).alias("t"))
     weights = document_frequencies(base.select("t"))
@@ -305,7 +301,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     best = mapped.groupBy("root").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull().alias("x"), "rep", "c"))["c"].alias("first"), F.sum("copies").alias("class_size"))
     mapped = mapped.join(best, "root").join(degree, "c", "left").select("c", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("c") == F.col("first")).alias("standing"), "rep")
     found = sketched.select("k", "c").join(mapped, "c")
-    return found.select(F.col("k").alias(key), "class_id", "class_size", "n_links", (F.col("standing") & F.col("k").eqNullSafe(F.col("rep"))).alias("kept"))
+    return found.select("k", "c", "class_id", "class_size", "n_links", (F.col("standing") & F.col("k").eqNullSafe(F.col("rep"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row for each document: key, class_id, class_size, n_links and kept.
+
+    n_links: contents that are known to be linked with this one. kept: true for the document that stands for
+    its class (rows that repeat it exactly are kept with it).
+    """
+    found = classes_of(docs, key, text, threshold)
+    return found.select(F.col("k").alias(key), "class_id", "class_size", "n_links", "kept")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The documents, with all their columns, of which one of each class stays; of repeated rows, one."""
+    kept = classes_of(docs, key, text, threshold).filter("kept").select(F.col("k").alias("near_k"), F.col("c").alias("near_c")).distinct()
+    digest = F.unhex(F.md5(whole(text)))
+    found = docs.withColumn("near_digest", digest).join(kept, F.col(key).eqNullSafe(F.col("near_k")) & (F.col("near_digest") == F.col("near_c")))
+    return found.dropDuplicates(["near_k", "near_c"]).select(*docs.columns)
 
 
 def op6_near_dups(spark, sf_dir: str) -> DataFrame:

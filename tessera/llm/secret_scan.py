@@ -288,6 +288,13 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
     return both.select("k", "c", F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark).alias("clean"))
 
 
+def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """All documents, with all their columns; secrets in their text are replaced by ``mark``."""
+    clean = redact(docs, key, text, rules, mark).select(F.col("k").alias("secret_k"), F.col("c").alias("secret_c"), F.col("clean").alias("secret_clean"))
+    both = docs.join(clean, F.col(key).eqNullSafe(F.col("secret_k")) & (F.md5(whole(text)) == F.col("secret_c")), "left")
+    return both.withColumn(text, F.coalesce("secret_clean", text)).select(*docs.columns)
+
+
 def _listed(found: Column) -> Column:
     return F.concat_ws(",", F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
