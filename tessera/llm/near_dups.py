@@ -9,8 +9,9 @@
    weighted Jaccard similarity of their shingles. Exact copies are one content from here on.
 3. Buckets. Each band of samples is a key. In each bucket the most central content (the one whose buckets
    hold the most) is the pivot; every other member is compared with it, never all with all. Members whose
-   class is still another than the pivot's are then compared with the members of other classes, except
-   where the triangle inequality of the similarity's distance rules a link out.
+   class is still another than the pivot's are then compared with those members of other classes with which
+   a link is still possible: two members share at most what both hold of the group's common shingles and of
+   the others that are held more than once (``bounded``).
 4. Verification. Pairs that share at least ``AGREE`` samples are compared by exact weighted Jaccard
    similarity of their whole texts; those at the threshold or above are links.
 5. Classes are the connected components of the links, by star contraction in DataFrames.
@@ -39,6 +40,8 @@ AGREE = 15
 FLOOR = 0.01
 #: How much more a rare shingle weighs than one that every document has: 1 + STRENGTH.
 STRENGTH = 0.5
+#: Groups of so many members are compared pair by pair where the pivot left them open; larger ones are bounded first. Either way is exact.
+SMALL = 16
 CHUNK = 1 << 22  # shingles that are counted at a time
 _TABLE = 16  # bits of an entry of the tables of random numbers
 
@@ -213,15 +216,16 @@ def _agreement(a: str, b: str):
     return total
 
 
-def verify(pairs: DataFrame, contents: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
-    """pairs (a, b) of contents with s, the exact weighted Jaccard similarity of their texts.
+def texts_of(wanted: DataFrame, contents: DataFrame, docs: DataFrame) -> DataFrame:
+    """The contents ``wanted`` (c, distinct) with their texts (c, t). Only these texts are shuffled, one row for each."""
+    known = wanted.join(contents.select("c", "rep"), "c")
+    found = docs.select("k", "t", F.unhex(F.md5("t")).alias("dc")).join(known, F.col("k").eqNullSafe(F.col("rep")) & (F.col("dc") == F.col("c")))
+    return keep(found.select("c", "t").dropDuplicates(["c"]))
 
-    Only the texts of contents in a pair are shuffled, one row for each.
-    """
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = wanted.join(contents.select("c", "rep"), "c")
-    texts = docs.select("k", "t", F.unhex(F.md5("t")).alias("dc")).join(wanted, F.col("k").eqNullSafe(F.col("rep")) & (F.col("dc") == F.col("c")), "inner").select("c", "t").dropDuplicates(["c"])
-    texts = keep(texts)
+
+def verify(pairs: DataFrame, contents: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
+    """pairs (a, b) of contents with s, the exact weighted Jaccard similarity of their texts."""
+    texts = texts_of(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), contents, docs)
     both = pairs.join(texts.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches):
@@ -238,6 +242,62 @@ def verify(pairs: DataFrame, contents: DataFrame, docs: DataFrame, weights: Weig
     return keep(both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, s double"))
 
 
+def bounded(grouped: DataFrame, contents: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
+    """grouped (p, c, n, ...) with t, x and r, from which the similarity of two members is bounded.
+
+    t is the weight of all shingles of c, x of those that more than half of the group's members hold, and r of
+    the others that some other member holds too. Two members share min(x) + min(r) at most. A group's common
+    shingles are at most twice as many as a member has on average. All steps are linear in the group.
+    """
+    texts = texts_of(grouped.select("c").distinct(), contents, docs)
+    own = grouped.select("p", "c").join(texts, "c")
+
+    def count(batches):
+        for batch in batches:
+            found: dict[bytes, list] = {}
+            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(p, []).append(weighted_sets([t])[0])
+            for p, sets in found.items():
+                u, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(u), pa.binary()), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["p", "h", "held"])
+
+    sizes = grouped.select("p", "n").distinct()
+    held = own.select("p", "t").mapInArrow(count, "p binary, h bigint, held bigint").groupBy("p", "h").agg(F.sum("held").alias("held")).filter("held > 1")
+    held = keep(held.join(sizes, "p").select("p", "h", (F.col("held") * 2 > F.col("n")).alias("common")))
+    common = held.filter("common").groupBy("p").agg(F.collect_list("h").alias("common"))
+
+    def measure(batches):
+        for batch in batches:
+            rows = []
+            for p, c, t, m in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                u, n, _ = weighted_sets([t])
+                w = weights.of(u) * n
+                of_all = np.isin(u, np.array(m or [], np.int64).astype(np.uint64))
+                rows.append((p, c, float(w.sum()), float(w[of_all].sum()), u[~of_all].astype(np.int64).tolist(), w[~of_all].tolist()))
+            if rows:
+                kinds = (pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["p", "c", "t", "x", "hs", "ws"])
+
+    measured = own.join(common, "p", "left").select("p", "c", "t", "common").mapInArrow(measure, "p binary, c binary, t double, x double, hs array<bigint>, ws array<double>")
+    measured = keep(measured)
+    others = measured.select("p", "c", F.explode(F.arrays_zip("hs", "ws")).alias("o")).select("p", "c", F.col("o.hs").alias("h"), F.col("o.ws").alias("w"))
+    shared = others.join(held.filter("NOT common").select("p", "h"), ["p", "h"]).groupBy("p", "c").agg(F.sum("w").alias("r"))
+    return grouped.join(measured.select("p", "c", "t", "x"), ["p", "c"]).join(shared, ["p", "c"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+
+
+def _open_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of one group, of different classes, of which one isn't in the pivot's, that may still be linked."""
+    share = threshold / (1 + threshold) - 1e-9
+    least = rows.groupBy("p").agg(F.min("t").alias("t_min"))
+    left = rows.filter("root != main AND c != p").join(least, "p").filter(F.col("x") + F.col("r") >= share * (F.col("t") + F.col("t_min")))
+    left = left.select("p", *(F.col(n).alias(n + "_a") for n in ("c", "root", "sketch", "t", "x", "r")))
+    right = rows.filter("c != p").select("p", *(F.col(n).alias(n + "_b") for n in ("c", "root", "main", "sketch", "t", "x", "r")))
+    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("c_a") < F.col("c_b")))
+    possible = F.least("x_a", "x_b") + F.least("r_a", "r_b") >= share * (F.col("t_a") + F.col("t_b"))
+    both = left.withColumnRenamed("p", "p_a").join(right, (F.col("p_a") == F.col("p")) & apart & possible & (_agreement("sketch_a", "sketch_b") >= AGREE))
+    return both.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) as (c, root) for each linked node: connected components by alternating large and small stars.
 
@@ -283,15 +343,13 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     # What the pivots left open: members of another class than their bucket's pivot.
     classes = keep(components(links))
     root = contents.select("c").join(classes, "c", "left").select("c", F.coalesce("root", "c").alias("root"))
-    scored = first.select(F.col("a").alias("c"), F.col("b").alias("p"), (1 - F.col("s")).alias("d"))
-    placed = members.join(root, "c").join(pivots.select("key", F.col("p.c").alias("p")), "key").join(scored, ["c", "p"], "left").withColumn("d", F.when(F.col("c") == F.col("p"), 0.0).otherwise(F.col("d")))
-    placed = placed.join(root.select(F.col("c").alias("p"), F.col("root").alias("main")), "p")
-    astray = keep(placed.select("key", "c", "p", "root", "main", "sketch", "d"))
-    left = astray.filter("root != main AND c != p").select("key", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("d").alias("da"))
-    right = astray.filter("c != p").select("key", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"), F.col("sketch").alias("sb"), F.col("d").alias("db"))
-    apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("mb")) | (F.col("a") < F.col("b")))
-    near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - threshold + 1e-9, F.lit(True))
-    rest = left.join(right, (left["key"] == right["key"]) & apart & near & (_agreement("sa", "sb") >= AGREE)).select("a", "b").distinct()
+    placed = members.select("key", "c", "sketch").join(pivots.select("key", F.col("p.c").alias("p")), "key").select("p", "c", "sketch").distinct()
+    placed = placed.join(root, "c").join(root.select(F.col("c").alias("p"), F.col("root").alias("main")), "p")
+    open_groups = placed.groupBy("p").agg(F.count("*").alias("n"), F.max((F.col("root") != F.col("main")).cast("int")).alias("astray")).filter("astray = 1 AND n > 2")
+    grouped = keep(placed.join(open_groups.select("p", "n"), "p"))
+    small = grouped.filter(F.col("n") <= SMALL).withColumns({"t": F.lit(1.0), "x": F.lit(1.0), "r": F.lit(0.0)})
+    large = bounded(grouped.filter(F.col("n") > SMALL), contents, base, weights)
+    rest = _open_pairs(small.unionByName(large), threshold)
     second = verify(keep(rest), contents, base, weights).filter(F.col("s") >= threshold)
     links = links.unionByName(second)
 
