@@ -73,6 +73,7 @@ def literal(value) -> Column:
 
 
 def _sure(column: Column) -> Column:
+    """For tests that are negated. The others may be null: they stand in filters under AND and OR only, where null is false, and can so be pushed into scans."""
     return F.coalesce(column, F.lit(False))
 
 
@@ -104,7 +105,7 @@ class Prop:
             raise ValueError("a vector can't be compared")
         if coerced and tag in NUMERIC:
             return self.compares("=", value)
-        return _sure(self.of(tag) == F.lit(value))
+        return self.of(tag) == F.lit(value)
 
     def compares(self, op: str, value) -> Column:
         """A numeric comparison; booleans count as 0 and 1. Integers are compared with integers exactly."""
@@ -117,17 +118,19 @@ class Prop:
             if self.tag in (None, tag):
                 own = self.of(tag)
                 parts.append(apply(own.cast("int") if tag == "boolean" else own, F.lit(value)))
-        out = F.lit(False)
-        for p in parts:
-            out = _sure(p) if out is None else out | _sure(p)
-        return out if len(parts) != 1 else _sure(parts[0])
+        if not parts:
+            return F.lit(False)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out | p
+        return out
 
     def matches(self, op: str, needle) -> Column:
         """STARTS WITH, ENDS WITH and CONTAINS on strings, case-sensitive."""
         if not isinstance(needle, str):
             raise ValueError(f"{op} needs a string")
         s = self.of("string")
-        return _sure({"STARTS WITH": s.startswith, "ENDS WITH": s.endswith, "CONTAINS": s.contains}[op](needle))
+        return {"STARTS WITH": s.startswith, "ENDS WITH": s.endswith, "CONTAINS": s.contains}[op](needle)
 
     def sort_keys(self, desc: bool) -> list[Column]:
         """Ascending: missing and null, then strings, then numbers."""

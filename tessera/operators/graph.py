@@ -124,7 +124,7 @@ class Matcher:
             if value is None:
                 return F.lit(False)
             ops = {"=": own == value, "<": own < value, "<=": own <= value, ">": own > value, ">=": own >= value}
-            return F.coalesce(ops[where.op], F.lit(False))
+            return ops[where.op]
         prop = self.graph.prop(row, where.field)
         if where.op == "IS NULL":
             return prop.is_null()

@@ -40,7 +40,7 @@ def score(embedding: Column, query: list[float], metric: str) -> Column:
     if metric == "dot":
         return _dot(e, q)
     if metric == "l2":
-        return -F.aggregate(F.zip_with(e, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        return F.lit(0.0) - F.aggregate(F.zip_with(e, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     norm = math.sqrt(sum(x * x for x in query))
     own = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(own > 0, _dot(e, q) / (own * norm)).otherwise(0.0)

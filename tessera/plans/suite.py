@@ -1,24 +1,387 @@
-"""Registered queries of the core engine and their DuckDB oracles."""
+"""Registered queries of the core engine and their DuckDB oracles, keyed by operator."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tagged as T
+from ..operators import graph as G
+from ..operators import vectors as V
+from ..operators.tpch_graph import FIRST, tpch_graph
+from ..session import Engine
+from ..sources import scratch
+from . import cypher as C
+from . import routing, sqltext
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "a2_sum_group_by"
+FLAGSHIP = "j3_multi_join_window"
+
+
+def register(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def run_sql(spark: SparkSession, sf_dir: str, text: str, params: dict | None = None) -> DataFrame:
+    """A statement through the SQL frontend over the tables of a folder."""
+    sqltext.shape(text)
+    words = {t.text.lower() for t in sqltext.tokens(text) if t.kind == "word"}
+    for name in TABLES:
+        if name in words:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return spark.sql(sqltext.to_spark(text), args=params) if params else spark.sql(sqltext.to_spark(text))
+
+
+def _literal(value) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+
+
+def add_sql(name: str, text: str, params: dict | None = None, oracle: str | None = None) -> None:
+    """The same PostgreSQL-style text runs here and, with its parameters put in, in DuckDB."""
+    own = re.sub(r"\$(\w+)", lambda m: _literal(params[m[1]]), text) if params else text
+    register(name, oracle or own)(lambda spark, sf_dir: run_sql(spark, sf_dir, text, params))
+
+
+# --- SQL reads ------------------------------------------------------------------------------------------
+
+add_sql("s2_table_scan", "SELECT * FROM customer")
+add_sql("p1_projection", "SELECT c_custkey AS id, c_name AS name, 'customer' AS kind FROM customer")
+add_sql("p2_predicates", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 500 AND (c_mktsegment = 'BUILDING' OR c_nationkey IS NULL) AND c_name IS NOT NULL")
+add_sql("p2_point_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = $key", {"key": 77})
+add_sql("p3_between", "SELECT count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 10 AND 20")
+add_sql("p4_in_list", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+add_sql("p5_ilike", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RING%' AND p_name LIKE '%i%'")
+add_sql("p6_cast", "SELECT o_orderkey, o_totalprice::INTEGER AS whole, CAST(o_custkey AS TEXT) AS customer FROM orders WHERE o_custkey::TEXT LIKE '1%'", oracle="SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS whole, CAST(o_custkey AS VARCHAR) AS customer FROM orders WHERE CAST(o_custkey AS VARCHAR) LIKE '1%'")
+add_sql("p7_date_literal", "SELECT count(*) AS n FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01'")
+add_sql("p8_case", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band FROM customer")
+add_sql("p9_exists", "SELECT count(*) AS n FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+add_sql("p10_case_exists", "SELECT c.c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F') THEN 1 ELSE 0 END AS has_f FROM customer c")
+add_sql("p11_scalar_subquery", "SELECT c_custkey, (SELECT count(*) FROM nation) AS nations FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+add_sql("p12_derived_table", "SELECT x.segment, x.n FROM (SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY c_mktsegment) x WHERE x.n > 10")
+add_sql("p13_ctes", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000), per AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT c.c_name, per.n FROM per JOIN customer c ON c.c_custkey = per.o_custkey")
+add_sql("j1_inner_join", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING'")
+add_sql("j2_left_join", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 450000")
+add_sql("j3_multi_join", "SELECT r.r_name, n.n_name, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, n.n_name")
+add_sql(
+    "j3_multi_join_window",
+    "WITH revenue AS (SELECT r.r_name AS region, n.n_name AS nation, sum(l.l_extendedprice * (1 - l.l_discount)) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name, n.n_name) "
+    "SELECT region, nation, round(revenue, 2) AS revenue, row_number() OVER (PARTITION BY region ORDER BY revenue DESC, nation) AS place FROM revenue",
+)
+add_sql("j4_semi_join", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders o WHERE EXISTS (SELECT 1 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_custkey = o.o_custkey AND n.n_regionkey = 1)")
+add_sql("j5_anti_join", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+add_sql("j_full_join", "SELECT n.n_name, r.r_name FROM nation n FULL OUTER JOIN region r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey < 3")
+add_sql("j_right_join_using", "SELECT k, a, b FROM (SELECT r_regionkey AS k, r_name AS a FROM region) x RIGHT JOIN (SELECT n_nationkey AS k, n_name AS b FROM nation) y USING (k)")
+add_sql("a1_count", "SELECT count(*) AS n, count(o_orderpriority) AS known FROM orders WHERE o_orderstatus = 'F'")
+add_sql("a2_sum_group_by", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n_rows FROM lineitem GROUP BY l_returnflag, l_linestatus")
+add_sql("a3_avg_join", "SELECT c.c_mktsegment, round(avg(o.o_totalprice), 4) AS mean FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment")
+add_sql("a4_min_max_spread", "SELECT event_type, min(value) AS least, max(value) AS most, round(stddev(value), 4) AS spread, round(variance(value), 3) AS var FROM events GROUP BY event_type")
+add_sql("a5_two_keys", "SELECT event_type, user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type, user_id")
+add_sql("a6_two_levels", "WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS total FROM events GROUP BY user_id, CAST(ts AS DATE)) SELECT user_id, count(*) AS days, round(avg(total), 2) AS mean FROM daily GROUP BY user_id")
+add_sql("a7_distinct_join", "SELECT DISTINCT n.n_name, c.c_mktsegment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
+add_sql("a8_aggregate_top_k", "SELECT user_id, round(avg(value), 4) AS mean, round(sum(value), 2) AS total FROM events WHERE event_type = 'purchase' GROUP BY user_id ORDER BY total DESC, user_id LIMIT 10")
+add_sql("a_having_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus) HAVING count(*) > 10")
+add_sql("w1_row_number", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders")
+add_sql("w2_top_per_group", "WITH ranked AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) SELECT user_id, event_id, value, rn FROM ranked WHERE rn <= 3")
+add_sql("w3_window_over_aggregate", "WITH per AS (SELECT c.c_nationkey AS nation, c.c_mktsegment AS segment, sum(o.o_totalprice) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey, c.c_mktsegment) SELECT nation, segment, round(total, 2) AS total, row_number() OVER (PARTITION BY segment ORDER BY total DESC, nation) AS place FROM per")
+add_sql("w4_rank_lag", "SELECT event_id, user_id, rank() OVER (PARTITION BY user_id ORDER BY value) AS place, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last3 FROM events")
+add_sql("o1_null_order", "SELECT x, row_number() OVER (ORDER BY x DESC, k) AS place FROM (SELECT n_nationkey AS k, CASE WHEN n_nationkey < 5 THEN NULL ELSE n_name END AS x FROM nation) t", oracle="SELECT x, row_number() OVER (ORDER BY x DESC NULLS FIRST, k) AS place FROM (SELECT n_nationkey AS k, CASE WHEN n_nationkey < 5 THEN NULL ELSE n_name END AS x FROM nation) t")
+add_sql("o2_top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20")
+add_sql("u1_union_all", "WITH parties AS (SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_nationkey AS nation, s_acctbal AS balance FROM supplier) SELECT nation, count(*) AS n, round(sum(balance), 2) AS total FROM parties GROUP BY nation")
+add_sql("u3_set_operations", "SELECT x.k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier EXCEPT SELECT 3 AS k) x")
+add_sql("f_scalar_functions", "SELECT c_custkey, lower(c_mktsegment) AS low, coalesce(c_name, '-') AS name, length(c_name) AS n, substr(c_name, 1, 4) AS head, c_acctbal * 2 + 1 AS twice FROM customer")
+add_sql("q10_named_parameters", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = $priority AND o_totalprice > $least", {"priority": "1-URGENT", "least": 400000})
+
+STATEMENTS = (
+    "SELECT count(*) FROM t WHERE a = 1",
+    "SELECT a, count(*) FROM t GROUP BY a",
+    "SELECT a, row_number() OVER (ORDER BY a) AS r FROM t",
+    "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.a = t.a)",
+    "SELECT DISTINCT t.a FROM t JOIN u ON t.a = u.a",
+    "WITH x AS (SELECT a FROM t) SELECT a FROM x ORDER BY a LIMIT 3",
+    "SELECT t.a FROM t JOIN u ON t.a = u.a JOIN v ON v.a = u.a ORDER BY t.a",
+    "INSERT INTO t VALUES (1)",
+)
+KINDS = ("transactional_read", "analytical_read", "analytical_read", "analytical_read", "analytical_read", "analytical_read", "analytical_read", "transactional_write")
+
+
+@register("q12_classification", "SELECT * FROM (VALUES " + ", ".join(f"({_literal(s)}, {_literal(k)})" for s, k in zip(STATEMENTS, KINDS, strict=True)) + ") AS t(statement, kind)")
+def q12_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s, routing.classify_sql(sqltext.shape(s)).kind) for s in STATEMENTS], "statement string, kind string")
+
+
+# --- graph reads ----------------------------------------------------------------------------------------
+
+
+def run_cypher(spark: SparkSession, sf_dir: str, text: str, params: dict | None = None) -> DataFrame:
+    out = G.Matcher(tpch_graph(spark, sf_dir), C.parse(text), params).result()
+    return out.toDF(*(c.replace(".", "_") for c in out.columns))
+
+
+def add_cypher(name: str, text: str, oracle: str, params: dict | None = None) -> None:
+    register(name, oracle)(lambda spark, sf_dir: run_cypher(spark, sf_dir, text, params))
+
+
+_CU, _NA, _RE, _PA, _OR, _SU = (FIRST[k] for k in ("Customer", "Nation", "Region", "Part", "Order", "Supplier"))
+add_cypher("s4_node_scan", "MATCH (n:Nation) RETURN n.id, n.label, n.name", f"SELECT {_NA} + n_nationkey AS n_id, 'Nation' AS n_label, n_name AS n_name FROM nation")
+add_cypher("s5_edge_scan", "MATCH ()-[r:IN_REGION]->() RETURN r.id, r.type", f"SELECT {_NA} + n_nationkey AS r_id, 'IN_REGION' AS r_type FROM nation")
+add_cypher("c6_node_anchor", "MATCH (c:Customer {segment: $s}) RETURN c.name, c.acctbal", "SELECT c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'", {"s": "BUILDING"})
+add_cypher("c6_node_range", "MATCH (p:Part) WHERE p.size >= 10 AND p.size < 20 AND p.price > 950.0 RETURN p.name, p.size", "SELECT p_name, p_size::BIGINT AS p_size FROM part WHERE p_size >= 10 AND p_size < 20 AND p_retailprice > 950")
+add_cypher("c13_string_predicates", "MATCH (p:Part) WHERE p.name STARTS WITH 's' AND p.name CONTAINS 'ing' AND p.brand ENDS WITH '7' RETURN p.id, p.name", f"SELECT {_PA} + p_partkey AS p_id, p_name FROM part WHERE starts_with(p_name, 's') AND contains(p_name, 'ing') AND ends_with(p_brand, '7')")
+add_cypher("c13_null_predicates", "MATCH (n) WHERE n.acctbal IS NOT NULL AND n.segment IS NULL RETURN n.id, n.label", f"SELECT {_SU} + s_suppkey AS n_id, 'Supplier' AS n_label FROM supplier")
+add_cypher("c11_or_coerced", "MATCH (c:Customer) WHERE c.active = 0 OR c.acctbal > 9000 RETURN c.name, c.active", "SELECT c_name, c_acctbal >= 0 AS c_active FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000")
+add_cypher("c11_parentheses", "MATCH (o:Order) WHERE o.status = 'F' AND (o.total > 400000 OR o.priority = '1-URGENT') RETURN o.id, o.total", f"SELECT {_OR} + o_orderkey AS o_id, o_totalprice AS o_total FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice > 400000 OR o_orderpriority = '1-URGENT')")
+add_cypher("c12_strict_equality", "MATCH (p:Part {size: 5.0}) RETURN p.id", f"SELECT {_PA} + p_partkey AS p_id FROM part WHERE false")
+add_cypher("c14_raw_fields", f"MATCH (n) WHERE n.label = 'Customer' AND n.id < {_CU + 50} RETURN n.id, n.name", f"SELECT {_CU} + c_custkey AS n_id, c_name AS n_name FROM customer WHERE c_custkey < 50")
+add_cypher("c7_expand", "MATCH (c:Customer)-[r:PLACED]->(o:Order) WHERE r.total > 300000 RETURN c.name, o.id, r.total", f"SELECT c_name, {_OR} + o_orderkey AS o_id, o_totalprice AS r_total FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 300000")
+add_cypher("c7_expand_reverse", "MATCH (n:Nation)<-[:IN_NATION]-(s:Supplier) RETURN n.name, s.name", "SELECT n_name, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+add_cypher("c8_anonymous", "MATCH (:Region {name: 'ASIA'})<-[:IN_REGION]-(n) RETURN n.name", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+add_cypher("c9_untyped", "MATCH (n:Nation)-[r]->(x) RETURN n.name, r.type, x.name", "SELECT n_name, 'IN_REGION' AS r_type, r_name AS x_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+add_cypher("c10_type_alternation", "MATCH (c:Customer)-[r:PLACED|IN_NATION]->(x) WHERE c.acctbal > 9500.0 RETURN c.name, r.type, x.id", f"SELECT c_name, 'PLACED' AS r_type, {_OR} + o_orderkey AS x_id FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9500 UNION ALL SELECT c_name, 'IN_NATION', {_NA} + c_nationkey FROM customer WHERE c_acctbal > 9500")
+add_cypher("c12_edge_properties", "MATCH (o:Order)-[r:CONTAINS {line: 1}]->(p:Part) WHERE r.quantity >= 45 RETURN o.id, p.name, r.quantity", f"SELECT {_OR} + l_orderkey AS o_id, p_name, l_quantity AS r_quantity FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND l_quantity >= 45")
+add_cypher("u2_or_on_named_relationship", "MATCH (c:Customer)-[r:PLACED]->(o:Order) WHERE o.status = 'P' OR o.priority = '5-LOW' RETURN r.id, c.id", f"SELECT {_OR} + o_orderkey AS r_id, {_CU} + o_custkey AS c_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW'")
+add_cypher("a9_distinct", "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN DISTINCT c.segment, o.status", "SELECT DISTINCT c_mktsegment AS c_segment, o_orderstatus AS o_status FROM orders JOIN customer ON c_custkey = o_custkey")
+add_cypher("o3_order_limit", "MATCH (p:Part) RETURN p.id, p.size ORDER BY p.size DESC, p.id LIMIT 25", f"SELECT {_PA} + p_partkey AS p_id, p_size::BIGINT AS p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 25")
+add_cypher("o4_skip", "MATCH (n:Nation) RETURN n.name ORDER BY n.id SKIP 5", "SELECT n_name FROM nation ORDER BY n_nationkey OFFSET 5")
+add_cypher("o5_offset_limit", "MATCH (c:Customer) WHERE c.acctbal >= 0 RETURN DISTINCT c.name ORDER BY c.name DESC OFFSET 3 LIMIT 7", "SELECT DISTINCT c_name FROM customer WHERE c_acctbal >= 0 ORDER BY c_name DESC LIMIT 7 OFFSET 3")
+
+
+@register("j6_cross_match", "SELECT count(*) AS n FROM nation, region WHERE n_nationkey < 10 AND r_name <> 'ASIA'")
+def j6_cross_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that a two-pattern MATCH ... CREATE connects."""
+    s = C.parse(f"MATCH (n:Nation), (r:Region) WHERE n.id < {_NA + 10} AND (r.id < {_RE + 2} OR r.id > {_RE + 2}) CREATE (n)-[:NEAR]->(r)")
+    return G.Matcher(tpch_graph(spark, sf_dir), s, None).frame().agg(F.count("*").alias("n"))
+
+
+# --- vectors --------------------------------------------------------------------------------------------
+
+_KEYS = ("target", "namespace", "target_id")
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.lit("direct").alias("target"), F.lit("").alias("namespace"), F.col("vec_id").alias("target_id"), "embedding", F.create_map(F.lit("label"), T.as_tagged(F.col("label").cast("bigint"), "integer")).alias("metadata"))
+
+
+def _query(spark: SparkSession, sf_dir: str) -> list[float]:
+    return [float(x) for x in spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id = 0").select("embedding").first()[0]]
+
+
+_DOT = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+_SCORES = {"cosine": f"{_DOT} / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))", "dot": _DOT, "l2": "0.0 - list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"}
+
+
+def _knn_sql(metric: str, k: int, where: str = "true") -> str:
+    return f"SELECT e.vec_id AS target_id, round({_SCORES[metric]}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {where} ORDER BY {_SCORES[metric]} DESC, e.vec_id LIMIT {k}"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("target_id", F.round("score", 6).alias("score"))
+
+
+for _metric, _id in (("cosine", "x1"), ("dot", "x2"), ("l2", "x3")):
+    register(f"{_id}_{_metric}_top_k", _knn_sql(_metric, 10))(lambda spark, sf_dir, m=_metric: _rounded(V.top_k(_embeddings(spark, sf_dir), _query(spark, sf_dir), 10, m)))
+
+
+@register("x4_candidates", _knn_sql("cosine", 10, "e.label = 3"))
+def x4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label = 3").select(F.col("vec_id").alias("target_id"))
+    return _rounded(V.top_k(_embeddings(spark, sf_dir).join(ids, "target_id", "left_semi"), _query(spark, sf_dir), 10))
+
+
+@register("x13_metadata_filter", _knn_sql("l2", 5, "e.label = 2"))
+def x13_metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir).filter(T.Prop(F.col("metadata")["label"]).equals(2))
+    return _rounded(V.top_k(rows, _query(spark, sf_dir), 5, "l2"))
+
+
+@register("x8_merge", _knn_sql("cosine", 10))
+def x8_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, q = _embeddings(spark, sf_dir), _query(spark, sf_dir)
+    parts = [V.top_k(rows.filter(f"metadata['label'].i % 2 = {i}"), q, 10) for i in (0, 1)]
+    return _rounded(V.merge_best(parts, _KEYS, 10))
+
+
+@register("x5_int8_top_k")
+def x5_int8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(V.top_k_quantised(_embeddings(spark, sf_dir), _query(spark, sf_dir), 10))
+
+
+def _vector_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    engine = Engine(spark, scratch.folder(spark), ann_threshold=256)
+    engine.insert_vector_frame(_embeddings(spark, sf_dir).select("target_id", "embedding", "metadata"))
+    return engine
+
+
+@register("x6_ann_reranked")
+def x6_ann_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _vector_engine(spark, sf_dir)
+    engine.create_vector_index("by_cosine", "cosine")
+    return _rounded(engine.search_vectors(_query(spark, sf_dir), top_k=10).df)
+
+
+@register("x11_search_vectors", _knn_sql("dot", 10))
+def x11_search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_vector_engine(spark, sf_dir).search_vectors(_query(spark, sf_dir), top_k=10, metric="dot").df)
+
+
+@register("x15_sql_vector", _knn_sql("cosine", 10, "e.label IN (1, 4)"))
+def x15_sql_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, scratch.folder(spark))
+    engine.query("CREATE TABLE docs (id INTEGER PRIMARY KEY, label INTEGER, embedding BLOB)")
+    engine.register("source", spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    engine.query("INSERT INTO docs (id, label, embedding) SELECT vec_id, label, embedding FROM source")
+    return _rounded(engine.query("SELECT id FROM docs WHERE label IN (1, 4) ORDER BY embedding <=> $q LIMIT 10", {"q": _query(spark, sf_dir)}).df)
+
+
+@register("x16_cypher_vector", _knn_sql("cosine", 10, "e.label = 5").replace("e.vec_id AS target_id", "e.vec_id + 1 AS node_id"))
+def x16_cypher_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, scratch.folder(spark))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    props = F.create_map(F.lit("e"), T.as_tagged(F.col("embedding"), "vector"), F.lit("label"), T.as_tagged(F.col("label").cast("bigint"), "integer")).cast(T.PROPS)
+    engine.catalog.atomically(lambda: engine.catalog.append("__nodes", rows.select((F.col("vec_id") + 1).alias("id"), F.lit("Doc").alias("label"), props.alias("props"))))
+    out = engine.query("CALL db.index.vector.queryNodes('any', 10, $q) YIELD node, score MATCH (node:Doc {label: 5}) RETURN node.id, score", {"q": _query(spark, sf_dir)})
+    return out.df.select(F.col("`node.id`").alias("node_id"), F.round("score", 6).alias("score"))
+
+
+@register("l8_index_catalog", "SELECT 'by_cosine' AS name, 'cosine' AS metric, 'ready' AS state, count(*) AS total_rows, count(*) AS indexed_rows FROM embeddings")
+def l8_index_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _vector_engine(spark, sf_dir)
+    engine.query("CREATE VECTOR INDEX by_cosine FOR cosine")
+    engine.query("REFRESH VECTOR INDEX by_cosine")
+    return engine.query("SHOW VECTOR INDEXES").df.select("name", "metric", "state", "total_rows", "indexed_rows")
+
+
+# --- writes and ingest ----------------------------------------------------------------------------------
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> Engine:
+    engine = Engine(spark, scratch.folder(spark))
+    engine.query("CREATE TABLE people (id INTEGER PRIMARY KEY, name TEXT NOT NULL, balance REAL, segment TEXT)")
+    engine.register("customer", spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    engine.query("INSERT INTO people (id, name, balance, segment) SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+    return engine
+
+
+@register("q7_insert_select", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT max(c_custkey) + 1, 'new', 1.5, NULL FROM customer")
+def q7_insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _customers(spark, sf_dir)
+    engine.query("INSERT INTO people (name, balance) VALUES ($n, 1.5)", {"n": "new"})
+    return engine.query("SELECT id, name, balance, segment FROM people").df
+
+
+@register("q8_update", "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 10 ELSE c_acctbal END AS balance FROM customer")
+def q8_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _customers(spark, sf_dir)
+    engine.query("UPDATE people SET balance = balance + 10 WHERE segment = $s", {"s": "BUILDING"})
+    return engine.query("SELECT id, name, balance FROM people").df
+
+
+@register("q9_delete", "SELECT c_custkey AS id FROM customer WHERE NOT c_acctbal < 1000")
+def q9_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _customers(spark, sf_dir)
+    engine.query("DELETE FROM people WHERE balance < 1000")
+    return engine.query("SELECT id FROM people").df
+
+
+def _csv(df: DataFrame) -> str:
+    path = scratch.folder(df.sparkSession)
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@register("s7_import_table", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+def s7_import_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, scratch.folder(spark))
+    engine.query("CREATE TABLE people (id INTEGER PRIMARY KEY, name TEXT NOT NULL, balance REAL, segment TEXT)")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    engine.import_table("people", _csv(rows))
+    return engine.query("SELECT id, name, balance, segment FROM people").df
+
+
+def _graph_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """Nations and suppliers as nodes, IN_NATION edges, all through CSV files."""
+    engine = Engine(spark, scratch.folder(spark))
+    nation, supplier = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    engine.import_nodes("Nation", _csv(nation.select((F.col("n_nationkey") + 1).alias("id"), F.col("n_name").alias("name"))), id_column="id", property_columns=["name"])
+    engine.import_nodes("Supplier", _csv(supplier.select((F.col("s_suppkey") + 1000).alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))), id_column="id", property_columns=["name", "acctbal"], property_types={"acctbal": "real"})
+    engine.import_edges("IN_NATION", _csv(supplier.select((F.col("s_suppkey") + 1000).alias("a"), (F.col("s_nationkey") + 1).alias("b"), F.lit(2000).alias("since"))), source_id_column="a", target_id_column="b", property_columns=["since"], property_types={"since": "integer"})
+    return engine
+
+
+def _named(out: DataFrame, **tags: str) -> DataFrame:
+    """Graph results with plain columns: dots become underscores and tagged values the type that is named."""
+    cols = []
+    for c in out.columns:
+        name = c.replace(".", "_")
+        cols.append(F.col(f"`{c}`")[T.FIELDS[tags[name]]].alias(name) if name in tags else F.col(f"`{c}`").alias(name))
+    return out.select(*cols)
+
+
+@register("s8_import_nodes", "SELECT s_suppkey + 1000 AS s_id, s_name, s_acctbal FROM supplier")
+def s8_import_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(_graph_engine(spark, sf_dir).query("MATCH (s:Supplier) RETURN s.id, s.name, s.acctbal").df, s_name="string", s_acctbal="real")
+
+
+@register("s9_import_edges", "SELECT s_name, n_name, 2000::BIGINT AS r_since FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def s9_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(_graph_engine(spark, sf_dir).query("MATCH (s:Supplier)-[r:IN_NATION]->(n:Nation) RETURN s.name, n.name, r.since").df, s_name="string", n_name="string", r_since="integer")
+
+
+@register("g5_match_create", "SELECT s_suppkey + 1000 AS s_id, 'Flag' AS f_label FROM supplier WHERE s_acctbal >= 5000")
+def g5_match_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _graph_engine(spark, sf_dir)
+    engine.query("MATCH (s:Supplier) WHERE s.acctbal >= 5000 CREATE (s)-[:HAS]->(f:Flag {on: true})")
+    return _named(engine.query("MATCH (s)-[r:HAS]->(f:Flag {on: true}) RETURN s.id, f.label").df)
+
+
+@register("g6_connect_matches", "SELECT a.n_nationkey + 1 AS a_id, b.n_nationkey + 1 AS b_id FROM nation a, nation b WHERE a.n_nationkey < 3 AND b.n_nationkey >= 20")
+def g6_connect_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _graph_engine(spark, sf_dir)
+    engine.query("MATCH (a:Nation), (b:Nation) WHERE a.id < 4 AND b.id >= 21 AND b.id < 1000 CREATE (a)-[:NEAR]->(b)")
+    return _named(engine.query("MATCH (a)-[:NEAR]->(b) RETURN a.id, b.id").df)
+
+
+@register("g7_set", "SELECT s_suppkey + 1000 AS s_id, CASE WHEN s_acctbal < 0 THEN 'debt' END AS s_state FROM supplier")
+def g7_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _graph_engine(spark, sf_dir)
+    engine.query("MATCH (s:Supplier) WHERE s.acctbal < 0 SET s.state = 'debt', s.seen = 1")
+    return _named(engine.query("MATCH (s:Supplier) RETURN s.id, s.state").df, s_state="string")
+
+
+@register("g8_set_relationship", "SELECT s_suppkey + 1000 AS s_id, CASE WHEN s_nationkey = 1 THEN 2001 ELSE 2000 END::BIGINT AS r_since FROM supplier")
+def g8_set_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _graph_engine(spark, sf_dir)
+    engine.query("MATCH (s:Supplier)-[r:IN_NATION]->(n:Nation {name: 'NATION_1'}) SET r.since = 2001")
+    return _named(engine.query("MATCH (s)-[r:IN_NATION]->(n) RETURN s.id, r.since").df, r_since="integer")
+
+
+@register("g9_detach_delete", "SELECT s_suppkey + 1000 AS s_id, s_nationkey + 1 AS n_id FROM supplier WHERE s_nationkey <> 2")
+def g9_detach_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _graph_engine(spark, sf_dir)
+    engine.query("MATCH (n:Nation {name: 'NATION_2'}) DETACH DELETE n")
+    return _named(engine.query("MATCH (s)-[r:IN_NATION]->(n) RETURN s.id, n.id").df)
 
 
-def a2_sum_group_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n_rows"))
-    )
+@register("g10_delete_relationship", "SELECT s_suppkey + 1000 AS s_id FROM supplier WHERE NOT s_acctbal > 3000")
+def g10_delete_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _graph_engine(spark, sf_dir)
+    engine.query("MATCH (s:Supplier)-[r:IN_NATION]->(n) WHERE s.acctbal > 3000 DELETE r")
+    return _named(engine.query("MATCH (s)-[r:IN_NATION]->(n) RETURN s.id").df)
 
 
-QUERIES["a2_sum_group_by"] = a2_sum_group_by
-ORACLES["a2_sum_group_by"] = "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n_rows FROM lineitem GROUP BY l_returnflag, l_linestatus"
+@register("g1_create", "SELECT 'KNOWS' AS r_type, 'A' AS a_name, 7::BIGINT AS b_age")
+def g1_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, scratch.folder(spark))
+    engine.query("CREATE (a:User {name: 'A'})-[r:KNOWS {since: 1}]->(b:User {age: $age})", {"age": 7})
+    return _named(engine.query("MATCH (a:User)-[r:KNOWS]->(b:User) RETURN r.type, a.name, b.age").df, a_name="string", b_age="integer")

@@ -266,6 +266,9 @@ class Engine:
             for row in stmt.rows:
                 values = [_simple(e, params) for e in row]
                 (plain if all(v is not _COMPLEX for v in values) else other).append((row, params, values))
+        key = self.catalog.entry(stmt.table)["key"]
+        if plain and not other and key and known[key.lower()].dataType.simpleString() == "bigint":
+            self._number(stmt.table, key, names, plain)
         frames = []
         if plain:
             kinds = ", ".join(f"`{known[n.lower()].name}` {_loose(known[n.lower()].dataType.simpleString(), [v[2][i] for v in plain])}" for i, n in enumerate(names))
@@ -277,6 +280,22 @@ class Engine:
             rows = rows.select(*(F.col(f"`{c}`").cast(known[c.lower()].dataType) for c in rows.columns)).unionByName(f.select(*(F.col(f"`{c}`").cast(known[c.lower()].dataType) for c in f.columns)))
         return self._insert(stmt.table, rows)
 
+    def _number(self, table: str, key: str, names: list[str], rows: list[tuple]) -> None:
+        """Give local rows without a key the next ones, in their order."""
+        at = next((i for i, n in enumerate(names) if n.lower() == key.lower()), None)
+        if at is None:
+            names.append(key)
+            for _, _, values in rows:
+                values.append(None)
+            at = len(names) - 1
+        missing = [v for _, _, v in rows if v[at] is None]
+        given = [v[at] for _, _, v in rows if isinstance(v[at], int)]
+        if missing:
+            stored = self.catalog.frame(table).agg(F.max(key)).first()[0]
+            first = self.catalog.next_ids("table:" + table, len(missing), max([stored or 0, *given]))
+            for i, values in enumerate(missing):
+                values[at] = first + i
+
     def _insert(self, table: str, rows: DataFrame) -> int:
         """Append rows; an INTEGER PRIMARY KEY that is absent or null gets the next ids."""
         cat = self.catalog
@@ -370,14 +389,18 @@ class Engine:
         made: dict[str, tuple] = {}
         seen: dict[str, C.Node] = {}
 
+        # An alias that is written twice is declared where it has its label.
+        order = [x for p in patterns for x in ((p,) if isinstance(p, C.Node) else (p.left, p.right))]
+        for n in sorted(order, key=lambda x: x.label is None):
+            seen.setdefault(n.alias, n)
+
         def node(n: C.Node) -> int:
+            if n.alias not in made:
+                made[n.alias] = self._node_row(seen[n.alias], params)
             if n.alias in made:
                 same = not n.props and n.label in (None, seen[n.alias].label) or n == seen[n.alias]
                 if not same:
                     raise ValueError(f"{n.alias!r} is declared twice")
-                return made[n.alias][0]
-            made[n.alias] = self._node_row(n, params)
-            seen[n.alias] = n
             return made[n.alias][0]
 
         paths = [p for p in patterns if isinstance(p, C.Path)]
@@ -385,9 +408,9 @@ class Engine:
         if len(patterns) == 1 and alone:
             names, values = ["node_id"], [node(alone[0])]
         elif len(paths) == 1 and len(alone) in (0, 2) and patterns[-1] is paths[0]:
+            if len({n.alias for n in alone}) < len(alone):
+                raise ValueError(f"{alone[0].alias!r} is declared twice")
             for n in alone:
-                if n.alias in made:
-                    raise ValueError(f"{n.alias!r} is declared twice")
                 node(n)
             p = paths[0]
             if alone and {p.left.alias, p.right.alias} != {n.alias for n in alone}:
