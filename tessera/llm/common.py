@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows of an Arrow batch that a Python worker gets, where the session has no setting of its own: documents are long.
+BATCH_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package from the repository."""
+    """Let Python workers started from now on import this package from the repository, and get batches of bounded size."""
+    if spark.conf.get(_ROWS_SETTING) == "10000":
+        spark.conf.set(_ROWS_SETTING, BATCH_ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

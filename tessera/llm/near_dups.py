@@ -42,7 +42,8 @@ FLOOR = 0.01
 STRENGTH = 0.5
 #: Groups of so many members are compared pair by pair where the pivot left them open; larger ones are bounded first. Either way is exact.
 SMALL = 16
-CHUNK = 1 << 22  # shingles that are counted at a time
+CHUNK = 1 << 21  # shingles that are counted at a time
+RUN = 1 << 16  # words that are hashed at a time
 _TABLE = 16  # bits of an entry of the tables of random numbers
 
 
@@ -125,7 +126,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / total if total else 0.0
 
 
-def _chunks(column, most: int = CHUNK):
+def _chunks(column, most: int = RUN):
     """Texts of a column in runs of about so many words at most."""
     run, size = [], 0
     for t in column.to_pylist():
@@ -155,7 +156,7 @@ def document_frequencies(texts: DataFrame) -> Weights:
             return pa.RecordBatch.from_arrays([pa.array(flag), pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64))], ["total", "h", "n"])
 
         for batch in batches:
-            for run in _chunks(batch.column(0), CHUNK // 8):
+            for run in _chunks(batch.column(0)):
                 u, _, _ = weighted_sets(run)
                 pend.append(u)
                 docs, size = docs + len(run), size + len(u)
@@ -174,7 +175,7 @@ def document_frequencies(texts: DataFrame) -> Weights:
     def count(batches):
         sums = np.zeros(len(candidates), np.int64)
         for batch in batches:
-            for run in _chunks(batch.column(0), CHUNK // 8):
+            for run in _chunks(batch.column(0)):
                 u, _, _ = weighted_sets(run)
                 at = np.minimum(np.searchsorted(candidates, u), len(candidates) - 1)
                 sums += np.bincount(at[candidates[at] == u], minlength=len(candidates))
@@ -197,7 +198,7 @@ def sketches(docs: DataFrame, weights: Weights) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = 0
-            for texts in _chunks(batch.column(2), 1 << 17):
+            for texts in _chunks(batch.column(2)):
                 h, c, n = weighted_sets(texts)
                 found = iter(sketch(h, weights.of(h) * c, n))
                 cells = [next(found).tobytes() if k else None for k in n]

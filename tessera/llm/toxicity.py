@@ -42,7 +42,7 @@ IDENTITY = (
 _GROUP = {term: group for group in IDENTITY for term in group}
 _WORDS = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
-_KNOWN = 1 << 19  # words that a worker remembers
+_KNOWN = 1 << 16  # words that a worker remembers
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -97,7 +97,7 @@ def _counts(batches):
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             (pos if label else neg).update({f for w in words_of(text) for f in features_of(w)})
-            if len(pos) + len(neg) > 400_000:
+            if len(pos) + len(neg) > 200_000:
                 yield _count_rows(pos, neg)
                 pos, neg = Counter(), Counter()
     yield _count_rows(pos, neg)
