@@ -9,7 +9,7 @@ penalised, so that naming a group doesn't raise the score.
 
 Defined results: null and empty texts have no features and get the score of the intercept; labelled rows
 whose label is null, or without a document, aren't learned from; several labels of one document count as
-several rows; without labels of both classes every score is 0. Other columns aren't read.
+several rows; without labels of both classes every score is next to 0. Other columns aren't read.
 """
 
 from __future__ import annotations
