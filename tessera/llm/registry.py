@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .chat import op5_chat
 from .decontaminate import op8_decontamination
 from .editprints import op9_fingerprints
@@ -25,4 +26,10 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_html_text": op10_html_text,
 }
-ORACLES: dict[str, str] = {}
+#: The others score with fitted models, search for links or walk trees, and are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_warc": oracles.WARC,
+    "op4_secrets": oracles.SECRETS,
+    "op5_chat": oracles.CHAT,
+    "op7_line_dedup": oracles.LINES,
+}
