@@ -6,6 +6,7 @@ A graph is where nodes and edges come from. ``StoredGraph`` reads the catalog's
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -36,23 +37,25 @@ class StoredGraph:
 
 @dataclass
 class TypedGraph:
-    """label -> (frame with id and property columns); type -> (frame with id, src, dst and property columns).
+    """label -> function that gives a frame with id and property columns; type -> one with id, src, dst and properties.
 
     ``types`` has the tag of each property key, the same for all labels that have it; other labels get nulls.
     """
 
     typed = True
-    labels: dict[str, DataFrame]
-    rels: dict[str, DataFrame]
+    labels: dict[str, Callable[[], DataFrame]]
+    rels: dict[str, Callable[[], DataFrame]]
     types: dict[str, str] = field(default_factory=dict)
 
-    def _union(self, parts: dict[str, DataFrame], wanted, name: str, base: tuple[str, ...], keys: set[str]) -> DataFrame:
+    def _union(self, parts: dict[str, Callable[[], DataFrame]], wanted, name: str, base: tuple[str, ...], keys: set[str]) -> DataFrame:
         chosen = [k for k in parts if wanted is None or k in wanted]
         frames = []
         for k in chosen:
+            part = parts[k]()
+            known = set(part.columns)
             cols = [F.col(c) for c in base]
-            cols += [(F.col(p) if p in parts[k].columns else F.lit(None)).cast(T.SPARK_TYPES[self.types[p]]).alias(p) for p in sorted(keys) if p in self.types]
-            frames.append(parts[k].select(F.lit(k).alias(name), *cols))
+            cols += [(F.col(p) if p in known else F.lit(None)).cast(T.SPARK_TYPES[self.types[p]]).alias(p) for p in sorted(keys) if p in self.types]
+            frames.append(part.select(F.lit(k).alias(name), *cols))
         if not frames:
             any_part = next(iter(parts))
             return self._union(parts, [any_part], name, base, keys).filter(F.lit(False))

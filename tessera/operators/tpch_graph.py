@@ -17,23 +17,26 @@ def _id(label: str, key: str):
 
 
 def tpch_graph(spark: SparkSession, sf_dir: str) -> TypedGraph:
+    """Frames are made when a pattern asks for them, so that a query opens only the tables that it reads."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     c = lambda name, alias: F.col(name).alias(alias)
-    customer, supplier, nation, orders, lineitem = t("customer"), t("supplier"), t("nation"), t("orders"), t("lineitem")
-    labels: dict[str, DataFrame] = {
-        "Region": t("region").select(_id("Region", "r_regionkey").alias("id"), c("r_name", "name")),
-        "Nation": nation.select(_id("Nation", "n_nationkey").alias("id"), c("n_name", "name")),
-        "Customer": customer.select(_id("Customer", "c_custkey").alias("id"), c("c_name", "name"), c("c_acctbal", "acctbal"), c("c_mktsegment", "segment"), (F.col("c_acctbal") >= 0).alias("active")),
-        "Supplier": supplier.select(_id("Supplier", "s_suppkey").alias("id"), c("s_name", "name"), c("s_acctbal", "acctbal"), (F.col("s_acctbal") >= 0).alias("active")),
-        "Part": t("part").select(_id("Part", "p_partkey").alias("id"), c("p_name", "name"), c("p_brand", "brand"), c("p_size", "size"), c("p_retailprice", "price")),
-        "Order": orders.select(_id("Order", "o_orderkey").alias("id"), c("o_orderstatus", "status"), c("o_totalprice", "total"), c("o_orderpriority", "priority")),
+    labels = {
+        "Region": lambda: t("region").select(_id("Region", "r_regionkey").alias("id"), c("r_name", "name")),
+        "Nation": lambda: t("nation").select(_id("Nation", "n_nationkey").alias("id"), c("n_name", "name")),
+        "Customer": lambda: t("customer").select(_id("Customer", "c_custkey").alias("id"), c("c_name", "name"), c("c_acctbal", "acctbal"), c("c_mktsegment", "segment"), (F.col("c_acctbal") >= 0).alias("active")),
+        "Supplier": lambda: t("supplier").select(_id("Supplier", "s_suppkey").alias("id"), c("s_name", "name"), c("s_acctbal", "acctbal"), (F.col("s_acctbal") >= 0).alias("active")),
+        "Part": lambda: t("part").select(_id("Part", "p_partkey").alias("id"), c("p_name", "name"), c("p_brand", "brand"), c("p_size", "size"), c("p_retailprice", "price")),
+        "Order": lambda: t("orders").select(_id("Order", "o_orderkey").alias("id"), c("o_orderstatus", "status"), c("o_totalprice", "total"), c("o_orderpriority", "priority")),
     }
-    in_nation = customer.select(_id("Customer", "c_custkey").alias("id"), _id("Customer", "c_custkey").alias("src"), _id("Nation", "c_nationkey").alias("dst"))
-    in_nation = in_nation.unionByName(supplier.select(_id("Supplier", "s_suppkey").alias("id"), _id("Supplier", "s_suppkey").alias("src"), _id("Nation", "s_nationkey").alias("dst")))
+
+    def edges(table: str, first, src: tuple[str, str], dst: tuple[str, str], *props) -> DataFrame:
+        return t(table).select(first.cast("bigint").alias("id"), _id(*src).alias("src"), _id(*dst).alias("dst"), *props)
+
+    customer, supplier, nation, order = ("Customer", "c_custkey"), ("Supplier", "s_suppkey"), ("Nation", "n_nationkey"), ("Order", "o_orderkey")
     rels = {
-        "IN_REGION": nation.select(_id("Nation", "n_nationkey").alias("id"), _id("Nation", "n_nationkey").alias("src"), _id("Region", "n_regionkey").alias("dst")),
-        "IN_NATION": in_nation,
-        "PLACED": orders.select(_id("Order", "o_orderkey").alias("id"), _id("Customer", "o_custkey").alias("src"), _id("Order", "o_orderkey").alias("dst"), c("o_totalprice", "total")),
-        "CONTAINS": lineitem.select((F.lit(1 << 40) + F.col("l_orderkey") * 16 + F.col("l_linenumber")).cast("bigint").alias("id"), _id("Order", "l_orderkey").alias("src"), _id("Part", "l_partkey").alias("dst"), c("l_quantity", "quantity"), c("l_discount", "discount"), c("l_linenumber", "line")),
+        "IN_REGION": lambda: edges("nation", _id(*nation), nation, ("Region", "n_regionkey")),
+        "IN_NATION": lambda: edges("customer", _id(*customer), customer, ("Nation", "c_nationkey")).unionByName(edges("supplier", _id(*supplier), supplier, ("Nation", "s_nationkey"))),
+        "PLACED": lambda: edges("orders", _id(*order), ("Customer", "o_custkey"), order, c("o_totalprice", "total")),
+        "CONTAINS": lambda: edges("lineitem", F.lit(1 << 40) + F.col("l_orderkey") * 16 + F.col("l_linenumber"), ("Order", "l_orderkey"), ("Part", "l_partkey"), c("l_quantity", "quantity"), c("l_discount", "discount"), c("l_linenumber", "line")),
     }
     return TypedGraph(labels, rels, TYPES)
