@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,3 +120,17 @@ def probed_cells(query: list[float], centres: list[list[float]], metric: str, pr
         q = [x / n for x in q]
     key = (lambda c: -sum(x * y for x, y in zip(q, c, strict=True))) if metric == "dot" else (lambda c: sum((x - y) ** 2 for x, y in zip(q, c, strict=True)))
     return sorted(range(len(centres)), key=lambda i: (key(centres[i]), i))[:probes]
+
+
+def encode_blob(vector) -> bytes:
+    """A vector as little-endian 32-bit floats, for exchange with stores that hold blobs."""
+    out = [float(x) for x in vector]
+    if not out:
+        raise ValueError("a vector must not be empty")
+    return struct.pack(f"<{len(out)}f", *out)
+
+
+def decode_blob(blob: bytes) -> list[float]:
+    if not blob or len(blob) % 4:
+        raise ValueError("a vector blob has a positive multiple of 4 bytes")
+    return list(struct.unpack(f"<{len(blob) // 4}f", blob))

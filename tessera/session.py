@@ -149,6 +149,8 @@ class Engine:
         def change() -> int:
             if isinstance(stmt, D.Insert) and stmt.rows:
                 return self._insert_values(stmt, params_seq)
+            if not isinstance(stmt, D.Insert) and (keyed := _keyed(stmt)):
+                return self._write_keyed(stmt, keyed, params_seq)
             return sum(self._write(stmt, p) for p in params_seq)
 
         return QueryResult(None, "sql", work, self._atomically(change))
@@ -236,6 +238,34 @@ class Engine:
         cat.replace(stmt.table, marked.select(*(new.get(n, F.col(n)).alias(n) for n in frame.columns)))
         return many
 
+    def _write_keyed(self, stmt, keyed: tuple[str, str], params_seq: list[dict]) -> int:
+        """UPDATE or DELETE ... WHERE column = $key for many keys: one join and one new version. Of repeated keys the last counts."""
+        column, param = keyed
+        frame = self.catalog.frame(stmt.table)
+        names = {n.lower(): n for n in frame.columns}
+        sets = [(c, e) for c, e in getattr(stmt, "sets", ())]
+        for c in [column, *(c for c, _ in sets)]:
+            if c.lower() not in names:
+                raise ValueError(f"no column {c!r}")
+        rows = {C.bind(C.Param(param), p): [_simple(e, p) for _, e in sets] for p in params_seq}
+        kinds = [frame.schema[names[c.lower()]].dataType.simpleString() for c in (column, *(c for c, _ in sets))]
+        values = [(k, *map(_cell, v)) for k, v in rows.items() if k is not None]
+        if not values:
+            return 0
+        ddl = ", ".join(f"__v{i} {_loose(k, [v[i] for v in values])}" for i, k in enumerate(kinds))
+        new = self.spark.createDataFrame(values, ddl)
+        new = new.select(*(F.col(f"__v{i}").cast(k).alias(f"__v{i}") for i, k in enumerate(kinds)), F.lit(True).alias("__hit"))
+        marked = frame.join(new, frame[names[column.lower()]] == new["__v0"], "left")
+        many = marked.filter("__hit").count()
+        if not many:
+            return 0
+        if isinstance(stmt, D.Delete):
+            self.catalog.replace(stmt.table, marked.filter("__hit IS NULL").select(*frame.columns))
+        else:
+            changed = {names[c.lower()]: F.when(F.col("__hit"), F.col(f"__v{i + 1}")).otherwise(frame[names[c.lower()]]) for i, (c, _) in enumerate(sets)}
+            self.catalog.replace(stmt.table, marked.select(*(changed.get(n, frame[n]).alias(n) for n in frame.columns)))
+        return many
+
     def _expr(self, text: str, params: dict | None):
         """An expression with its parameters bound as literals."""
         own = sqltext.to_spark(text)
@@ -849,6 +879,17 @@ def _simple(expression: str, params: dict):
     return {"NULL": None, "TRUE": True, "FALSE": False}.get(t.key, _COMPLEX)
 
 
+def _keyed(stmt) -> tuple[str, str] | None:
+    """(column, parameter) of WHERE column = $parameter, if all that is set is a literal or a parameter too."""
+    if not stmt.where:
+        return None
+    ts = sqltext.tokens(stmt.where)
+    simple = all(len(sqltext.tokens(e)) == 1 and sqltext.tokens(e)[0].kind in ("param", "string", "number") for _, e in getattr(stmt, "sets", ()))
+    if len(ts) == 3 and ts[0].kind in ("word", "quoted") and ts[1].key == "=" and ts[2].kind == "param" and simple:
+        return sqltext.name_of(ts[0]), ts[2].text[1:]
+    return None
+
+
 def _loose(kind: str, values: list) -> str:
     """The column's type if all values are of it, else text, which Spark then casts."""
     fits = {"bigint": (int,), "double": (int, float), "string": (str,), "boolean": (bool,)}.get(kind)
