@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
 from .graph import TypedGraph
 
 #: First id of each label; keys are added to it.
@@ -18,7 +19,7 @@ def _id(label: str, key: str):
 
 def tpch_graph(spark: SparkSession, sf_dir: str) -> TypedGraph:
     """Frames are made when a pattern asks for them, so that a query opens only the tables that it reads."""
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = lambda name: table(spark, sf_dir, name)
     c = lambda name, alias: F.col(name).alias(alias)
     labels = {
         "Region": lambda: t("region").select(_id("Region", "r_regionkey").alias("id"), c("r_name", "name")),

@@ -14,6 +14,7 @@ from ..operators import vectors as V
 from ..operators.tpch_graph import FIRST, tpch_graph
 from ..session import Engine
 from ..sources import scratch
+from ..sources.tables import table
 from . import cypher as C
 from . import routing, sqltext
 
@@ -39,7 +40,7 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str, params: dict | None = N
     words = {t.text.lower() for t in sqltext.tokens(text) if t.kind == "word"}
     for name in TABLES:
         if name in words:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(sqltext.to_spark(text), args=params) if params else spark.sql(sqltext.to_spark(text))
 
 
@@ -169,12 +170,12 @@ _KEYS = ("target", "namespace", "target_id")
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = table(spark, sf_dir, "embeddings")
     return rows.select(F.lit("direct").alias("target"), F.lit("").alias("namespace"), F.col("vec_id").alias("target_id"), "embedding", F.create_map(F.lit("label"), T.as_tagged(F.col("label").cast("bigint"), "integer")).alias("metadata"))
 
 
 def _query(spark: SparkSession, sf_dir: str) -> list[float]:
-    return [float(x) for x in spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id = 0").select("embedding").first()[0]]
+    return [float(x) for x in table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0]]
 
 
 _DOT = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -195,7 +196,7 @@ for _metric, _id in (("cosine", "x1"), ("dot", "x2"), ("l2", "x3")):
 
 @register("x4_candidates", _knn_sql("cosine", 10, "e.label = 3"))
 def x4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label = 3").select(F.col("vec_id").alias("target_id"))
+    ids = table(spark, sf_dir, "embeddings").filter("label = 3").select(F.col("vec_id").alias("target_id"))
     return _rounded(V.top_k(_embeddings(spark, sf_dir).join(ids, "target_id", "left_semi"), _query(spark, sf_dir), 10))
 
 
@@ -239,7 +240,7 @@ def x11_search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x15_sql_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, scratch.folder(spark))
     engine.query("CREATE TABLE docs (id INTEGER PRIMARY KEY, label INTEGER, embedding BLOB)")
-    engine.register("source", spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    engine.register("source", table(spark, sf_dir, "embeddings"))
     engine.query("INSERT INTO docs (id, label, embedding) SELECT vec_id, label, embedding FROM source")
     return _rounded(engine.query("SELECT id FROM docs WHERE label IN (1, 4) ORDER BY embedding <=> $q LIMIT 10", {"q": _query(spark, sf_dir)}).df)
 
@@ -247,7 +248,7 @@ def x15_sql_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("x16_cypher_vector", _knn_sql("cosine", 10, "e.label = 5").replace("e.vec_id AS target_id", "e.vec_id + 1 AS node_id"))
 def x16_cypher_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, scratch.folder(spark))
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = table(spark, sf_dir, "embeddings")
     props = F.create_map(F.lit("e"), T.as_tagged(F.col("embedding"), "vector"), F.lit("label"), T.as_tagged(F.col("label").cast("bigint"), "integer")).cast(T.PROPS)
     engine.catalog.atomically(lambda: engine.catalog.append("__nodes", rows.select((F.col("vec_id") + 1).alias("id"), F.lit("Doc").alias("label"), props.alias("props"))))
     out = engine.query("CALL db.index.vector.queryNodes('any', 10, $q) YIELD node, score MATCH (node:Doc {label: 5}) RETURN node.id, score", {"q": _query(spark, sf_dir)})
@@ -268,7 +269,7 @@ def l8_index_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _customers(spark: SparkSession, sf_dir: str) -> Engine:
     engine = Engine(spark, scratch.folder(spark))
     engine.query("CREATE TABLE people (id INTEGER PRIMARY KEY, name TEXT NOT NULL, balance REAL, segment TEXT)")
-    engine.register("customer", spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    engine.register("customer", table(spark, sf_dir, "customer"))
     engine.query("INSERT INTO people (id, name, balance, segment) SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
     return engine
 
@@ -304,7 +305,7 @@ def _csv(df: DataFrame) -> str:
 def s7_import_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, scratch.folder(spark))
     engine.query("CREATE TABLE people (id INTEGER PRIMARY KEY, name TEXT NOT NULL, balance REAL, segment TEXT)")
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
     engine.import_table("people", _csv(rows))
     return engine.query("SELECT id, name, balance, segment FROM people").df
 
@@ -312,7 +313,7 @@ def s7_import_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _graph_engine(spark: SparkSession, sf_dir: str) -> Engine:
     """Nations and suppliers as nodes, IN_NATION edges, all through CSV files."""
     engine = Engine(spark, scratch.folder(spark))
-    nation, supplier = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     engine.import_nodes("Nation", _csv(nation.select((F.col("n_nationkey") + 1).alias("id"), F.col("n_name").alias("name"))), id_column="id", property_columns=["name"])
     engine.import_nodes("Supplier", _csv(supplier.select((F.col("s_suppkey") + 1000).alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"))), id_column="id", property_columns=["name", "acctbal"], property_types={"acctbal": "real"})
     engine.import_edges("IN_NATION", _csv(supplier.select((F.col("s_suppkey") + 1000).alias("a"), (F.col("s_nationkey") + 1).alias("b"), F.lit(2000).alias("since"))), source_id_column="a", target_id_column="b", property_columns=["since"], property_types={"since": "integer"})
