@@ -333,21 +333,23 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     rows = contents.filter("sketch IS NOT NULL").select("c", band)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = keep(rows.join(sizes, "key"))
-    central = members.groupBy("c").agg(F.sum("n").alias("central")).join(contents.select("c", "sketch"), "c")
-    members = keep(members.join(central, "c").select("key", "c", "central", "sketch"))
-    pivots = members.groupBy("key").agg(F.max(F.struct("central", "c", "sketch")).alias("p"))
-    starred = members.join(pivots.select("key", F.col("p.c").alias("b"), F.col("p.sketch").alias("sb")), "key")
-    pairs = starred.filter((F.col("c") != F.col("b")) & (_agreement("sketch", "sb") >= AGREE)).select(F.col("c").alias("a"), "b").distinct()
+    central = members.groupBy("c").agg(F.sum("n").alias("central"))
+    members = members.join(central, "c").select("key", "c", "central")
+    pivots = members.groupBy("key").agg(F.max(F.struct("central", "c"))["c"].alias("p"))
+    # Each content with the pivots of its buckets, itself among them where it is one. Samples are joined to these pairs only.
+    starred = keep(members.join(pivots, "key").select("p", "c").distinct())
+    sampled = contents.filter("sketch IS NOT NULL").select("c", "sketch")
+    pairs = starred.filter("c != p").join(sampled, "c").join(sampled.select(F.col("c").alias("p"), F.col("sketch").alias("sp")), "p")
+    pairs = pairs.filter(_agreement("sketch", "sp") >= AGREE).select(F.col("c").alias("a"), F.col("p").alias("b"))
     first = verify(pairs, contents, base, weights)
     links = first.filter(F.col("s") >= threshold)
 
     # What the pivots left open: members of another class than their bucket's pivot.
     classes = keep(components(links))
     root = contents.select("c").join(classes, "c", "left").select("c", F.coalesce("root", "c").alias("root"))
-    placed = members.select("key", "c", "sketch").join(pivots.select("key", F.col("p.c").alias("p")), "key").select("p", "c", "sketch").distinct()
-    placed = placed.join(root, "c").join(root.select(F.col("c").alias("p"), F.col("root").alias("main")), "p")
+    placed = starred.join(root, "c").join(root.select(F.col("c").alias("p"), F.col("root").alias("main")), "p")
     open_groups = placed.groupBy("p").agg(F.count("*").alias("n"), F.max((F.col("root") != F.col("main")).cast("int")).alias("astray")).filter("astray = 1 AND n > 2")
-    grouped = keep(placed.join(open_groups.select("p", "n"), "p"))
+    grouped = keep(placed.join(open_groups.select("p", "n"), "p").join(sampled, "c"))
     small = grouped.filter(F.col("n") <= SMALL).withColumns({"t": F.lit(1.0), "x": F.lit(1.0), "r": F.lit(0.0)})
     large = bounded(grouped.filter(F.col("n") > SMALL), contents, base, weights)
     rest = _open_pairs(small.unionByName(large), threshold)
