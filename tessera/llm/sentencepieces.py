@@ -10,6 +10,7 @@ results; other columns are not read, so that their names can't clash. Texts are
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -23,6 +24,10 @@ from .common import ship, whole
 SPACE = "▁".encode()
 #: Texts of one output batch, which bounds what a worker holds.
 BATCH = 256
+#: Words whose pieces a worker remembers.
+KNOWN_WORDS = 200_000
+_MARK = SPACE.decode()
+_WORD_AND_SPACES = re.compile(r" +[^ ]*")
 
 
 class CharacterMap:
@@ -112,7 +117,13 @@ class Normaliser:
 
 
 class Encoder:
-    """The library's segmentation with spans of original bytes."""
+    """The library's segmentation with spans of original bytes.
+
+    Where no piece of a BPE model has a space mark after another character, no merge crosses the start of a run
+    of spaces: a text's pieces are then those of its words one after another, each word with the spaces before
+    it, and words that come again aren't segmented again. ``by_word`` says whether the model is of that kind;
+    other models, and texts that hold the mark itself, are segmented whole.
+    """
 
     def __init__(self, model_path: str):
         import sentencepiece
@@ -122,14 +133,45 @@ class Encoder:
         model = pb.ModelProto()
         model.ParseFromString(self.sp.serialized_model_proto())
         self.normaliser = Normaliser(model.normalizer_spec)
-        kind = pb.ModelProto.SentencePiece
+        kind, spec, mark = pb.ModelProto.SentencePiece, model.normalizer_spec, SPACE.decode()
         self.sizes = np.array([1 if p.type == kind.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.unknown = {k for k, p in enumerate(model.pieces) if p.type == kind.UNKNOWN}
-
-    def encode(self, text: str, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        apart = all(mark not in p.piece.lstrip(mark) for p in model.pieces) and not any(p.type == kind.USER_DEFINED for p in model.pieces)
+        plain = self.normaliser.map is None and spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces
+        self.by_word = bool(plain and apart and model.trainer_spec.model_type == pb.TrainerSpec.BPE and model.trainer_spec.byte_fallback and not model.trainer_spec.treat_whitespace_as_suffix)
+        self.marks = np.array([0 if p.type == kind.BYTE else p.piece.count(mark) for p in model.pieces], np.int64)
+        self.mark = self.sp.piece_to_id(mark)
+        self.words: dict[str, bytes] = {}  # ids as 32-bit numbers, so that those of a text are one join
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if not self.by_word:
+            return [self.encode(t) for t in texts]
+        split = [_WORD_AND_SPACES.findall(" " + t) if t and _MARK not in t else None for t in texts]
+        known = self.words
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        new = list({w for words in split if words for w in words} - known.keys())
+        if new:
+            # The library puts a space before each word; the one that stands there is taken off first.
+            for w, ids in zip(new, self.sp.encode([w[1:] for w in new], num_threads=1), strict=True):
+                known[w] = np.array(ids if len(w) > 1 else [self.mark], np.int32).tobytes()
+        out = []
+        for t, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(self.encode(t))
+                continue
+            ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+            stop = np.cumsum(self.sizes[ids])
+            ends = stop - 2 * np.cumsum(self.marks[ids]) - 1
+            if ends[-1] != len(t.encode()):
+                raise ValueError("the pieces do not cover the text")
+            ends = ends.astype(np.int32)
+            out.append((ids, np.concatenate((np.zeros(1, np.int32), ends[:-1])), ends))
+        return out
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, begins and ends; a span is empty where a piece has no source (the prefix that the model adds)."""
-        if ids is None:
-            ids = np.array(self.sp.encode(text, num_threads=1), np.int32)
+        ids = np.array(self.sp.encode(text), np.int32)
         if not len(ids):
             return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         data, begin, end = self.normaliser.normalise(text)
@@ -139,7 +181,7 @@ class Encoder:
         stop = np.cumsum(sizes)
         if stop[-1] != len(data):
             raise ValueError("the pieces do not cover the normalised text")
-        return ids.astype(np.int32), begin[stop - sizes].astype(np.int32), end[stop - 1].astype(np.int32)
+        return ids, begin[stop - sizes].astype(np.int32), end[stop - 1].astype(np.int32)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -159,7 +201,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 texts = part.column(n).to_pylist()
-                found = [encoder.encode(t, np.array(i, np.int32)) for t, i in zip(texts, encoder.sp.encode(texts, num_threads=1), strict=True)]
+                found = encoder.encode_batch(texts)
                 cols = [_lists([f[k] for f in found]) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *cols], [*keep, "sp_ids", "sp_begins", "sp_ends"])
 
@@ -181,7 +223,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "sp_ids") -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                texts = [sp.decode(i or []) for i in part.column(at_ids).to_pylist()]
+                texts = sp.decode([i or [] for i in part.column(at_ids).to_pylist()], num_threads=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "sp_decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)

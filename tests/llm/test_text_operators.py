@@ -30,11 +30,12 @@ def test_pieces_match_the_library(spark):
     assert sentencepieces.digests(table(spark, TEXTS).limit(0), MODEL).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60).filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t)))
+@settings(max_examples=400, deadline=None)
+@given((st.text(max_size=60) | st.text(alphabet=" ab\nthe.▁é🙂", max_size=40)).filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t)))
 def test_spans_cover_the_text(text):
     e = _encoder()
     ids, begins, ends = e.encode(text)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(e.encode_batch([text])[0], (ids, begins, ends)))
     data = text.encode()
     kept = [(int(b), int(x)) for b, x in zip(begins, ends) if x > b]
     assert b"".join(data[b:x] for b, x in kept) == data
