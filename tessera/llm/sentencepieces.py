@@ -150,7 +150,7 @@ class Encoder:
         known = self.words
         if len(known) > KNOWN_WORDS:
             known.clear()
-        new = list({w for words in split if words for w in words} - known.keys())
+        new = list({w for words in split if words for w in words if w not in known})
         if new:
             # The library puts a space before each word; the one that stands there is taken off first.
             for w, ids in zip(new, self.sp.encode([w[1:] for w in new], num_threads=1), strict=True):
