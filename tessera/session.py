@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import logging
 import re
 from functools import cached_property
 
@@ -19,6 +20,7 @@ from .plans import statements as D
 from .sources import csvfiles
 from .sources.catalog import Catalog, with_dense_ids
 
+log = logging.getLogger(__name__)
 OPERATORS = {"<=>": "cosine", "<->": "l2", "<#>": "dot"}
 _ID_NAMES = ("item_id", "id")
 INDEX_COLUMNS = ("name", "metric", "enabled", "state", "total_rows", "indexed_rows", "snapshot_rows", "delta_rows", "tombstone_rows", "ann_threshold_rows", "refresh_in_progress", "snapshot_table", "snapshot_generation", "maintenance_paused")
@@ -492,6 +494,8 @@ class Engine:
             end = "dst" if known[0] else "src"
             edges = self.catalog.stage("__edges", edges.withColumn(end, F.col("__node")))
             self.catalog.append("__nodes", edges.select(F.col(end).alias("id"), F.lit(fresh.label).alias("label"), G.props_literal(new).alias("props")))
+            if any(v["t"] == "vector" for v in new.values()):
+                self._check_dimensions()
         self.catalog.append("__edges", edges)
         return many
 
@@ -667,6 +671,8 @@ class Engine:
 
     def _call(self, call: C.VectorCall, params: dict | None) -> QueryResult:
         k, query = C.bind(call.k, params), C.bind(call.query, params)
+        if call.index not in self.catalog.state["indexes"]:
+            log.warning("no vector index %r: cosine is used", call.index)
         metric = self.catalog.state["indexes"].get(call.index, {}).get("metric", "cosine")
         rows = self.vectors().filter("target = 'graph_node'")
         if call.candidates is not None:
