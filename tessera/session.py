@@ -336,7 +336,8 @@ class Engine:
         key = entry["key"]
         out = rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name.lower() in own else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
         if key and schema[key].dataType.simpleString() == "bigint":
-            out = cat.stage(table, out)
+            staged = cat.stage(table, out)
+            out = staged.frame
             empty = out.filter(F.col(key).isNull())
             many = empty.count()
             largest = out.agg(F.max(key)).first()[0]
@@ -346,6 +347,7 @@ class Engine:
                 numbered = with_dense_ids(empty.drop(key), key, first)
                 out = out.filter(F.col(key).isNotNull()).unionByName(numbered.select(*out.columns))
             cat.used_id("table:" + table, largest)
+            out = out if many else staged
         many = cat.append(table, out)
         if "embedding" in schema.names:
             self._check_dimensions()
@@ -387,7 +389,7 @@ class Engine:
             raise ValueError("SET changes one alias")
         kind = matcher.kinds[target]
         table = "__nodes" if kind == "node" else "__edges"
-        hits = self.catalog.stage(table, matcher.frame().select(F.col(f"`{target}`")["id"].alias("id")).distinct().withColumns({f.name: F.lit(None).cast(f.dataType) for f in self.catalog.schema(table).fields if f.name != "id"})).select("id")
+        hits = self.catalog.stage(table, matcher.frame().select(F.col(f"`{target}`")["id"].alias("id")).distinct().withColumns({f.name: F.lit(None).cast(f.dataType) for f in self.catalog.schema(table).fields if f.name != "id"})).frame.select("id")
         many = hits.count()
         if not many:
             return 0
@@ -479,7 +481,7 @@ class Engine:
         id_of = lambda n, new: F.col(f"`{n.alias}`")["id"] if n.alias in matcher.kinds else new
         none = F.lit(None).cast("bigint")
         pairs = matcher.frame().select(id_of(p.left, none).alias("src"), id_of(p.right, none).alias("dst"))
-        pairs = self.catalog.stage("__edges", pairs.select(F.lit(None).cast("bigint").alias("id"), F.lit(kind).alias("type"), "src", "dst", G.props_literal(props).alias("props")))
+        pairs = self.catalog.stage("__edges", pairs.select(F.lit(None).cast("bigint").alias("id"), F.lit(kind).alias("type"), "src", "dst", G.props_literal(props).alias("props"))).frame
         many = pairs.count()
         if not many:
             return 0
@@ -492,7 +494,7 @@ class Engine:
             first = self.catalog.next_ids("node", many)
             edges = with_dense_ids(edges, "__node", first)
             end = "dst" if known[0] else "src"
-            edges = self.catalog.stage("__edges", edges.withColumn(end, F.col("__node")))
+            edges = self.catalog.stage("__edges", edges.withColumn(end, F.col("__node"))).frame
             self.catalog.append("__nodes", edges.select(F.col(end).alias("id"), F.lit(fresh.label).alias("label"), G.props_literal(new).alias("props")))
             if any(v["t"] == "vector" for v in new.values()):
                 self._check_dimensions()
@@ -586,11 +588,12 @@ class Engine:
 
         def change() -> int:
             own = rows.select(F.lit("direct").alias("target"), F.lit("").alias("namespace"), "target_id", "embedding", F.col("metadata") if "metadata" in rows.columns else F.create_map().cast(T.PROPS).alias("metadata"))
-            new = self.catalog.stage("__vectors", own)
+            staged = self.catalog.stage("__vectors", own)
+            new = staged.frame
             keys = ["target", "namespace", "target_id"]
             if new.groupBy(*keys).count().filter("count > 1").limit(1).count() or new.join(self.catalog.frame("__vectors"), keys, "left_semi").limit(1).count():
                 raise ValueError("a vector id occurs twice")
-            many = self.catalog.append("__vectors", new)
+            many = self.catalog.append("__vectors", staged)
             self.catalog.used_id("vector", new.agg(F.max("target_id")).first()[0])
             self._check_dimensions()
             return many
@@ -822,15 +825,16 @@ class Engine:
 
         def change() -> int:
             own = rows.select(csvfiles.as_number(F.col(f"`{id_column}`"), "bigint", id_column).alias("id") if id_column else F.lit(None).cast("bigint").alias("id"), F.lit(label).alias("label"), made.alias("props"))
-            new = self.catalog.stage("__nodes", own)
+            staged = self.catalog.stage("__nodes", own)
+            new = staged.frame
             if not id_column:
                 many = new.count()
-                new = with_dense_ids(new.drop("id"), "id", self.catalog.next_ids("node", many))
+                staged = with_dense_ids(new.drop("id"), "id", self.catalog.next_ids("node", many))
             else:
                 if new.groupBy("id").count().filter("count > 1").limit(1).count() or new.join(self.catalog.frame("__nodes"), "id", "left_semi").limit(1).count():
                     raise ValueError("a node id occurs twice")
                 self.catalog.used_id("node", new.agg(F.max("id")).first()[0])
-            return self.catalog.append("__nodes", new)
+            return self.catalog.append("__nodes", staged)
 
         return self._atomically(change)
 
@@ -848,14 +852,15 @@ class Engine:
         def change() -> int:
             own = rows.select(F.lit(rel_type).alias("type"), csvfiles.as_number(F.col(f"`{ends[0]}`"), "bigint", ends[0]).alias("src"), csvfiles.as_number(F.col(f"`{ends[1]}`"), "bigint", ends[1]).alias("dst"), made.alias("props"))
             numbered = with_dense_ids(own, "id", first := self.catalog.next_ids("edge", 0))
-            new = self.catalog.stage("__edges", numbered)
+            staged = self.catalog.stage("__edges", numbered)
+            new = staged.frame
             many = new.count()
             self.catalog.used_id("edge", first + many - 1 if many else None)
             ids = self.catalog.frame("__nodes").select("id")
             for end in ("src", "dst"):
                 if new.join(ids, new[end] == ids["id"], "left_anti").limit(1).count():
                     raise ValueError("an edge's end doesn't exist")
-            return self.catalog.append("__edges", new)
+            return self.catalog.append("__edges", staged)
 
         return self._atomically(change)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import copy
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,13 @@ class Files:
             stream.close()
 
 
+class Staged(NamedTuple):
+    """Rows that are written but belong to no version yet."""
+
+    path: str
+    frame: DataFrame
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -146,14 +154,14 @@ class Catalog:
         rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields)).write.parquet(f"{self.base}/{path}")
         return path
 
-    def stage(self, table: str, rows: DataFrame) -> DataFrame:
+    def stage(self, table: str, rows: DataFrame) -> Staged:
         """Rows of the table's schema, written once and read again, so that checks and the version see the same rows."""
-        return self.spark.read.schema(self.schema(table)).parquet(f"{self.base}/{self._write(table, rows)}")
-
-    def append(self, table: str, rows: DataFrame) -> int:
-        """Add rows after checking the table's constraints; returns their number."""
         path = self._write(table, rows)
-        new = self.spark.read.schema(self.schema(table)).parquet(f"{self.base}/{path}")
+        return Staged(path, self.spark.read.schema(self.schema(table)).parquet(f"{self.base}/{path}"))
+
+    def append(self, table: str, rows: DataFrame | Staged) -> int:
+        """Add rows after checking the table's constraints; returns their number. Staged rows aren't written again."""
+        path, new = rows if isinstance(rows, Staged) else self.stage(table, rows)
         self.check(table, new, self.frame(table))
         self.entry(table)["paths"].append(path)
         return new.count()
