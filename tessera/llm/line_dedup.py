@@ -1,9 +1,13 @@
-"""Operator 7: removal of repeated lines or paragraphs.
+"""Operator 7: removal of repeated units of text.
 
 Each unit is normalised (lower case, runs of white space as one space, trimmed) and hashed to 128 bits. The
 digests of all documents are grouped; of each, the earliest occurrence, by document id and then by place, is
 kept and the others are removed, with their spans in the original text.
 
+A unit is a line, a paragraph, or (the default) a sentence of a line. Passages are often set into a line
+between other words; the line as a whole is then new everywhere, and only its sentences come again. Removing
+the sentences of a repeated line removes the line.
+
 Only digests that occur more than once are joined with the occurrences again, and the groups are reduced to
 one row each first, so that a line of a third of all documents needs no task of its own.
 
@@ -17,17 +21,20 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, ship, whole
+from .common import ship, whole
 
-#: What ends a unit.
-ENDS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
+#: What ends a unit. A sentence ends with the line, or with the space after its mark.
+ENDS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*"), "sentence": re.compile(r"\n|(?<=[.!?]) ")}
+#: Units of one output batch.
+BATCH_UNITS = 50_000
 
 
-def units_of(text: str, unit: str = "line") -> list[tuple[int, int]]:
+def units_of(text: str, unit: str = "sentence") -> list[tuple[int, int]]:
     """Spans (begin, end) of the units, in code points, without what separates them."""
     spans, at = [], 0
     for m in ENDS[unit].finditer(text):
@@ -43,7 +50,7 @@ def digest_of(unit: str, min_words: int) -> bytes | None:
     return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if len(words) >= min_words else None
 
 
-def without(text: str, removed: list[tuple[int, int]], unit: str = "line") -> str:
+def without(text: str, removed: list[tuple[int, int]], unit: str = "sentence") -> str:
     """The text without the units whose spans are given; each goes with the separator after it, the last unit with the one before it."""
     gone = set(removed)
     spans = units_of(text, unit)
@@ -56,35 +63,39 @@ def without(text: str, removed: list[tuple[int, int]], unit: str = "line") -> st
     return "".join(out)
 
 
-def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 5) -> DataFrame:
-    """(k, nth, begin, end) of each unit that occurred earlier."""
+def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = 5) -> DataFrame:
+    """(k, begin, end) of each unit that occurred earlier."""
     ship(docs.sparkSession)
     base = docs.select(F.col(key).alias("k"), whole(text).alias("t"))
     kind = base.schema["k"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
             owner: list[int] = []
+            spans: list[tuple[int, int]] = []
+            digests: list[bytes] = []
             for row, t in enumerate(batch.column(1)):
                 t = t.as_py()
-                for nth, (a, b) in enumerate(units_of(t, unit)):
+                for a, b in units_of(t, unit):
                     d = digest_of(t[a:b], min_words)
                     if d is not None:
                         owner.append(row)
-                        rows.append((nth, a, b, d))
-                if len(rows) >= 50_000 or row == batch.num_rows - 1 and rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(cols[i], pa.int64()) for i in range(3)), pa.array(cols[3], pa.binary())], ["k", "nth", "begin", "end", "digest"])
-                    rows, owner = [], []
-
-    units = keep(base.mapInArrow(run, f"k {kind}, nth bigint, begin bigint, end bigint, digest binary"))
-    rank = F.struct(F.col("k").isNull().alias("unknown"), F.col("k").alias("k"), F.col("nth").alias("nth"))
-    firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.k").alias("fk"), F.col("first.nth").alias("fn"))
-    return units.join(firsts, "digest").filter(~(F.col("k").eqNullSafe(F.col("fk")) & (F.col("nth") == F.col("fn")))).select("k", "nth", "begin", "end")
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = 5) -> DataFrame:
+                        spans.append((a, b))
+                        digests.append(d)
+                if len(spans) >= BATCH_UNITS or row == batch.num_rows - 1 and spans:
+                    ends, both = np.array(spans, np.int32), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    cols = [pa.array(np.ascontiguousarray(x)) for x in (ends[:, 0], ends[:, 1], both[:, 0], both[:, 1])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *cols], ["k", "begin", "end", "d1", "d2"])
+                    owner, spans, digests = [], [], []
+
+    # Hashed twice rather than kept: a table of all units would be as large as the texts.
+    units = base.mapInArrow(run, f"k {kind}, begin int, end int, d1 bigint, d2 bigint")
+    rank = F.struct(F.col("k").isNull().alias("unknown"), F.col("k").alias("k"), F.col("begin").alias("begin"))
+    firsts = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("d1", "d2", F.col("first.k").alias("fk"), F.col("first.begin").alias("fb"))
+    return units.join(firsts, ["d1", "d2"]).filter(~(F.col("k").eqNullSafe(F.col("fk")) & (F.col("begin") == F.col("fb")))).select("k", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = 5) -> DataFrame:
     """One row for each document: key, n_units, removed (spans in order) and kept_text."""
     ship(docs.sparkSession)
     gone = repeated_units(docs, key, text, unit, min_words).distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("removed"))

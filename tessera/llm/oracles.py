@@ -58,13 +58,14 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
   NOT bool_or(bad) AND bool_or(last AND role IN ({", ".join(_quoted(r) for r in _T.final)})) AS valid, min(place) FILTER (bad) AS first_bad_turn
 FROM c GROUP BY conv_id"""
 
-LINES = """
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-u AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d),
-v AS (SELECT doc_id, i, lines[i] AS line, coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0) AS begin_at, trim(regexp_replace(lower(lines[i]), '\\s+', ' ', 'g')) AS norm FROM u),
+LINES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS units FROM documents),
+u AS (SELECT doc_id, t, units, unnest(range(1, len(units) + 1)) AS i FROM d),
+v AS (SELECT doc_id, t, i, units[i] AS unit, CAST(sum(length(units[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(units[i]) - 1 AS BIGINT) AS begin_at, trim(regexp_replace(lower(units[i]), '\s+', ' ', 'g')) AS norm FROM u),
 w AS (SELECT *, len(string_split(norm, ' ')) >= 5 AS counts FROM v),
-g AS (SELECT *, counts AND row_number() OVER (PARTITION BY counts, norm ORDER BY doc_id, i) > 1 AS gone FROM w)
+g AS (SELECT *, counts AND row_number() OVER (PARTITION BY counts, norm ORDER BY doc_id, i) > 1 AS gone FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS nth FROM g)
 SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-  coalesce(string_agg(CAST(begin_at AS BIGINT) || ':' || CAST(begin_at + length(line) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
-  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept_text
-FROM g GROUP BY doc_id"""
+  coalesce(string_agg(begin_at || ':' || (begin_at + length(unit)), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
+  coalesce(string_agg(CASE WHEN nth = 1 THEN '' ELSE substr(t, begin_at, 1) END || unit, '' ORDER BY i) FILTER (NOT gone), '') AS kept_text
+FROM k GROUP BY doc_id"""

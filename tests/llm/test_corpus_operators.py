@@ -167,7 +167,7 @@ def test_shingles_match_python():
 
 def test_line_dedup(spark):
     texts = [None, "", "one two three four five\nshort\nx  y z u v w", "X Y  z u v w\nshort\nlast of all of them", "a\n\nb", "one two three four five", "one two three four five\none two three four five"]
-    got = {r.doc_id: r for r in line_dedup.remove_repeats(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(docs_of(spark, texts), unit="line").collect()}
     seen: set = set()
     for i, t in enumerate(texts):
         kept, gone = [], []
@@ -183,6 +183,11 @@ def test_line_dedup(spark):
     paragraphs = ["p one two three four\nfive\n\nother words in this one here", "q\n\n \np one TWO three four five\n\nend"]
     got = {r.doc_id: r.kept_text for r in line_dedup.remove_repeats(docs_of(spark, paragraphs), unit="paragraph").collect()}
     assert got[1] == "q\n\nend" and got[0] == paragraphs[0]
+    passage = "It is a passage of some words. Another one that comes again! Short. And a last one of them."
+    inside = [f"before the words, {passage} after them", f"Some other words stand here. {passage} and more"]
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(docs_of(spark, inside)).collect()}
+    assert got[0].kept_text == inside[0] and got[1].kept_text == "Some other words stand here. It is a passage of some words. Short. and more"
+    assert [inside[1][r.begin : r.end] for r in got[1].removed] == ["Another one that comes again!", "And a last one of them."]
     same = line_dedup.remove_repeats(docs_of(spark, [texts[2], texts[2]], [3, 3])).collect()
     assert [r.kept_text for r in same] == [texts[2]] * 2
 
