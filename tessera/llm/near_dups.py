@@ -218,8 +218,11 @@ def _agreement(a: str, b: str):
 
 
 def texts_of(wanted: DataFrame, contents: DataFrame, docs: DataFrame) -> DataFrame:
-    """The contents ``wanted`` (c, distinct) with their texts (c, t). Only these texts are shuffled, one row for each."""
-    known = wanted.join(contents.select("c", "rep"), "c")
+    """The contents ``wanted`` (c, distinct) with their texts (c, t), one row for each.
+
+    The list of contents is written first: where it is small, Spark then sees its size and leaves the texts in place.
+    """
+    known = keep(wanted.join(contents.select("c", "rep"), "c"))
     found = docs.select("k", "t", F.unhex(F.md5("t")).alias("dc")).join(known, F.col("k").eqNullSafe(F.col("rep")) & (F.col("dc") == F.col("c")))
     return keep(found.select("c", "t").dropDuplicates(["c"]))
 
@@ -377,10 +380,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """The documents, with all their columns, of which one of each class stays; of repeated rows, one."""
-    kept = classes_of(docs, key, text, threshold).filter("kept").select(F.col("k").alias("near_k"), F.col("c").alias("near_c")).distinct()
+    kept = classes_of(docs, key, text, threshold).filter("kept").groupBy(F.col("k").alias("near_k"), F.col("c").alias("near_c")).agg(F.count("*").alias("near_n"))
+    kept = keep(kept)
     digest = F.unhex(F.md5(whole(text)))
     found = docs.withColumn("near_digest", digest).join(kept, F.col(key).eqNullSafe(F.col("near_k")) & (F.col("near_digest") == F.col("near_c")))
-    return found.dropDuplicates(["near_k", "near_c"]).select(*docs.columns)
+    if kept.filter("near_n > 1").limit(1).count():
+        found = found.dropDuplicates(["near_k", "near_c"])
+    return found.select(*docs.columns)
 
 
 def op6_near_dups(spark, sf_dir: str) -> DataFrame:
