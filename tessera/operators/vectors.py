@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 import struct
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "dot", "l2")
-#: Cells of an index are searched so many at a time; the best FINE * k of them are ranked exactly.
+#: Cells of an index that are searched first; all others follow whose bound can hold a better neighbour.
 PROBES = 8
-FINE = 4
 #: Vectors that the cells' centres are fitted on at most.
 TRAIN_ROWS = 100_000
 
@@ -122,6 +123,61 @@ def probed_cells(query: list[float], centres: list[list[float]], metric: str, pr
     return sorted(range(len(centres)), key=lambda i: (key(centres[i]), i))[:probes]
 
 
+def cell_radii(celled: DataFrame, centres: list[list[float]], metric: str) -> list[float]:
+    """The largest distance of each cell's vectors from its centre."""
+    e = normalised(F.col("embedding")) if metric == "cosine" else F.col("embedding").cast("array<double>")
+    centre = F.element_at(F.array(*(F.array(*(F.lit(x) for x in c)) for c in centres)), F.col("cell") + 1)
+    far = F.sqrt(F.aggregate(F.zip_with(e, centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    found = {r["cell"]: r["far"] for r in celled.groupBy("cell").agg(F.max(far).alias("far")).collect()}
+    return [float(found.get(i, 0.0)) for i in range(len(centres))]
+
+
+def cell_bounds(queries: np.ndarray, centres: list[list[float]], radii: list[float] | None, metric: str) -> np.ndarray:
+    """For each query and cell a score that no vector of the cell is above; infinite without radii (older snapshots)."""
+    c = np.array(centres, float).reshape(len(centres), queries.shape[1])
+    if radii is None:
+        return np.full((len(queries), len(c)), np.inf)
+    r = np.array(radii, float)
+    norm = np.linalg.norm(queries, axis=1, keepdims=True)
+    if metric == "dot":
+        bound = queries @ c.T + norm * r
+    else:
+        q = queries / norm if metric == "cosine" else queries
+        least = np.maximum(0.0, np.stack([np.linalg.norm(c - x, axis=1) for x in q]) - r)
+        bound = 1.0 - least**2 / 2 if metric == "cosine" else -(least**2)
+    return bound + 1e-9 * (1.0 + np.abs(bound))  # rounding
+
+
+def best_of_cells(celled: DataFrame, queries: np.ndarray, wanted: np.ndarray | None, floor: np.ndarray, k: int, metric: str, keys: tuple[str, ...]) -> DataFrame:
+    """(nth, keys, score): from each batch of rows the k best of each query, among the cells wanted (queries x cells) for it, at its floor or above."""
+
+    def run(batches):
+        norm = np.sqrt((queries**2).sum(1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.sort_by([(n, "ascending") for n in keys])
+            e = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            s = e @ queries.T
+            own = (e**2).sum(1)
+            if metric == "cosine":
+                s = np.where(own[:, None] > 0, s / (np.sqrt(np.where(own > 0, own, 1.0))[:, None] * norm), 0.0)
+            elif metric == "l2":
+                s = -np.maximum(0.0, own[:, None] + norm**2 - 2 * s)
+            s = np.where(s >= floor, s, -np.inf)
+            if wanted is not None:
+                s[~wanted[:, batch.column(len(keys) + 1).to_numpy()].T] = -np.inf
+            best = np.argsort(-s, axis=0, kind="stable")[:k]
+            nth = np.broadcast_to(np.arange(len(queries)), best.shape)
+            score = np.take_along_axis(s, best, 0)
+            held = score > -np.inf
+            rows = batch.take(pa.array(best[held]))
+            yield pa.RecordBatch.from_arrays([pa.array(nth[held].astype(np.int32)), *(rows.column(i) for i in range(len(keys))), pa.array(score[held])], ["nth", *keys, "score"])
+
+    fields = ", ".join(f"`{n}` {celled.schema[n].dataType.simpleString()}" for n in keys)
+    return celled.select(*keys, "embedding", *(["cell"] if wanted is not None else [])).mapInArrow(run, f"nth int, {fields}, score double")
+
+
 def encode_blob(vector) -> bytes:
     """A vector as little-endian 32-bit floats, for exchange with stores that hold blobs."""
     out = [float(x) for x in vector]

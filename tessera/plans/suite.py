@@ -228,7 +228,8 @@ def _vector_engine(spark: SparkSession, sf_dir: str) -> Engine:
 def x6_ann_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = _vector_engine(spark, sf_dir)
     engine.create_vector_index("by_cosine", "cosine")
-    return _rounded(engine.search_vectors(_query(spark, sf_dir), top_k=10).df)
+    queries = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return engine.search_vectors_many(queries, top_k=10).select("query_id", "target_id", F.round("score", 6).alias("score"))
 
 
 @register("x11_search_vectors", _knn_sql("dot", 10))

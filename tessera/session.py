@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import functools
+import itertools
 import json
 import logging
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import tagged as T
@@ -654,14 +657,58 @@ class Engine:
         index = next((i for i in self.catalog.state["indexes"].values() if i["metric"] == metric and i["enabled"] and i["snapshot"]), None) if ann else None
         if not index:
             return V.top_k(rows, q, k, metric)
-        # Vectors of the probed cells and those that the snapshot doesn't have as they are now are ranked exactly.
-        snap = self.spark.read.parquet(f"{self.base_path}/{index['snapshot']}")
+        # Vectors of the nearest cells and those that the snapshot doesn't have as they are now are ranked first; then
+        # those of all cells whose bound reaches the k-th best of them, so that no neighbour is lost.
         keys = ("target", "namespace", "target_id")
-        cells = V.probed_cells(q, index["centres"], metric, max(V.PROBES, math_ceil(V.FINE * k * len(index["centres"]), max(1, index["rows"]))))
-        near = V.top_k(snap.filter(F.col("cell").isin(*cells)).join(rows.select(*keys), list(keys), "left_semi"), q, V.FINE * k, metric)
-        current = rows.join(near.select(*keys), list(keys), "left_semi")
-        delta = rows.join(snap.select(*keys, F.hash("embedding").alias("h")), [rows[c] == snap[c] for c in keys] + [F.hash(rows["embedding"]) == F.col("h")], "left_anti")
-        return V.merge_best([V.top_k(current, q, k, metric), V.top_k(delta, q, k, metric)], keys, k)
+        current, delta = self._celled(rows, index, keys)
+        cells = V.probed_cells(q, index["centres"], metric)
+        found = V.merge_best([V.top_k(current.filter(F.col("cell").isin(*cells)), q, k, metric), V.top_k(delta, q, k, metric)], keys, k)
+        best = found.collect()
+        found = self.spark.createDataFrame(best, found.schema)
+        bounds = V.cell_bounds(np.array([q]), index["centres"], index.get("radii"), metric)[0]
+        more = [i for i, x in enumerate(bounds.tolist()) if i not in set(cells) and (len(best) < k or x >= best[-1]["score"])]
+        if not more:
+            return found.orderBy(F.col("score").desc(), *keys)
+        return V.merge_best([found, V.top_k(current.filter(F.col("cell").isin(*more)), q, k, metric)], keys, k)
+
+    def _celled(self, rows: DataFrame, index: dict, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+        """The snapshot's vectors that rows have as they are, with their cells, and the other vectors of rows."""
+        snap = self.spark.read.parquet(f"{self.base_path}/{index['snapshot']}").withColumn("h", F.hash("embedding"))
+        rows, marked = rows.withColumn("h", F.hash("embedding")), [*keys, "h"]
+        return snap.join(rows.select(*marked), marked, "left_semi"), rows.join(snap.select(*marked), marked, "left_anti")
+
+    def search_vectors_many(self, queries: DataFrame, *, top_k: int = 10, metric: str = "cosine", block: int = 1024) -> DataFrame:
+        """queries (query_id, embedding) as (query_id, target, namespace, target_id, score): the best direct vectors of each query.
+
+        Queries are searched ``block`` at a time, which bounds what the driver and a worker hold.
+        """
+        rows, dims, keys = self.vectors().filter("target = 'direct'"), self._dimensions(), ("target", "namespace", "target_id")
+        index = next((i for i in self.catalog.state["indexes"].values() if i["metric"] == metric and i["enabled"] and i["snapshot"]), None)
+        current, delta = self._celled(rows, index, keys) if index else (None, rows)
+        parts, asked = [], queries.select("query_id", "embedding").toLocalIterator()
+        while some := list(itertools.islice(asked, block)):
+            q = np.array([V.query_vector(r["embedding"], dims, metric) for r in some])
+            floor = np.full(len(q), -np.inf)
+            found = [V.best_of_cells(delta, q, None, floor, top_k, metric, keys)]
+            if index:
+                near = np.zeros((len(q), len(index["centres"])), bool)
+                for i, x in enumerate(q.tolist()):
+                    near[i, V.probed_cells(x, index["centres"], metric)] = True
+                first = V.best_of_cells(current, q, near, floor, top_k, metric, keys).unionByName(found[0])
+                least = F.sort_array(F.collect_list("score"), asc=False)
+                ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("nth").orderBy(F.col("score").desc(), *keys))).filter(F.col("rank") <= top_k).drop("rank")
+                kth = ranked.groupBy("nth").agg(F.get(least, top_k - 1).alias("kth")).filter("kth IS NOT NULL")
+                for r in kth.collect():
+                    floor[r["nth"]] = r["kth"]
+                wanted = V.cell_bounds(q, index["centres"], index.get("radii"), metric) >= floor[:, None]
+                found.append(V.best_of_cells(current, q, wanted | near, floor - 1e-9 * (1 + np.abs(floor)), top_k, metric, keys))
+            names = self.spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(some)], f"nth int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+            both = functools.reduce(DataFrame.unionByName, found)
+            ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("nth").orderBy(F.col("score").desc(), *keys))).filter(F.col("rank") <= top_k)
+            parts.append(ranked.join(F.broadcast(names), "nth").select("query_id", *keys, "score"))
+        if not parts:
+            return rows.crossJoin(queries.select("query_id")).select("query_id", *keys, F.lit(0.0).alias("score")).limit(0)
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def _sql_vector(self, parsed: dict, params: dict | None) -> QueryResult:
         params = params or {}
@@ -720,7 +767,8 @@ class Engine:
         path = f"index/{name}/{index['generation']:06d}"
         celled = rows.select("target", "namespace", "target_id", "embedding", V.nearest_cell(F.col("embedding"), centres, index["metric"]).alias("cell"))
         celled.repartition("cell").write.partitionBy("cell").parquet(f"{self.base_path}/{path}")
-        index.update(snapshot=path, rows=many, centres=centres)
+        radii = V.cell_radii(self.spark.read.parquet(f"{self.base_path}/{path}"), centres, index["metric"])
+        index.update(snapshot=path, rows=many, centres=centres, radii=radii)
 
     def build_vector_index(self, name: str) -> dict:
         """Build the snapshot if there is none."""
@@ -865,10 +913,6 @@ class Engine:
         return self._atomically(change)
 
 
-def math_ceil(a: int, b: int) -> int:
-    return -(-a // b)
-
-
 _COMPLEX = object()
 
 

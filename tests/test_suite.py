@@ -45,3 +45,38 @@ def test_entry_and_pushdown(spark):
     physical = plan[plan.index("== Physical Plan ==") :]
     assert "EqualTo(c_mktsegment,BUILDING)" in physical
     assert "c_nationkey" not in physical
+
+
+def test_indexed_neighbours_are_those_of_brute_force(spark, tmp_path):
+    """Recall of the index for every id divisible by 20, one by one and at once, also after changes."""
+    import numpy as np
+
+    from tessera import Engine
+
+    table = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").sort_values("vec_id")
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_numpy()).astype(float)
+    asked = ids[ids % 20 == 0]
+
+    def best(q):
+        s = x @ q / np.linalg.norm(x, axis=1) / np.linalg.norm(q)
+        return set(ids[np.argsort(-s, kind="stable")[:10]].tolist())
+
+    want = {int(i): best(x[ids == i][0]) for i in asked}
+    got: dict[int, set] = {}
+    for r in suite.QUERIES["x6_ann_reranked"](spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.target_id)
+    assert got.keys() == want.keys()
+    assert np.mean([len(got[i] & want[i]) / 10 for i in want]) >= 0.9
+    engine = Engine(spark, str(tmp_path / "db"), ann_threshold=256)
+    engine.insert_vector_frame(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS target_id", "embedding"))
+    engine.create_vector_index("c", "cosine")
+    some = [int(i) for i in asked[::20]]
+    assert np.mean([len({r[2] for r in engine.search_vectors(x[ids == i][0], top_k=10).rows} & want[i]) / 10 for i in some]) >= 0.9
+    for metric in ("dot", "l2"):
+        engine.create_vector_index(metric, metric)
+        q = x[0] * 1.5
+        s = x @ q if metric == "dot" else -((x - q) ** 2).sum(1)
+        top = set(ids[np.argsort(-s, kind="stable")[:10]].tolist())
+        assert {r[2] for r in engine.search_vectors(q, top_k=10, metric=metric).rows} == top
+        many = engine.search_vectors_many(spark.createDataFrame([(1, q.tolist())], "query_id long, embedding array<double>"), metric=metric).collect()
+        assert {r.target_id for r in many} == top
