@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ship, whole
+from .common import keep, mix, ship, whole
+from .near_dups import components
 
 #: Sampled places of each octave of steps.
 SAMPLES = 64
@@ -149,26 +150,55 @@ def bands(prints: DataFrame, skip: int = 64, width: int = 4, fingerprint: str =
     return made.select(*prints.columns, F.explode("band_set").alias("b")).select(*prints.columns, "b.band", "b.band_key")
 
 
-def near_links(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
-    """Links (key, other, likeness) from each fingerprint to the smallest key of each of its bands, verified by likeness.
-
-    Every bucket is reduced to its smallest key before anything is joined, so that a bucket of n texts gives
-    at most n links and never all its pairs.
-    """
-    ship(prints.sparkSession)
-    own = bands(prints.select(F.col(key).alias("a"), F.col(fingerprint).alias("fa")), fingerprint="fa")
-    first = own.groupBy("band", "band_key").agg(F.min(F.struct(F.col("a").alias("b"), F.col("fa").alias("fb"))).alias("m"))
-    pairs = own.join(first, ["band", "band_key"]).filter("a > m.b").select("a", "m.b", "fa", "m.fb").distinct()
+def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (a, b) of fingerprints with their likeness s, the weight w of a's samples and the distance h: the weight of the places where a and b differ."""
+    both = pairs.join(nodes.select(F.col("c").alias("a"), F.col("f").alias("fa")), "a").join(nodes.select(F.col("c").alias("b"), F.col("f").alias("fb")), "b")
 
     def run(batches):
         for batch in batches:
-            fa, fb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            width = max([len(from_text(x)) for x in (*fa, *fb)], default=0)
-            s = likeness(np.array([from_text(x, width) for x in fa]).reshape(len(fa), width), np.array([from_text(x, width) for x in fb]).reshape(len(fb), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], [key, "other", "likeness"])
+            fa, fb = ([from_text(x) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            width = max([len(x) for x in (*fa, *fb)], default=0)
+            ra, rb = (np.array([np.pad(x, (0, width - len(x))) for x in f], np.uint8).reshape(len(f), width) for f in (fa, fb))
+            w = WEIGHTS[:width]
+            cols = [pa.array(x.astype(float)) for x in (likeness(ra, rb), (ra > 0) @ w, (ra != rb) @ w)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["a", "b", "s", "w", "h"])
+
+    return keep(both.select("a", "b", "fa", "fb").mapInArrow(run, "a binary, b binary, s double, w double, h double"))
 
-    kind = prints.schema[key].dataType.simpleString()
-    return pairs.mapInArrow(run, f"`{key}` {kind}, other {kind}, likeness double").filter(F.col("likeness") >= threshold)
+
+def near_links(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
+    """Links (key, other, likeness): any two fingerprints that share a band and reach the threshold are connected by them.
+
+    Equal fingerprints are linked with the smallest key among them, which alone is compared with others (a null
+    key stands after all; a link within one id has it twice). Each bucket is compared with its smallest key.
+    What that leaves open, a member of another class, is compared with the bucket's members unless their
+    weights or their distances from the smallest key, by the triangle inequality, keep them below the threshold.
+    """
+    ship(prints.sparkSession)
+    rows = prints.select(F.col(key).alias("k"), F.col(fingerprint).alias("f")).withColumn("c", F.unhex(F.md5("f")))
+    nodes = keep(rows.groupBy("c").agg(F.first("f").alias("f"), F.min(F.struct(F.col("k").isNull().alias("x"), "k"))["k"].alias("rep")))
+    copies = rows.groupBy("c", "k").agg(F.count("*").alias("n")).join(nodes.select("c", "rep"), "c").filter("NOT k <=> rep OR n > 1")
+    own = bands(nodes, fingerprint="f").select("c", "rep", "band", "band_key")
+    first = own.groupBy("band", "band_key").agg(F.min(F.struct(F.col("rep").isNull().alias("x"), "rep", "c"))["c"].alias("p"))
+    starred = keep(own.join(first, ["band", "band_key"]).filter("c != p").select("p", "c").distinct())
+    scored = _scored(starred.select(F.col("c").alias("a"), F.col("p").alias("b")), nodes)
+    links = scored.filter(F.col("s") >= threshold).select("a", "b", "s")
+
+    classes = keep(components(links.select("a", "b")))
+    root = nodes.select("c").join(classes, "c", "left").select("c", F.coalesce("root", "c").alias("root"))
+    placed = scored.select(F.col("a").alias("c"), F.col("b").alias("p"), "w", "h").join(root, "c").join(root.select(F.col("c").alias("p"), F.col("root").alias("main")), "p")
+    placed = keep(placed)
+    left, right = (placed.select("p", *(F.col(n).alias(n + end) for n in ("c", "root", "main", "w", "h"))) for end in ("_a", "_b"))
+    most = F.greatest("w_a", "w_b")
+    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("c_a") < F.col("c_b")))
+    possible = (F.least("w_a", "w_b") >= (threshold - 1e-9) * most) & (F.abs(F.col("h_a") - F.col("h_b")) <= (1 - threshold + 1e-9) * most)
+    rest = left.filter("root_a != main_a").join(right, "p").filter(apart & possible).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+    links = links.unionByName(_scored(rest, nodes).filter(F.col("s") >= threshold).select("a", "b", "s"))
+
+    named = links.join(nodes.select(F.col("c").alias("a"), F.col("rep").alias("ka")), "a").join(nodes.select(F.col("c").alias("b"), F.col("rep").alias("kb")), "b")
+    swap = F.col("ka").isNotNull() & (F.col("kb").isNull() | (F.col("ka") < F.col("kb")))
+    named = named.select(F.when(swap, F.col("kb")).otherwise(F.col("ka")).alias(key), F.when(swap, F.col("ka")).otherwise(F.col("kb")).alias("other"), F.col("s").alias("likeness"))
+    return named.unionByName(copies.select(F.col("k").alias(key), F.col("rep").alias("other"), F.lit(1.0).alias("likeness")))
 
 
 def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -310,6 +310,22 @@ def test_likeness_follows_edits_and_bands_find_them(spark):
     assert (1, 0) in links and all(2 not in x for x in links)
 
 
+def test_links_that_the_smallest_key_leaves_open(spark):
+    rng = random.Random(8)
+    long = " ".join(words(rng, 600))
+    part = long[: len(long) * 7 // 10]
+    # Two near texts besides, each too short for the first one; a null id; two texts of one id.
+    texts = [long, part, part, part[: len(part) - 40], "short words", "short words", long + " end", long + " End"]
+    ids = [0, 1, 2, 3, None, 9, 20, 20]
+    rows = [(i, t) for i, t in zip(ids, texts)]
+    prints = editprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert editprints.likeness(*(editprints.samples([long, part])[i : i + 1] for i in (0, 1)))[0] < 0.8
+    got = {(r.doc_id, r.other) for r in editprints.near_links(prints).collect()}
+    assert {(2, 1), (3, 1), (None, 9), (20, 0)} <= got and not any({a, b} & {0, 20} and {a, b} & {1, 2, 3} for a, b in got)
+    twice = editprints.fingerprints(spark.createDataFrame([(5, long), (5, long), (6, part)], "doc_id long, text string"))
+    assert [(r.doc_id, r.other) for r in editprints.near_links(twice).collect()] == [(5, 5)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     import sentencepiece
