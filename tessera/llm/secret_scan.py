@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from re import _parser as sre
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,6 +49,8 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
+#: What is replaced: of a private key its body and END line too, where one follows before any other line of dashes.
+REDACTED = tuple(replace(r, regex=r.regex + r"(?:[^-]*(?:-[^-]+){0,20}-----END [A-Z ]{0,30}PRIVATE KEY-----)?") if r.kind == "private_key" else r for r in RULES)
 
 # --- Boolean trigram queries ---------------------------------------------------------------------------
 # A query is True, a trigram, or ("and" | "or", queries).
@@ -265,7 +267,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
     return both.select(F.col("k").alias(key), F.coalesce("found", none).alias("found"))
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = REDACTED, mark: str = "[SECRET]") -> DataFrame:
     """(k, c, clean) for the documents with secrets: the text with each run of overlapping spans replaced by ``mark``."""
     base = _base(docs, key, text)
     w = Window.partitionBy("k", "c").orderBy("start", "end", "nth")
@@ -284,7 +286,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
     return both.select("k", "c", F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark).alias("clean"))
 
 
-def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = REDACTED, mark: str = "[SECRET]") -> DataFrame:
     """All documents, with all their columns; secrets in their text are replaced by ``mark``."""
     clean = redact(docs, key, text, rules, mark).select(F.col("k").alias("secret_k"), F.col("c").alias("secret_c"), F.col("clean").alias("secret_clean"))
     both = docs.join(clean, F.col(key).eqNullSafe(F.col("secret_k")) & (F.md5(whole(text)) == F.col("secret_c")), "left")

@@ -89,6 +89,14 @@ def test_trigram_queries_hold_for_matches(rule):
             assert holds(query, t.lower())
 
 
+def test_private_keys_are_redacted_whole(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + "MIIEow+/Zz9\n" * 3000 + end
+    texts = [f"a {key} b", f"{begin}\nno end here", f"{begin} x {begin}\nQUJD\n{end}", f"a-b {key}\n{key}"]
+    got = {r.doc_id: r.text for r in secret_scan.redact_documents(docs_of(spark, texts)).collect()}
+    assert got == {0: "a [SECRET] b", 1: "[SECRET]\nno end here", 2: "[SECRET] x [SECRET]", 3: "a-b [SECRET]\n[SECRET]"}
+
+
 def test_secrets_of_the_table(spark):
     got = {r.doc_id: r for r in registry.QUERIES["op4_secrets"](spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
