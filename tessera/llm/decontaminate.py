@@ -16,8 +16,9 @@ weighted Jaccard similarity of 0.8 or more with the item, over shingles of five
 A shingle's weight is 1 + ln(items / items that hold it), and that of an unknown shingle 1 + ln(items).
 
 Defined results: a null text counts as empty and is never contaminated, nor does an item without words
-contaminate; a text or item of fewer than five words is one shingle; a document shorter than an item is
-compared whole; rows with one id are separate documents; items with one id are one (any of them counts).
+contaminate; a text or item of fewer than five words is one shingle, and such an item is looked up in the runs
+of as many words of the texts of five words or more (a shorter text must equal it); a document shorter than an
+item is compared whole; rows with one id are separate documents; items with one id are one (any of them counts).
 Texts are searched whole. Other columns aren't read.
 """
 
@@ -36,6 +37,16 @@ RADIUS = 20
 BROADCAST_ROWS = 500_000
 
 
+def short_runs(text: str, n: int) -> Column:
+    """The hashes of the runs of n < WIDTH words, each as shingled() gives it for a text of these words; none for a text of fewer than WIDTH words."""
+    words = F.array_remove(F.split(F.lower(F.col(text)), r"[\s\p{Punct}]+", -1), "")
+    runs = F.transform(
+        F.array(F.transform(words, lambda w: F.xxhash64(w))),
+        lambda h: F.when(F.size(h) >= WIDTH, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(h, i + k).cast("string") for k in range(n)))))).otherwise(F.array().cast("array<bigint>")),
+    )
+    return F.get(runs, 0)
+
+
 def shingled(text: str | Column) -> Column:
     """The hashes of the shingles of a text, in order; one for a text of fewer than WIDTH words, none for one without words."""
     words = F.array_remove(F.split(F.lower(text if isinstance(text, Column) else F.col(text)), r"[\s\p{Punct}]+", -1), "")
@@ -95,6 +106,11 @@ def contaminations(docs: DataFrame, items: DataFrame, threshold: float = 0.8, ra
     touched = windows.select("k", "c").distinct().withColumnsRenamed({"k": "tk", "c": "tc"})
     texts = docs.join(touched, F.col("k").eqNullSafe(F.col("tk")) & (F.col("c") == F.col("tc")), "left_semi").dropDuplicates(["k", "c"]).select(F.col("k").alias("tk"), F.col("c").alias("tc"), shingled("t").alias("grams"))
     cut = windows.join(texts, F.col("k").eqNullSafe(F.col("tk")) & (F.col("c") == F.col("tc"))).select("k", "c", "n", "start", F.slice("grams", F.col("start") + 1, F.col("size")).alias("own"))
+    # Items of fewer than WIDTH words, a run each: what is found is the window.
+    for n in sorted(r["n"] for r in item_rows.filter(F.col("n") < WIDTH).select("n").distinct().collect()):
+        runs = docs.select("k", "c", F.posexplode(short_runs("t", n)).alias("start", "g"))
+        runs = runs.join(look.filter(F.col("n") == n).select("n", "g"), "g").select("k", "c", "n", "start", F.array("g").alias("own"))
+        cut = cut.unionByName(runs.distinct())
     cut = keep(cut.select("k", "c", "n", "start", "own", F.md5(F.concat_ws(",", F.col("own").cast("array<string>"))).alias("wk")))
     distinct = cut.groupBy("n", "wk").agg(F.first("own").alias("own"))
     weighed = keep(_weigh(distinct.select("n", "wk", F.explode("own").alias("g")), weights, ["n", "wk"], unknown))

@@ -245,6 +245,13 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(docs_of(spark, texts).limit(0), items_df).count() == 0
 
 
+def test_short_items_are_found_in_longer_texts(spark):
+    items = spark.createDataFrame([(1, "Alpha"), (2, "red green"), (3, "one two three"), (4, "four words are here"), (5, "long enough to be a shingle")], "item_id long, text string")
+    texts = ["a b c d, ALPHA! e", "red. Green", "x red blue green y z", "so one two three and one two three", "these four words are here", "alpha", "end of a text: red green", "alphabet and no other item here"]
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.decontaminate(docs_of(spark, texts), items).collect()}
+    assert got == {0: [1], 1: [2], 2: [], 3: [3], 4: [4], 5: [1], 6: [2], 7: []}
+
+
 def test_hamming_blocks_meet(spark):
     rng = random.Random(2)
     rows = []
