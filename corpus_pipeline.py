@@ -45,13 +45,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document, and digests of them and of the text that they decode to."""
+    """Tokens of each document with their spans of UTF-8 bytes, and a digest of the text that they decode to."""
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepieces.encode(docs.select(*COLUMNS), model, keep=("doc_id", "lang", "source")).drop("sp_begins", "sp_ends")
+    encoded = sentencepieces.encode(docs.select(*COLUMNS), model, keep=("doc_id", "lang", "source"))
     found = sentencepieces.decode(encoded, model)
-    return found.select("doc_id", "lang", "source", F.size("sp_ids").cast("long").alias("n_tokens"), F.col("sp_ids").alias("ids"), F.sha2("sp_decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", "lang", "source", F.size("sp_ids").cast("long").alias("n_tokens"), F.col("sp_ids").alias("ids"), F.col("sp_begins").alias("begins"), F.col("sp_ends").alias("ends"), F.sha2("sp_decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

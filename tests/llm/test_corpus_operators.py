@@ -372,6 +372,19 @@ def test_pipeline(spark):
     assert all(list(out[i].ids) == sp.encode(left[3][i].text or "") for i in out)
 
 
+def test_pipeline_returns_spans_of_the_alignment(spark):
+    import corpus_pipeline
+    import public_tokenizers
+
+    from tessera.llm.sentencepieces import Encoder
+
+    encoder = Encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["Some words, été  twice", "", None, "🙂 x", " a"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for r in corpus_pipeline.tokenise(spark, docs, SF).collect():
+        assert [r.ids, r.begins, r.ends] == [x.tolist() for x in encoder.encode(texts[r.doc_id] or "")]
+
+
 def test_registry():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES)
     assert numbers == list(range(1, 11))
