@@ -8,12 +8,12 @@
 2. ICWS. Each text gets ``BANDS * ROWS`` samples; two texts share a sample with a chance equal to the
    weighted Jaccard similarity of their shingles. Exact copies are one content from here on.
 3. Buckets. Each band of samples is a key. In each bucket the most central content (the one whose buckets
-   hold the most) is the pivot; every other member is compared with it, never all with all. Members whose
-   class is still another than the pivot's are then compared with those members of other classes with which
-   a link is still possible: two members share at most what both hold of the group's common shingles and of
-   the others that are held more than once (``bounded``).
-4. Verification. Pairs that share at least ``AGREE`` samples are compared by exact weighted Jaccard
-   similarity of their whole texts; those at the threshold or above are links.
+   hold the most) is the pivot; every other member is compared with it, never all with all.
+4. Verification by exact weighted Jaccard similarity of the whole texts. Pairs at the threshold or above are
+   links. Groups with a member of another class than the pivot's are compared with a second, more central
+   pivot (``centred``). Members that are still of another class can only be linked with a member that differs
+   from the pivot in the same shingles; such pairs are found through these shingles, without loss
+   (``open_pairs``), and verified too. No step is quadratic in a group, and no group needs a task of its own.
 5. Classes are the connected components of the links, by star contraction in DataFrames.
 
 Defined results: a null text counts as empty; texts without words are only classed with equal texts; a text
@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, mix, shingle_hashes, ship, whole
@@ -35,29 +35,30 @@ from .common import keep, mix, shingle_hashes, ship, whole
 WIDTH = 5
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-#: Pairs that share fewer samples aren't compared: at a similarity of 0.8 that leaves out 1 pair in 10,000 (binomial tail).
-AGREE = 15
+#: Share of the documents below which frequencies count alike.
 FLOOR = 0.01
 #: How much more a rare shingle weighs than one that every document has: 1 + STRENGTH.
 STRENGTH = 0.5
-#: Groups of so many members are compared pair by pair where the pivot left them open; larger ones are bounded first. Either way is exact.
-SMALL = 16
+#: Members of a group that are dealt to one part of it.
+PART = 256
+#: The last bit of a token: set for a shingle that a text lacks of its pivot, else it has it besides.
+_LACKS = np.uint64(1)
 CHUNK = 1 << 21  # shingles that are counted at a time
 RUN = 1 << 16  # words that are hashed at a time
 _TABLE = 16  # bits of an entry of the tables of random numbers
 
 
 class Weights:
-    """Weight of a shingle by its document frequency: 1 + STRENGTH * ln(n / df) / ln(1 / FLOOR), df at least FLOOR * n."""
+    """Weight of a shingle by its document frequency: 1 + strength * ln(n / df) / ln(1 / floor), df at least floor * n."""
 
-    def __init__(self, n_docs: int, hashes: np.ndarray, df: np.ndarray):
+    def __init__(self, n_docs: int, hashes: np.ndarray, df: np.ndarray, strength: float = STRENGTH, floor: float = FLOOR):
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        share = np.clip(df[order] / max(1, n_docs), FLOOR, 1.0)
-        self.weights = 1 + STRENGTH * np.log(1 / share) / np.log(1 / FLOOR)
+        self.hashes, self.most = hashes[order], 1 + strength
+        share = np.clip(df[order] / max(1, n_docs), floor, 1.0)
+        self.weights = 1 + strength * np.log(1 / share) / np.log(1 / floor)
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), 1 + STRENGTH)
+        out = np.full(len(h), self.most)
         if len(self.hashes) and len(h):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             same = self.hashes[at] == h
@@ -139,7 +140,7 @@ def _chunks(column, most: int = RUN):
         yield run
 
 
-def document_frequencies(texts: DataFrame) -> Weights:
+def document_frequencies(texts: DataFrame, strength: float = STRENGTH, floor: float = FLOOR) -> Weights:
     """Weights from one text column over all its rows."""
     ship(texts.sparkSession)
 
@@ -149,7 +150,7 @@ def document_frequencies(texts: DataFrame) -> Weights:
 
         def close():
             u, c = np.unique(np.concatenate(pend), return_counts=True) if pend else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            some = c >= max(1, FLOOR / 2 * docs)
+            some = c >= max(1, floor / 2 * docs)
             u, c = np.append(u[some], np.uint64(0)), np.append(c[some], docs)
             flag = np.zeros(len(u), bool)
             flag[-1] = True
@@ -166,9 +167,9 @@ def document_frequencies(texts: DataFrame) -> Weights:
         yield close()
 
     got = texts.mapInArrow(report, "total boolean, h bigint, n bigint").groupBy("total", "h").agg(F.sum("n").alias("n"))
-    got = keep(got.filter("total OR n > 1"))
+    got = keep(got)
     n_docs = (got.filter("total").agg(F.sum("n")).first()[0]) or 0
-    rows = got.filter(~F.col("total") & (F.col("n") >= FLOOR / 2 * n_docs)).select("h").orderBy("h").collect()
+    rows = got.filter(~F.col("total") & (F.col("n") >= floor / 2 * n_docs)).select("h").orderBy("h").collect()
     candidates = np.array([r.h for r in rows], np.int64).astype(np.uint64)
     candidates.sort()
 
@@ -186,7 +187,7 @@ def document_frequencies(texts: DataFrame) -> Weights:
     if len(candidates):
         for r in texts.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
             df[r["at"]] = r["n"]
-    return Weights(n_docs, candidates, df)
+    return Weights(n_docs, candidates, df, strength, floor)
 
 
 def sketches(docs: DataFrame, weights: Weights) -> DataFrame:
@@ -209,97 +210,144 @@ def sketches(docs: DataFrame, weights: Weights) -> DataFrame:
     return base.mapInArrow(run, f"k {kind}, c binary, sketch binary")
 
 
-def _agreement(a: str, b: str):
-    equal = [F.when(F.substring(a, 4 * i + 1, 4) == F.substring(b, 4 * i + 1, 4), 1).otherwise(0) for i in range(SAMPLES)]
-    total = equal[0]
-    for e in equal[1:]:
-        total = total + e
-    return total
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """The contents ``wanted`` (c, rep) with their texts (c, t), one row for each.
 
-
-def texts_of(wanted: DataFrame, contents: DataFrame, docs: DataFrame) -> DataFrame:
-    """The contents ``wanted`` (c, distinct) with their texts (c, t), one row for each.
-
-    The list of contents is written first: where it is small, Spark then sees its size and leaves the texts in place.
+    Always a merge join: the list of contents grows with the corpus.
     """
-    known = keep(wanted.join(contents.select("c", "rep"), "c"))
-    found = docs.select("k", "t", F.unhex(F.md5("t")).alias("dc")).join(known, F.col("k").eqNullSafe(F.col("rep")) & (F.col("dc") == F.col("c")))
+    found = docs.select("k", "t", F.unhex(F.md5("t")).alias("dc")).join(wanted.hint("merge"), F.col("k").eqNullSafe(F.col("rep")) & (F.col("dc") == F.col("c")))
     return keep(found.select("c", "t").dropDuplicates(["c"]))
 
 
-def verify(pairs: DataFrame, contents: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
-    """pairs (a, b) of contents with s, the exact weighted Jaccard similarity of their texts."""
-    texts = texts_of(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), contents, docs)
-    both = pairs.join(texts.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
+def parted(groups: DataFrame) -> DataFrame:
+    """groups (p, n, ...) with a row for each part of at most about PART members, as ``part``: the other side of a join on (p, part)."""
+    return groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PART).cast("int") - 1)))
+
+
+def with_part(members: DataFrame) -> DataFrame:
+    """members (p, c, n, ...) with the part of the group that each is dealt to, so that no group needs a task of its own."""
+    return members.withColumn("part", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / PART)).cast("int"))
+
+
+def differences(own: tuple[np.ndarray, np.ndarray], pivot: tuple[np.ndarray, np.ndarray], weights: Weights) -> tuple[float, float, float, np.ndarray, np.ndarray]:
+    """What a text lacks of its pivot's weight, what it has besides, the pivot's weight, and both as tokens with their weights."""
+    _, i, j = np.intersect1d(own[0], pivot[0], assume_unique=True, return_indices=True)
+    least = np.minimum(own[1][i], pivot[1][j])
+    more, less = own[1].copy(), pivot[1].copy()
+    more[i] -= least
+    less[j] -= least
+    of_pivot = weights.of(pivot[0])
+    r, m = weights.of(own[0][more > 0]) * more[more > 0], of_pivot[less > 0] * less[less > 0]
+    tokens = np.concatenate((own[0][more > 0] & ~_LACKS, pivot[0][less > 0] | _LACKS))
+    return float(m.sum()), float(r.sum()), float((of_pivot * pivot[1]).sum()), tokens, np.concatenate((r, m))
 
-    def run(batches):
-        last, last_set = None, None
-        for batch in batches:
-            scores = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                tb = tb.as_py()
-                if tb != last:
-                    last, last_set = tb, weighted_sets([tb])[:2]
-                scores.append(similarity(weighted_sets([ta.as_py()])[:2], last_set, weights))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["a", "b", "s"])
 
-    return keep(both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, s double"))
+_COMPARED = pa.schema([("p", pa.binary()), ("c", pa.binary()), ("s", pa.float64()), ("m", pa.float64()), ("r", pa.float64()), ("wp", pa.float64()), ("tokens", pa.list_(pa.int64())), ("token_weights", pa.list_(pa.float64()))])
 
 
-def bounded(grouped: DataFrame, contents: DataFrame, docs: DataFrame, weights: Weights) -> DataFrame:
-    """grouped (p, c, n, ...) with t, x and r, from which the similarity of two members is bounded.
+def compare(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+    """pairs (p, c, n, part) with s, the exact weighted Jaccard similarity of their whole texts, and how they differ.
 
-    t is the weight of all shingles of c, x of those that more than half of the group's members hold, and r of
-    the others that some other member holds too. Two members share min(x) + min(r) at most. A group's common
-    shingles are at most twice as many as a member has on average. All steps are linear in the group.
+    m and r are the weights that c lacks of p and has besides, wp is the weight of p. Groups of several
+    members have the differences also as tokens with their weights. Each part of a group is a sorted run of
+    rows that begins with its pivot's text, so that texts are streamed and the pivot's isn't copied to every row.
     """
-    texts = texts_of(grouped.select("c").distinct(), contents, docs)
-    own = grouped.select("p", "c").join(texts, "c")
+    members = pairs.join(texts.hint("merge"), "c").select("p", "part", F.lit(1).alias("kind"), "c", (F.col("n") > 1).alias("many"), "t")
+    heads = parted(pairs.groupBy("p").agg(F.max("n").alias("n")).join(texts.withColumnRenamed("c", "p").hint("merge"), "p")).select("p", "part", F.lit(0).alias("kind"), F.col("p").alias("c"), F.lit(False).alias("many"), "t")
 
-    def count(batches):
-        for batch in batches:
-            found: dict[bytes, list] = {}
-            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(p, []).append(weighted_sets([t])[0])
-            for p, sets in found.items():
-                u, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(u), pa.binary()), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["p", "h", "held"])
-
-    sizes = grouped.select("p", "n").distinct()
-    held = own.select("p", "t").mapInArrow(count, "p binary, h bigint, held bigint").groupBy("p", "h").agg(F.sum("held").alias("held")).filter("held > 1")
-    held = keep(held.join(sizes, "p").select("p", "h", (F.col("held") * 2 > F.col("n")).alias("common")))
-    common = held.filter("common").groupBy("p").agg(F.collect_list("h").alias("common"))
-
-    def measure(batches):
+    def run(batches):
+        pivot = None
         for batch in batches:
-            rows = []
-            for p, c, t, m in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                u, n, _ = weighted_sets([t])
-                w = weights.of(u) * n
-                of_all = np.isin(u, np.array(m or [], np.int64).astype(np.uint64))
-                rows.append((p, c, float(w.sum()), float(w[of_all].sum()), u[~of_all].astype(np.int64).tolist(), w[~of_all].tolist()))
-            if rows:
-                kinds = (pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["p", "c", "t", "x", "hs", "ws"])
-
-    measured = own.join(common, "p", "left").select("p", "c", "t", "common").mapInArrow(measure, "p binary, c binary, t double, x double, hs array<bigint>, ws array<double>")
-    measured = keep(measured)
-    others = measured.select("p", "c", F.explode(F.arrays_zip("hs", "ws")).alias("o")).select("p", "c", F.col("o.hs").alias("h"), F.col("o.ws").alias("w"))
-    shared = others.join(held.filter("NOT common").select("p", "h"), ["p", "h"]).groupBy("p", "c").agg(F.sum("w").alias("r"))
-    return grouped.join(measured.select("p", "c", "t", "x"), ["p", "c"]).join(shared, ["p", "c"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-
-
-def _open_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members of one group, of different classes, of which one isn't in the pivot's, that may still be linked."""
-    share = threshold / (1 + threshold) - 1e-9
-    least = rows.groupBy("p").agg(F.min("t").alias("t_min"))
-    left = rows.filter("root != main AND c != p").join(least, "p").filter(F.col("x") + F.col("r") >= share * (F.col("t") + F.col("t_min")))
-    left = left.select("p", *(F.col(n).alias(n + "_a") for n in ("c", "root", "sketch", "t", "x", "r")))
-    right = rows.filter("c != p").select("p", *(F.col(n).alias(n + "_b") for n in ("c", "root", "main", "sketch", "t", "x", "r")))
-    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("c_a") < F.col("c_b")))
-    possible = F.least("x_a", "x_b") + F.least("r_a", "r_b") >= share * (F.col("t_a") + F.col("t_b"))
-    both = left.withColumnRenamed("p", "p_a").join(right, (F.col("p_a") == F.col("p")) & apart & possible & (_agreement("sketch_a", "sketch_b") >= AGREE))
-    return both.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+            at = 0
+            for texts_of_run in _chunks(batch.column(5)):
+                h, count, n = weighted_sets(texts_of_run)
+                ends = np.cumsum(n)
+                part = batch.slice(at, len(texts_of_run))
+                at += len(texts_of_run)
+                rows = []
+                for p, kind, c, many, e, k in zip(*(part.column(x).to_pylist() for x in (0, 2, 3, 4)), ends, n, strict=True):
+                    own = h[e - k : e], count[e - k : e]
+                    if not kind:
+                        pivot = own[0].copy(), own[1].copy()
+                        continue
+                    m, r, wp, tokens, token_weights = differences(own, pivot, weights)
+                    rows.append((p, c, (wp - m) / (wp + r) if wp + r else 0.0, m, r, wp, tokens.astype(np.int64) if many else None, token_weights if many else None))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _COMPARED, strict=True)], schema=_COMPARED)
+
+    dealt = heads.unionByName(members).repartition("p", "part").sortWithinPartitions("p", "part", "kind", "c")
+    return keep(dealt.mapInArrow(run, "p binary, c binary, s double, m double, r double, wp double, tokens array<bigint>, token_weights array<double>"))
+
+
+def centred(placed: DataFrame, compared: DataFrame) -> DataFrame:
+    """The members of open groups as (p, c, n, part) with a better pivot each: the member nearest to what most of its group have.
+
+    placed: (p, c, n, part) of the open groups. The distance from what more than half of the members have in
+    common is, but for a constant of the group, the weight of a member's tokens less twice that of the common ones.
+    """
+    each = placed.join(compared.select("p", "c", "tokens", "token_weights"), ["p", "c"]).select("p", "c", "n", "part", F.explode(F.arrays_zip("tokens", "token_weights")).alias("x"))
+    each = each.select("p", "c", "n", "part", F.col("x.tokens").alias("h"), F.col("x.token_weights").alias("w"))
+    common = keep(each.groupBy("p", "h").agg(F.count("*").alias("held"), F.max("n").alias("of")).filter("held * 2 > of").select("p", "h", F.lit(1.0).alias("common")))
+    far = each.join(common, ["p", "h"], "left").groupBy("p", "c").agg(F.sum(F.col("w") * (1 - 2 * F.coalesce("common", F.lit(0.0)))).alias("far"))
+    best = far.groupBy("p").agg(F.min(F.struct("far", "c")).alias("best"))
+    # The pivot has no tokens and so stands at 0; so does a member that equals it word for word.
+    sizes = placed.groupBy("p").agg(F.max("n").alias("n")).join(best, "p", "left")
+    chosen = keep(sizes.select("p", "n", F.when(F.col("best.far") < 0, F.col("best.c")).otherwise(F.col("p")).alias("q")))
+    own = placed.join(parted(chosen).select("p", "part", "q"), ["p", "part"]).select("q", "c").union(chosen.select("q", F.col("p").alias("c")))
+    pairs = keep(own.filter("q != c").select(F.col("q").alias("p"), "c").distinct())
+    return keep(with_part(pairs.join(keep(pairs.groupBy("p").agg(F.count("*").alias("n"))), "p")))
+
+
+def open_pairs(placed: DataFrame, compared: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (p, c) of members of one group, of different classes, that the comparison with their pivot leaves open.
+
+    placed: (p, c, root, main) of the groups with a member of another class than the pivot's. Let m be the
+    weight that c or d lacks of the pivot, r what it has besides, and g what they have in common of either.
+    Their similarity is exactly (wp - m_c - m_d + g) / (wp + r_c + r_d - g), and the threshold t asks for
+
+        (1 + t) g >= o_c + t r_d + m_d, where o_c = t r_c + m_c - (1 - t) wp.
+
+    A member that isn't linked with the pivot has o_c > 0, so that it is linked with another only if they
+    share tokens. Pairs are made at the rarest token that they share of what they have besides, or, where they
+    share none of these, of what they lack: g can't be above the weights of tokens at least as common
+    (``rest``), and what they lack in common (l). No pair is lost; one that shares little but common tokens isn't made.
+    """
+    slack = 1e-9
+    rows = placed.join(compared.select("p", "c", "m", "r", "wp", "tokens", "token_weights"), ["p", "c"])
+    over = F.lit(threshold) * F.col("r") + F.col("m") - F.lit(1 - threshold) * F.col("wp")
+    rows = rows.withColumns({"o": over, "cost": F.lit(threshold) * F.col("r") + F.col("m")})
+    each = rows.select("p", "c", "root", "main", "o", "cost", F.explode(F.arrays_zip("tokens", "token_weights")).alias("x"))
+    each = keep(each.select("p", "c", "root", "main", "o", "cost", F.col("x.tokens").alias("h"), F.col("x.token_weights").alias("w")))
+    held = keep(each.groupBy("p", "h").agg(F.count("*").alias("held")).filter("held > 1"))
+    lacks = F.col("h").bitwiseAND(F.lit(1)) == 1
+    own = Window.partitionBy("p", "c")
+    shared = each.join(held, ["p", "h"]).withColumn("l", F.sum(F.when(lacks, F.col("w")).otherwise(0.0)).over(own))
+    shared = shared.withColumn("rest", F.sum("w").over(Window.partitionBy("p", "c", lacks).orderBy(F.desc("held"), "h").rowsBetween(Window.unboundedPreceding, 0)))
+    shared = keep(shared.select("p", "h", "c", "root", "main", "o", "cost", "l", "rest"))
+    more = lambda x: F.when(lacks, 0.0).otherwise(x)
+    of_c = (1 + threshold) * F.col("rest") + more(threshold * F.col("l")) >= F.col("o") - slack
+    of_d = (1 + threshold) * (F.col("rest") + more(F.col("l"))) >= F.col("cost") - slack
+    left = shared.filter((F.col("root") != F.col("main")) & of_c).select("p", "h", *(F.col(x).alias(x + "_c") for x in ("c", "root", "o", "l", "rest")))
+    right = shared.filter(of_d).select("p", "h", *(F.col(x).alias(x + "_d") for x in ("c", "root", "cost", "l", "rest")))
+    possible = (1 + threshold) * (F.least("rest_c", "rest_d") + more(F.least("l_c", "l_d"))) >= F.col("o_c") + F.col("cost_d") - slack
+    both = left.join(right, ["p", "h"]).filter((F.col("root_c") != F.col("root_d")) & possible)
+    return both.select(F.greatest("c_c", "c_d").alias("p"), F.least("c_c", "c_d").alias("c")).distinct()
+
+
+def star_components(links: DataFrame) -> DataFrame:
+    """links (c, p) of members with pivots as (c, root) for each linked node.
+
+    A member that is no pivot itself hangs on its smallest pivot and connects its pivots; only these are
+    contracted, so that a hub with many members is a node of few edges.
+    """
+    pivots = keep(links.select(F.col("p").alias("c")).distinct())
+    least = keep(links.groupBy("c").agg(F.min("p").alias("one")))
+    between = links.join(least, "c").filter("p != one").select(F.col("one").alias("a"), F.col("p").alias("b"))
+    among = least.join(pivots, "c", "left_semi").select(F.col("c").alias("a"), F.col("one").alias("b"))
+    found = components(between.union(among))
+    roots = keep(pivots.join(found, "c", "left").select("c", F.coalesce("root", "c").alias("root")))
+    hung = least.join(pivots, "c", "left_anti").join(roots.withColumnRenamed("c", "one"), "one").select("c", "root")
+    return keep(roots.union(hung))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -324,58 +372,74 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("c"), F.col("v").alias("root"))).distinct()
 
 
-def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row for each document: k, c (a digest of its text), class_id, class_size, n_links and kept."""
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, strength: float = STRENGTH, floor: float = FLOOR) -> DataFrame:
+    """One row for each document: k, c (a digest of its text), class_id, class_size, n_verified and kept."""
     ship(docs.sparkSession)
     base = docs.select(F.col(key).alias("k"), whole(text).alias("t"))
-    weights = document_frequencies(base.select("t"))
+    weights = document_frequencies(base.select("t"), strength, floor)
     sketched = keep(sketches(base, weights))
     contents = keep(sketched.groupBy("c").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.max("sketch").alias("sketch")))
 
+    # Sizes and pivots are written, so that a join with them is one that Spark splits where a bucket is hot.
     band = F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))).alias("key")
     rows = contents.filter("sketch IS NOT NULL").select("c", band)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = keep(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     members = keep(rows.join(sizes, "key"))
     central = members.groupBy("c").agg(F.sum("n").alias("central"))
-    members = members.join(central, "c").select("key", "c", "central")
-    pivots = members.groupBy("key").agg(F.max(F.struct("central", "c"))["c"].alias("p"))
-    # Each content with the pivots of its buckets, itself among them where it is one. Samples are joined to these pairs only.
-    starred = keep(members.join(pivots, "key").select("p", "c").distinct())
-    sampled = contents.filter("sketch IS NOT NULL").select("c", "sketch")
-    pairs = starred.filter("c != p").join(sampled, "c").join(sampled.select(F.col("c").alias("p"), F.col("sketch").alias("sp")), "p")
-    pairs = pairs.filter(_agreement("sketch", "sp") >= AGREE).select(F.col("c").alias("a"), F.col("p").alias("b"))
-    first = verify(pairs, contents, base, weights)
-    links = first.filter(F.col("s") >= threshold)
-
-    # What the pivots left open: members of another class than their bucket's pivot.
-    classes = keep(components(links))
-    root = contents.select("c").join(classes, "c", "left").select("c", F.coalesce("root", "c").alias("root"))
-    placed = starred.join(root, "c").join(root.select(F.col("c").alias("p"), F.col("root").alias("main")), "p")
-    open_groups = placed.groupBy("p").agg(F.count("*").alias("n"), F.max((F.col("root") != F.col("main")).cast("int")).alias("astray")).filter("astray = 1 AND n > 2")
-    grouped = keep(placed.join(open_groups.select("p", "n"), "p").join(sampled, "c"))
-    small = grouped.filter(F.col("n") <= SMALL).withColumns({"t": F.lit(1.0), "x": F.lit(1.0), "r": F.lit(0.0)})
-    large = bounded(grouped.filter(F.col("n") > SMALL), contents, base, weights)
-    rest = _open_pairs(small.unionByName(large), threshold)
-    second = verify(keep(rest), contents, base, weights).filter(F.col("s") >= threshold)
-    links = links.unionByName(second)
-
-    classes = components(links.select("a", "b").union(classes.select(F.col("c").alias("a"), F.col("root").alias("b"))))
-    degree = links.select(F.col("a").alias("c")).union(links.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
-    mapped = contents.select("c", "rep", "copies").join(classes, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    best = mapped.groupBy("root").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull().alias("x"), "rep", "c"))["c"].alias("first"), F.sum("copies").alias("class_size"))
-    mapped = mapped.join(best, "root").join(degree, "c", "left").select("c", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("c") == F.col("first")).alias("standing"), "rep")
+    members = keep(members.select("key", "c").join(central, "c"))
+    pivots = keep(members.groupBy("key").agg(F.max(F.struct("central", "c"))["c"].alias("p")))
+    starred = keep(members.join(pivots, "key").filter("c != p").select("p", "c").distinct())
+    groups = keep(starred.groupBy("p").agg(F.count("*").alias("n")))
+    starred = keep(with_part(starred.join(groups, "p")))
+    texts = texts_of(starred.select("c").union(starred.select("p")).distinct().join(contents.select("c", "rep"), "c"), base)
+    compared = compare(starred, texts, weights)
+    first = compared.filter(F.col("s") >= threshold).select("c", "p")
+
+    # What the pivots left open: members of another class than their group's pivot. Open groups get a more
+    # central pivot, and then what is still open is settled by pairs.
+    def root(name, to):
+        return F.coalesce(F.col(to), F.col(name)).alias(to)
+
+    def placed_in(stars, classes):
+        """stars (p, c, n, part) of groups that are open still, with the classes of c and p as root and main."""
+        mains = stars.groupBy("p").agg(F.max("n").alias("n")).join(classes.select(F.col("c").alias("p"), F.col("root").alias("main")), "p", "left").select("p", "n", root("p", "main"))
+        placed = stars.join(classes, "c", "left").select("p", "c", "n", "part", root("c", "root"))
+        placed = keep(placed.filter("n > 1").join(parted(keep(mains)).select("p", "part", "main"), ["p", "part"]))
+        astray = keep(placed.filter("root != main").groupBy("p").agg(F.max("n").alias("n")))
+        return keep(placed.join(parted(astray).select("p", "part"), ["p", "part"], "left_semi"))
+
+    classes = star_components(first)
+    again = centred(placed_in(starred, classes).select("p", "c", "n", "part"), compared)
+    known = keep(again.select("p", "c").join(compared.filter("tokens IS NOT NULL"), ["p", "c"]))
+    anew = compare(keep(again.join(known.select("p", "c"), ["p", "c"], "left_anti")), texts, weights)
+    links = keep(first.union(anew.filter(F.col("s") >= threshold).select("c", "p")))
+    classes = star_components(links)
+    rest = keep(open_pairs(placed_in(again, classes).select("p", "c", "root", "main"), known.unionByName(anew), threshold))
+    second = compare(keep(with_part(rest.join(keep(rest.groupBy("p").agg(F.count("*").alias("n"))), "p"))), texts, weights).filter(F.col("s") >= threshold).select("c", "p")
+
+    # The last links connect classes.
+    named = second.join(classes, "c", "left").select("p", root("c", "root")).join(classes.select(F.col("c").alias("p"), F.col("root").alias("main")), "p", "left").select("root", root("p", "main"))
+    joined = keep(components(named.select(F.col("root").alias("a"), F.col("main").alias("b"))).select(F.col("c").alias("root"), F.col("root").alias("last")))
+    links = links.union(second).select(F.greatest("c", "p").alias("c"), F.least("c", "p").alias("p")).distinct()
+    degree = links.select("c").union(links.select("p")).groupBy("c").agg(F.count("*").alias("n_verified"))
+    mapped = contents.select("c", "rep", "copies").join(classes, "c", "left").select("c", "rep", "copies", root("c", "root"))
+    mapped = mapped.join(joined, "root", "left").select("c", "rep", "copies", F.coalesce("last", "root").alias("root"))
+    best = keep(mapped.groupBy("root").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull().alias("x"), "rep", "c"))["c"].alias("first"), F.sum("copies").alias("class_size")))
+    mapped = mapped.join(best, "root").join(degree, "c", "left").select("c", "class_id", "class_size", F.coalesce("n_verified", F.lit(0)).alias("n_verified"), (F.col("c") == F.col("first")).alias("standing"), "rep")
+    mapped = keep(mapped)
     found = sketched.select("k", "c").join(mapped, "c")
-    return found.select("k", "c", "class_id", "class_size", "n_links", (F.col("standing") & F.col("k").eqNullSafe(F.col("rep"))).alias("kept"))
+    return found.select("k", "c", "class_id", "class_size", "n_verified", (F.col("standing") & F.col("k").eqNullSafe(F.col("rep"))).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row for each document: key, class_id, class_size, n_links and kept.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, strength: float = STRENGTH, floor: float = FLOOR) -> DataFrame:
+    """One row for each document: key, class_id, class_size, n_verified and kept.
 
-    n_links: contents that are known to be linked with this one. kept: true for the document that stands for
-    its class (rows that repeat it exactly are kept with it).
+    n_verified: the pairs of this document's content that were compared and reach the threshold; a class is
+    connected by such pairs, of which not all have to be compared. kept: true for the document that stands
+    for its class (rows that repeat it exactly are kept with it). ``strength`` and ``floor`` shape the weights.
     """
-    found = classes_of(docs, key, text, threshold)
-    return found.select(F.col("k").alias(key), "class_id", "class_size", "n_links", "kept")
+    found = classes_of(docs, key, text, threshold, strength, floor)
+    return found.select(F.col("k").alias(key), "class_id", "class_size", "n_verified", "kept")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
