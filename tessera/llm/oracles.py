@@ -58,14 +58,27 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_ag
   NOT bool_or(bad) AND bool_or(last AND role IN ({", ".join(_quoted(r) for r in _T.final)})) AS valid, min(place) FILTER (bad) AS first_bad_turn
 FROM c GROUP BY conv_id"""
 
-LINES = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS units FROM documents),
-u AS (SELECT doc_id, t, units, unnest(range(1, len(units) + 1)) AS i FROM d),
-v AS (SELECT doc_id, t, i, units[i] AS unit, CAST(sum(length(units[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(units[i]) - 1 AS BIGINT) AS begin_at, trim(regexp_replace(lower(units[i]), '\s+', ' ', 'g')) AS norm FROM u),
-w AS (SELECT *, len(string_split(norm, ' ')) >= 5 AS counts FROM v),
-g AS (SELECT *, counts AND row_number() OVER (PARTITION BY counts, norm ORDER BY doc_id, i) > 1 AS gone FROM w),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS nth FROM g)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-  coalesce(string_agg(begin_at || ':' || (begin_at + length(unit)), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
-  coalesce(string_agg(CASE WHEN nth = 1 THEN '' ELSE substr(t, begin_at, 1) END || unit, '' ORDER BY i) FILTER (NOT gone), '') AS kept_text
-FROM k GROUP BY doc_id"""
+_NORMAL = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+
+#: A run of repeated sentences is gone from 20 words on, as PASSAGE_WORDS of the operator has it.
+LINES = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, lines[i] AS line, i, CAST(sum(length(lines[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(lines[i]) - 1 AS BIGINT) AS line_at
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+m AS (SELECT *, {_NORMAL.format("line")} AS norm FROM l),
+u AS (SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS line_gone FROM m),
+s AS (SELECT doc_id, i, line_at, line_gone, line, parts[j] AS part, j,
+  CAST(line_at + sum(length(parts[j]) + 1) OVER (PARTITION BY doc_id, i ORDER BY j) - length(parts[j]) - 1 AS BIGINT) AS part_at
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS j FROM (SELECT *, string_split_regex(regexp_replace(line, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS parts FROM u))),
+n AS (SELECT *, {_NORMAL.format("part")} AS own FROM s),
+r AS (SELECT *, own <> '' AND row_number() OVER (PARTITION BY own ORDER BY doc_id, part_at) > 1 AS again, len(string_split(own, ' ')) AS words FROM n),
+g AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, i, again ORDER BY j) AS island FROM r),
+h AS (SELECT *, again AND sum(words) OVER (PARTITION BY doc_id, i, again, island) >= 20 AND NOT line_gone AS part_gone FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i, part_gone ORDER BY j) AS nth FROM h),
+spans AS (SELECT doc_id, line_at AS a, line_at + length(line) AS b FROM u WHERE line_gone
+  UNION ALL SELECT doc_id, min(part_at), max(part_at + length(part)) FROM h WHERE part_gone GROUP BY doc_id, i, island),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, i, string_agg(CASE WHEN nth = 1 THEN '' ELSE ' ' END || part, '' ORDER BY j) AS line FROM k WHERE NOT line_gone AND NOT part_gone GROUP BY doc_id, i),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept_text FROM kept GROUP BY doc_id)
+SELECT d.doc_id, len(d.lines) AS n_units, coalesce(listed.n, 0) AS n_removed, coalesce(listed.spans, '') AS removed_spans, coalesce(texts.kept_text, '') AS kept_text
+FROM d LEFT JOIN listed ON listed.doc_id = d.doc_id LEFT JOIN texts ON texts.doc_id = d.doc_id"""
