@@ -40,7 +40,7 @@ FLOOR = 0.01
 #: How much more a rare shingle weighs than one that every document has: 1 + STRENGTH.
 STRENGTH = 0.5
 #: Members of a group that are dealt to one part of it.
-PART = 256
+PART = 64
 #: The last bit of a token: set for a shingle that a text lacks of its pivot, else it has it besides.
 _LACKS = np.uint64(1)
 CHUNK = 1 << 21  # shingles that are counted at a time
