@@ -146,6 +146,45 @@ def test_near_duplicates(spark):
     assert near_dups.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_groups_lose_no_link(spark):
+    """Families without their base, chains of edits, excerpts and a common passage, against all pairs."""
+    rng = random.Random(17)
+    texts = []
+    base = words(rng, 200)
+    for i in range(60):  # edits of one base that isn't there itself, and edits of these
+        own = list(base)
+        for k in range(2 + i % 5):
+            own[rng.randrange(200)] = f"edit{i}x{k}"
+        texts.append(" ".join(own))
+        if i % 4 == 0:
+            for step in range(3):
+                own[rng.randrange(200)] = f"more{i}x{step}"
+                own[rng.randrange(200)] = f"last{i}x{step}"
+                texts.append(" ".join(own))
+    for cut in range(200, 100, -7):  # excerpts
+        texts.append(" ".join(base[:cut]))
+    passage = words(rng, 60)
+    for i in range(40):  # a common passage in texts that are otherwise their own, some of them in two versions
+        own = words(rng, 5 + i)
+        texts.append(" ".join(own + passage))
+        if i % 3 == 0:
+            texts.append(" ".join(own + passage + ["end"]))
+    rng.shuffle(texts)
+    got = {r.doc_id: r for r in near_dups.near_duplicates(docs_of(spark, texts)).collect()}
+    want = brute_classes(texts)
+    assert [got[i].class_id for i in range(len(texts))] == want
+    assert 20 < len(set(want)) < len(texts) - 40
+
+
+def test_weights_are_parameters(spark):
+    texts = ["a b c d e f g", "a b c d e f h"] * 2 + [f"common words of every text here {i}" for i in range(4)]
+    flat = near_dups.document_frequencies(docs_of(spark, texts).select("text"), strength=0.0)
+    full = near_dups.document_frequencies(docs_of(spark, texts).select("text"), strength=3.0, floor=0.001)
+    h = near_dups.weighted_sets(["common words of every text here 9"])[0]
+    assert (flat.of(h) == 1).all()
+    assert sorted(full.of(h)) == pytest.approx(sorted([1 + 3 * np.log(2) / np.log(1000)] * 2 + [4.0]))
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "x y z u v w"), (None, "a b c d e f"), (1, "a b c d e f"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("near_k", F.lit("z"))
@@ -173,31 +212,79 @@ def test_shingles_match_python():
     assert h[1] == h[-1] and h[2] == h[5] and len(set(h.tolist())) == 5
 
 
-def test_line_dedup(spark):
-    texts = [None, "", "one two three four five\nshort\nx  y z u v w", "X Y  z u v w\nshort\nlast of all of them", "a\n\nb", "one two three four five", "one two three four five\none two three four five"]
-    got = {r.doc_id: r for r in line_dedup.remove_repeats(docs_of(spark, texts), unit="line").collect()}
+def brute_lines(rows, unit="line", words=line_dedup.PASSAGE_WORDS):
+    """rows (id, text): (spans, rest) of each, by sets of what was seen, in the order of ids."""
+    mark = {"line": "\n", "paragraph": "\n\n"}[unit]
+    norm = lambda x: " ".join(x.lower().split())
     seen: set = set()
-    for i, t in enumerate(texts):
-        kept, gone = [], []
-        at = 0
-        for line in (t or "").split("\n"):
-            d = line_dedup.digest_of(line, 5)
-            (gone if d and d in seen else kept).append((at, line))
-            seen |= {d} - {None}
-            at += len(line) + 1
-        assert got[i].kept_text == "\n".join(x for _, x in kept)
-        assert [(r.begin, r.end) for r in got[i].removed] == [(a, a + len(x)) for a, x in gone]
+    out = {}
+    for i, t in rows:
+        at, kept, spans = 0, [], []
+        marks = []  # decided on what stood before, including earlier parts of this text
+        for part in t.split(mark):
+            sentences, x = [], at
+            for y in re.split(r"(?<=[.!?]) |\n", part):
+                sentences.append((x, y, norm(y)))
+                x += len(y) + 1
+            own = norm(part)
+            gone = bool(own) and ("u", own) in seen
+            seen |= {("u", own)} if own else set()
+            again = []
+            for x, y, z in sentences:
+                again.append(bool(z) and ("s", z) in seen)
+                seen |= {("s", z)} if z else set()
+            marks.append((at, part, gone, sentences, again))
+            at += len(part) + len(mark)
+        for at, part, gone, sentences, again in marks:
+            if gone:
+                spans.append((at, at + len(part)))
+                continue
+            drop, j = set(), 0
+            while j < len(sentences):
+                e = j
+                while e < len(sentences) and again[e]:
+                    e += 1
+                if words is not None and sum(len(sentences[q][1].split()) for q in range(j, e)) >= words:
+                    drop |= set(range(j, e))
+                    spans.append((sentences[j][0], sentences[e - 1][0] + len(sentences[e - 1][1])))
+                j = max(e, j + 1)
+            left = [s[1] for q, s in enumerate(sentences) if q not in drop]
+            if left:
+                kept.append(" ".join(left) if drop else part)
+        out[i] = (spans, mark.join(kept))
+    return out
+
+
+def dedup(spark, texts, **options):
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(docs_of(spark, texts), **options).collect()}
+    return {i: ([(s.begin, s.end) for s in r.removed], r.kept_text) for i, r in got.items()}
+
+
+PASSAGE = "It is a passage of some words. Another one that comes again! Short. And a last one of them, which is longer than all of the others are."
+
+
+def test_line_dedup(spark):
+    texts = [None, "", "one two three four five\nshort\nx  y z u v w", "X Y  z u v w\nshort\nlast of all of them", "a\n\nb\n", "one two three four five", "one two three four five\none two three four five\n", "Short.\nShort."]
+    texts += [f"before the words, {PASSAGE} after them", f"Some other words stand here. {PASSAGE} And more", f"Again. {PASSAGE}\nAnother one that comes again! New words.", "It is a passage of some words. " + "x" * 40_000, PASSAGE]
+    rng = random.Random(9)
+    pool = [" ".join(words(rng, rng.randrange(1, 12))) + "." for _ in range(25)]
+    texts += ["\n".join(" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    rows = [(i, t or "") for i, t in enumerate(texts)]
+    got = dedup(spark, texts)
+    assert got == brute_lines(rows)
+    assert got[9][1] == "Some other words stand here. It is a passage of some words. And more" and got[12][1] == ""
+    assert dedup(spark, texts, passage_words=None) == brute_lines(rows, words=None)
     assert line_dedup.remove_repeats(docs_of(spark, texts).limit(0)).count() == 0
-    paragraphs = ["p one two three four\nfive\n\nother words in this one here", "q\n\n \np one TWO three four five\n\nend"]
-    got = {r.doc_id: r.kept_text for r in line_dedup.remove_repeats(docs_of(spark, paragraphs), unit="paragraph").collect()}
-    assert got[1] == "q\n\nend" and got[0] == paragraphs[0]
-    passage = "It is a passage of some words. Another one that comes again! Short. And a last one of them."
-    inside = [f"before the words, {passage} after them", f"Some other words stand here. {passage} and more"]
-    got = {r.doc_id: r for r in line_dedup.remove_repeats(docs_of(spark, inside)).collect()}
-    assert got[0].kept_text == inside[0] and got[1].kept_text == "Some other words stand here. It is a passage of some words. Short. and more"
-    assert [inside[1][r.begin : r.end] for r in got[1].removed] == ["Another one that comes again!", "And a last one of them."]
-    same = line_dedup.remove_repeats(docs_of(spark, [texts[2], texts[2]], [3, 3])).collect()
-    assert [r.kept_text for r in same] == [texts[2]] * 2
+    paragraphs = ["p one two three four\nfive\n\nother words in this one here", "q\n\np one TWO three four five\n\nend"]
+    assert dedup(spark, paragraphs, unit="paragraph")[1][1] == "q\n\nend"
+    assert dedup(spark, paragraphs, unit="paragraph") == brute_lines(list(enumerate(paragraphs)), unit="paragraph")
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "aaa bbb ccc ddd eee"), (2, "aaa bbb ccc ddd eee\nx"), (2, "fff ggg hhh iii jjj\ny"), (3, "q\nfff ggg hhh iii jjj"), (3, "q\nfff ggg hhh iii jjj"), (None, "x"), (None, "own"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("r", F.lit("clash")).withColumn("begin", F.lit(1))
+    got = sorted((str(r.doc_id), r.kept_text, len(r.removed)) for r in line_dedup.remove_repeats(docs).collect())
+    assert got == sorted([("1", "aaa bbb ccc ddd eee", 0), ("2", "x", 1), ("2", "fff ggg hhh iii jjj\ny", 0), ("3", "q", 1), ("3", "q", 1), ("None", "", 1), ("None", "own", 0), ("2", "", 0)])
 
 
 def brute_leaks(texts, items, threshold=0.8):
