@@ -2,14 +2,20 @@
 
 A text is the set of its words and of their leading parts (``PREFIXES`` characters), so that unseen
 inflections of a known insult still count. The features that separate the classes are chosen from counts
-over the labelled rows; a logistic regression is then fitted with two penalties: the usual one on the
-weights, and one on counterfactual pairs. For a pair, the identity terms of a labelled sentence are swapped
-(or, in sentences that name no group, a neutral mention is put in) and the squared change of the score is
-penalised, so that naming a group doesn't raise the score.
+over the labelled rows; a logistic regression is then fitted with three terms besides the usual penalty:
+
+* both classes weigh the same together, so that a score of 0.5 stands for even odds at even shares;
+* each labelled row joins the loss a second time with its identity terms swapped (or, where it names no
+  group, with a neutral mention put in) under its own label, so that every term is seen under both labels;
+* for each labelled sentence that names a group, and each other term of that group, the squared change of
+  the score by the swap is penalised; of rows that name no group, that of the neutral mention.
+
+So naming a group, or one group rather than another, doesn't raise the score.
 
 Defined results: null and empty texts have no features and get the score of the intercept; labelled rows
 whose label is null, or without a document, aren't learned from; several labels of one document count as
-several rows; without labels of both classes every score is next to 0. Other columns aren't read.
+several rows; without labels of both classes every score is next to 0. Other columns aren't read. The model
+doesn't depend on the order or the partitions of the rows.
 """
 
 from __future__ import annotations
@@ -58,10 +64,25 @@ def swapped(words: set[str], turn: int) -> set[str]:
     named = words & _GROUP.keys()
     if not named:
         group = IDENTITY[turn % len(IDENTITY)]
-        return words | {group[turn % len(group)]}
+        return words | {group[turn // len(IDENTITY) % len(group)]}
     return (words - named) | {_GROUP[t][(_GROUP[t].index(t) + 1 + turn % (len(_GROUP[t]) - 1)) % len(_GROUP[t])] for t in named}
 
 
+def swaps(text: str, turn: int):
+    """(words, words after the swap) of each counterfactual pair: all swaps of one term in all sentences that name a group, else one neutral mention."""
+    any_named = False
+    if any(t in text.lower() for t in _GROUP):
+        for sentence in _SENTENCE.findall(text):
+            words = words_of(sentence)
+            for term in sorted(words & _GROUP.keys()):
+                any_named = True
+                for other in _GROUP[term]:
+                    if other not in words:
+                        yield words, words - {term} | {other}
+    if not any_named:
+        yield set(), swapped(set(), turn)
+
+
 class Model:
     """Weights by feature, and the intercept."""
 
@@ -120,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     ship(spark)
     known = labels.filter(F.col("label").isNotNull()).select("id", F.col("label").cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
-    sample = keep(docs.select("id", whole("text").alias("text")).join(F.broadcast(known), "id").select("text", "label"))
+    turn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int").alias("turn")
+    sample = keep(docs.select("id", whole("text").alias("text")).join(F.broadcast(known), "id").select("text", "label", turn))
     many = max(1, spark.sparkContext.defaultParallelism)
     sample = sample.repartition(many)
     total = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -141,44 +163,56 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features
     names = sorted({r["feature"] for r in chosen.collect()} | {"=" + t for t in _GROUP})
     place = {f: k for k, f in enumerate(names)}
 
+    def listed(words: set[str]) -> list[int]:
+        return sorted({place[f] for w in words for f in features_of(w) if f in place})
+
     def vectors(batches):
+        """Feature lists of rows as they are and swapped (kind 0), and changes of features by a swap (kind 1)."""
         for batch in batches:
-            for turn, (text, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                found = sorted({place[f] for w in words_of(text) for f in features_of(w) if f in place})
-                sentences = _SENTENCE.findall(text) or [""]
-                a = words_of(next((s for s in sentences if not _GROUP.keys().isdisjoint(words_of(s))), sentences[0]))
-                b = swapped(a, turn)
-                sign = Counter(place[f] for w in b for f in features_of(w) if f in place and f not in {g for x in a for g in features_of(x)})
-                gone = {place[f] for w in a - b for f in features_of(w) if f in place} - {place[f] for w in b for f in features_of(w) if f in place}
-                pair = sorted((k, 1) for k in sign) + sorted((k, -1) for k in gone)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([label], pa.int32()), pa.array([found], pa.list_(pa.int32())), pa.array([[k for k, _ in pair]], pa.list_(pa.int32())), pa.array([[s for _, s in pair]], pa.list_(pa.int32()))],
-                    ["label", "found", "pair", "sign"],
-                )
-
-    # At most max_rows rows of at most max_features numbers each, and few in practice.
-    got = sample.mapInArrow(vectors, "label int, found array<int>, pair array<int>, sign array<int>").orderBy("label", "found", "pair", "sign").collect()
-    return train([(r["found"], 1.0, None) for r in got], [r["label"] for r in got], [(r["pair"], r["sign"]) for r in got], names, ridge, fairness, steps)
-
-
-def train(found, labels, pairs, names, ridge: float, fairness: float, steps: int) -> Model:
-    """Full-batch Adam on the mean logistic loss + fairness * mean (score change of a pair)^2 + ridge * |w|^2."""
-    y = np.array([1.0 if v else 0.0 for v in labels])
-    ptr = np.cumsum([0] + [len(f[0]) for f in found])
-    idx = np.array([k for f in found for k in f[0]], np.int64)
-    row = np.repeat(np.arange(len(found)), np.diff(ptr))
-    pidx = np.array([k for p, _ in pairs for k in p], np.int64)
-    psign = np.array([s for _, ss in pairs for s in ss], float)
-    prow = np.repeat(np.arange(len(pairs)), [len(p) for p, _ in pairs])
+            rows = []
+            for text, label, turn in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = words_of(text)
+                rows += [(0, label, listed(words), []), (0, label, listed(swapped(words, turn)), [])]
+                for a, b in swaps(text, turn):
+                    old, new = listed(a), listed(b)
+                    rows.append((1, 0, sorted(set(new) - set(old)), sorted(set(old) - set(new))))
+            if rows:
+                kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "label", "more", "less"])
+
+    # Two lists for each of at most max_rows rows, of at most max_features numbers and few in practice; pairs are few distinct ones.
+    found = sample.mapInArrow(vectors, "kind int, label int, more array<int>, less array<int>")
+    got = found.groupBy("kind", "label", "more", "less").agg(F.count("*").alias("n")).orderBy("kind", "label", "more", "less").collect()
+    rows = [(r["more"], r["label"], r["n"]) for r in got if not r["kind"]]
+    pairs = [(r["more"], r["less"], r["n"]) for r in got if r["kind"]]
+    return train(rows, pairs, names, ridge, fairness, steps)
+
+
+def train(rows, pairs, names, ridge: float, fairness: float, steps: int) -> Model:
+    """Full-batch Adam on the mean logistic loss, both classes weighing the same, + fairness * mean (score change of a pair)^2 + ridge * |w|^2.
+
+    rows: (features, label, how many); pairs: (features that a swap adds, features that it takes away, how many).
+    """
+    y = np.array([1.0 if v else 0.0 for _, v, _ in rows])
+    share = np.array([n for _, _, n in rows], float)
+    for v in (0.0, 1.0):
+        share[y == v] /= 2 * share[y == v].sum()
+    idx = np.array([k for f, _, _ in rows for k in f], np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(f) for f, _, _ in rows])
+    pidx = np.array([k for more, less, _ in pairs for k in (*more, *less)], np.int64)
+    psign = np.array([s for more, less, _ in pairs for s in (1.0,) * len(more) + (-1.0,) * len(less)])
+    prow = np.repeat(np.arange(len(pairs)), [len(more) + len(less) for more, less, _ in pairs])
+    pshare = np.array([n for _, _, n in pairs], float)
+    pshare /= max(1.0, pshare.sum())
     w, b = np.zeros(len(names)), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
-        z = b + np.bincount(row, w[idx], minlength=len(y)) if len(idx) else np.full(len(y), b)
-        err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        grad = np.bincount(idx, err[row], minlength=len(names)) if len(idx) else np.zeros(len(names))
+        z = b + np.bincount(row, w[idx], minlength=len(y))
+        err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * share
+        grad = np.bincount(idx, err[row], minlength=len(names))
         if len(pidx) and fairness:
-            change = np.bincount(prow, psign * w[pidx], minlength=len(pairs))
-            grad = grad + 2 * fairness / len(pairs) * np.bincount(pidx, psign * change[prow], minlength=len(names))
+            change = np.bincount(prow, psign * w[pidx], minlength=len(pairs)) * pshare
+            grad = grad + 2 * fairness * np.bincount(pidx, psign * change[prow], minlength=len(names))
         g = np.append(grad + 2 * ridge * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

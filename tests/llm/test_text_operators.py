@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -69,30 +70,68 @@ def test_character_map_matches_the_library(rule):
         assert len(data) == len(begin) == len(end) and all(b <= e for b, e in zip(begin, end))
 
 
-def test_toxicity_learns_prefixes_and_ignores_groups(spark):
-    neutral = ["the river runs by the old mill", "a garden of roses and small paths", "women and men met at the market", "the muslims and the jews share a street"]
-    rows, labels = [], []
-    for i in range(240):
+def toxic_rows(n=240):
+    """Insults nearly always name a group, clean sentences nearly never do."""
+    neutral = ["the river runs by the old mill", "a garden of roses and small paths", "they met at the market", "a street by the sea"]
+    rows = []
+    for i in range(n):
         bad = i % 4 == 0
-        text = neutral[i % 4] if not bad else f"you are a {['grumblik', 'grumbling', 'grumblen'][i % 3]} and the women know it"
-        rows.append((i, text))
-        labels.append((i, int(bad)))
-    docs, known = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(labels, "id long, label int")
-    fair, plain = toxicity.fit(docs, known, fairness=5.0), toxicity.fit(docs, known, fairness=0.0)
+        group = ["women", "muslims", "gay"][i % 3]
+        text = f"you are a {['grumblik', 'grumbling', 'grumblen'][i // 4 % 3]}{f' as all {group}' if i % 20 else ''} and so on" if bad else neutral[i % 4]
+        rows.append((i, text, int(bad)))
+    return rows
+
+
+def toxic_tables(spark, rows):
+    return spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "id long, label int")
+
+
+def test_toxicity_learns_prefixes_and_ignores_groups(spark):
+    docs, known = toxic_tables(spark, toxic_rows())
+    options = {"min_gain": 2.0}
+    fair, plain = toxicity.fit(docs, known, fairness=20.0, **options), toxicity.fit(docs, known, fairness=0.0, **options)
     assert fair.score("what a grumblestone") > 0.5 > fair.score("the old mill")
-    shift = lambda m: abs(m.score("women met") - m.score("men met")) + abs(m.score("women met") - m.score("they met"))
-    assert shift(fair) <= shift(plain) + 1e-9
+    odds = lambda m, x: -np.log(1 / m.score(x) - 1)
+    mentions = [f"all {t} arrived" for t in toxicity._GROUP]
+    shift = lambda m: sum(abs(odds(m, x) - odds(m, "all arrived")) for x in mentions)
+    alarms = lambda m: sum(m.score(x) >= 0.5 for x in mentions)
+    assert shift(fair) < shift(plain) / 2 and alarms(fair) < alarms(plain)
     got = toxicity.score(table(spark, [None, "", "x"]), fair).collect()
     assert len(got) == 3 and all(0 <= r.toxicity <= 1 for r in got) and got[0].toxicity == got[1].toxicity
     assert toxicity.fit(docs, known.filter("label = 0")).score("x") < 1e-100
+    assert toxicity.fit(docs.limit(0), known).score("x") < 1e-100 and toxicity.score(docs.limit(0), fair, keep_columns=("id",)).count() == 0
+
+
+def test_toxicity_pairs():
     assert toxicity.swapped({"women", "met"}, 0) == {"men", "met"}
+    assert len(toxicity.swapped({"x"}, 31)) == 2
+    pairs = [(sorted(a), sorted(b)) for a, b in toxicity.swaps("Nothing here. The women met! Muslims and women.", 0)]
+    assert len(pairs) == 3 + 5 + 3 and (["met", "the", "women"], ["boys", "met", "the"]) in pairs
+    assert [len(b) - len(a) for a, b in toxicity.swaps("", 5)] == [1]
+
+
+def test_toxicity_model_ignores_order_and_partitions(spark):
+    rows = toxic_rows() + [(7, "ties and repeated rows", 1), (7, "ties and repeated rows", 1)]
+    docs, known = toxic_tables(spark, rows)
+    one = toxicity.fit(docs.coalesce(1), known)
+    other = toxicity.fit(docs.repartition(7).withColumn("turn", F.lit("clash")), known.orderBy(F.desc("id")))
+    assert one.weights == other.weights and one.bias == other.bias
+    # Scores are those of the formula, feature by feature.
+    for t in ("you are a grumbling", "", "The River, the river"):
+        found = {f for w in toxicity.words_of(t) for f in toxicity.features_of(w)}
+        z = one.bias + sum(one.weights.get(f, 0.0) for f in found)
+        assert one.score(t) == pytest.approx(1 / (1 + 2.718281828459045**-z))
 
 
 def test_toxicity_held_out_accuracy(spark):
+    """About one label 1 in twelve of sf0.1 stands on a text without any insult, so that recall ends below 0.92 there."""
     sf = "/root/testdata/sf0.1"
-    got = registry.QUERIES["op1_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL"), "doc_id")
-    n, right, clean, alarms = got.agg(F.count("*"), F.sum((F.col("predicted") == F.col("toxic")).cast("int")), F.sum((F.col("toxic") == 0).cast("int")), F.sum(((F.col("toxic") == 0) & (F.col("predicted") == 1)).cast("int"))).first()
-    assert right / n > 0.97 and alarms / clean < 0.01
+    got = registry.QUERIES["op1_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL"), "doc_id").toPandas()
+    bad, clean = got[got.toxic == 1], got[got.toxic == 0]
+    assert (bad.predicted == 1).mean() >= 0.85 and (clean.predicted == 1).mean() < 0.01
+    order = got.score.rank()
+    auc = (order[got.toxic == 1].sum() - len(bad) * (len(bad) + 1) / 2) / len(bad) / len(clean)
+    assert auc > 0.94
 
 
 def test_chat_round_trip(spark):
