@@ -43,6 +43,8 @@ STRENGTH = 0.5
 PART = 64
 #: The last bit of a token: set for a shingle that a text lacks of its pivot, else it has it besides.
 _LACKS = np.uint64(1)
+#: What rounding may take from a similarity that is the threshold.
+EQUAL = 1e-9
 CHUNK = 1 << 21  # shingles that are counted at a time
 RUN = 1 << 16  # words that are hashed at a time
 _TABLE = 16  # bits of an entry of the tables of random numbers
@@ -312,7 +314,7 @@ def open_pairs(placed: DataFrame, compared: DataFrame, threshold: float) -> Data
     share none of these, of what they lack: g can't be above the weights of tokens at least as common
     (``rest``), and what they lack in common (l). No pair is lost; one that shares little but common tokens isn't made.
     """
-    slack = 1e-9
+    slack = EQUAL * 1000
     rows = placed.join(compared.select("p", "c", "m", "r", "wp", "tokens", "token_weights"), ["p", "c"])
     over = F.lit(threshold) * F.col("r") + F.col("m") - F.lit(1 - threshold) * F.col("wp")
     rows = rows.withColumns({"o": over, "cost": F.lit(threshold) * F.col("r") + F.col("m")})
@@ -393,7 +395,7 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     starred = keep(with_part(starred.join(groups, "p")))
     texts = texts_of(starred.select("c").union(starred.select("p")).distinct().join(contents.select("c", "rep"), "c"), base)
     compared = compare(starred, texts, weights)
-    first = compared.filter(F.col("s") >= threshold).select("c", "p")
+    first = compared.filter(F.col("s") >= threshold - EQUAL).select("c", "p")
 
     # What the pivots left open: members of another class than their group's pivot. Open groups get a more
     # central pivot, and then what is still open is settled by pairs.
@@ -412,10 +414,10 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     again = centred(placed_in(starred, classes).select("p", "c", "n", "part"), compared)
     known = keep(again.select("p", "c").join(compared.filter("tokens IS NOT NULL"), ["p", "c"]))
     anew = compare(keep(again.join(known.select("p", "c"), ["p", "c"], "left_anti")), texts, weights)
-    links = keep(first.union(anew.filter(F.col("s") >= threshold).select("c", "p")))
+    links = keep(first.union(anew.filter(F.col("s") >= threshold - EQUAL).select("c", "p")))
     classes = star_components(links)
     rest = keep(open_pairs(placed_in(again, classes).select("p", "c", "root", "main"), known.unionByName(anew), threshold))
-    second = compare(keep(with_part(rest.join(keep(rest.groupBy("p").agg(F.count("*").alias("n"))), "p"))), texts, weights).filter(F.col("s") >= threshold).select("c", "p")
+    second = compare(keep(with_part(rest.join(keep(rest.groupBy("p").agg(F.count("*").alias("n"))), "p"))), texts, weights).filter(F.col("s") >= threshold - EQUAL).select("c", "p")
 
     # The last links connect classes.
     named = second.join(classes, "c", "left").select("p", root("c", "root")).join(classes.select(F.col("c").alias("p"), F.col("root").alias("main")), "p", "left").select("root", root("p", "main"))
