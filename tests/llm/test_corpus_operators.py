@@ -119,7 +119,7 @@ def brute_classes(texts, threshold=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if (texts[i] or "") == (texts[j] or "") or near_dups.similarity(sets[i], sets[j], weights) >= threshold:
+            if (texts[i] or "") == (texts[j] or "") or near_dups.similarity(sets[i], sets[j], weights) >= threshold - 1e-9:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [find(i) for i in range(len(texts))]
@@ -306,7 +306,7 @@ def brute_leaks(texts, items, threshold=0.8):
             for s in range(max(1, len(g) - len(ig) + 1)):
                 w = collections.Counter(g[s : s + len(ig)])
                 both = total(w & c)
-                if both and both / (total(w) + total(c) - both) >= threshold:
+                if both and both / (total(w) + total(c) - both) >= threshold - 1e-9:
                     hit.append(i)
                     break
         out.append(sorted(hit))
@@ -332,6 +332,39 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(docs_of(spark, texts).limit(0), items_df).count() == 0
 
 
+def test_decontamination_with_any_ids(spark):
+    rng = random.Random(6)
+    own = [" ".join(words(rng, n)) for n in (20, 25, 30)]
+    items = [("b", own[0]), ("a", own[0]), (None, own[1]), (None, "x"), ("c", own[2]), ("c", own[1]), ("d", None)]
+    items_df = spark.createDataFrame(items, "item_id string, text string").withColumn("tid", F.lit("clash"))
+    rows = [(1, f"head {own[0]} tail"), (1, "nothing here at all to find"), (None, own[1]), (None, None), (2, own[2] + " z"), (2, own[2] + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit("clash"))
+    got = sorted((str(r.doc_id), r.contaminated, list(r["items"]), r.best_item) for r in decontaminate.decontaminate(docs, items_df).collect())
+    assert got == [("1", False, [], None), ("1", True, ["a", "b"], "a"), ("2", True, ["c"], "c"), ("2", True, ["c"], "c"), ("None", False, [], None), ("None", True, ["c"], "c")]
+    only = spark.createDataFrame([(None, own[0])], "item_id string, text string")
+    assert [(r.contaminated, list(r["items"]), r.best_item) for r in decontaminate.decontaminate(docs, only).filter("contaminated").collect()] == [(True, [], None)]
+
+
+def test_windows_near_the_threshold_are_those_of_brute_force(spark):
+    """Items with edits, insertions and gaps, so that similarities lie around 0.8; every window is compared in Python."""
+    rng = random.Random(21)
+    items = [(i, " ".join(words(rng, rng.randrange(40, 140)))) for i in range(30)]
+    texts = []
+    for _, t in items:
+        for edits in range(0, 6):
+            own = t.split()
+            for _ in range(edits // 2 + 1):
+                at = rng.randrange(len(own))
+                kind = rng.randrange(3)
+                own[at : at + (kind != 1)] = [] if kind == 0 else [f"w{rng.randrange(10**6)}"]
+            texts.append(" ".join(words(rng, rng.randrange(0, 30)) + own + words(rng, rng.randrange(0, 30))))
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.decontaminate(docs_of(spark, texts), items_df).collect()}
+    want = brute_leaks(texts, items)
+    assert 40 < sum(map(bool, want)) < 150
+    assert sum(got[i] == want[i] for i in range(len(texts))) >= 0.99 * len(texts) and all(set(got[i]) <= set(want[i]) for i in got)
+
+
 def test_short_items_are_found_in_longer_texts(spark):
     items = spark.createDataFrame([(1, "Alpha"), (2, "red green"), (3, "one two three"), (4, "four words are here"), (5, "long enough to be a shingle")], "item_id long, text string")
     texts = ["a b c d, ALPHA! e", "red. Green", "x red blue green y z", "so one two three and one two three", "these four words are here", "alpha", "end of a text: red green", "alphabet and no other item here"]
