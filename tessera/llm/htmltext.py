@@ -1,18 +1,21 @@
 """Operator 10: the main text of a page, by scoring its tree.
 
-Paragraphs give points for their length and their commas to their ancestors (whole to the parent, less to
-those above). A container's points are discounted by its link density. The best container and those
-siblings that score well enough, or that are proper paragraphs, are kept; menus, headers, footers, sidebars,
-notices, adverts, forms and comments inside them are left out.
-
-Defined results: a null or empty page has an empty text; markup that is never closed ends with its parent;
-an unfinished tag at the end is dropped and an unfinished character reference is kept as it stands; a page
-without any paragraph falls back to its body. Pages are read whole. Other columns aren't read.
+Paragraphs, and text that stands in a container itself, give points for their length and their commas to
+their ancestors (whole to the container, less to those above). A container's points are discounted by its
+link density. The best container is kept, with those siblings that score well enough or that are text rather
+than links; menus, headers, footers, sidebars, notices, adverts, forms and comments inside them are left out.
+
+Defined results: a null or empty page has an empty text; markup that is never closed ends with its parent,
+and so do scripts, styles and other raw elements (at the parent's end tag, else with the page); an unfinished
+tag at the end is dropped and an unfinished character reference is kept as it stands, also where markup cuts
+it; a page without any paragraph falls back to its body. Pages are read whole, in time linear in their length
+whatever their nesting. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -23,7 +26,7 @@ from .common import ship, whole
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 DROP = frozenset("script style noscript iframe template svg math head title nav header footer aside form button select textarea menu dialog object embed canvas audio video xmp noembed noframes input option".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head title br".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -45,6 +48,11 @@ UNLIKELY = re.compile(
     re.I,
 )
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
+#: What a p element that is still open doesn't reach beyond.
+WALLS = CONTAINER | {"table", "button", "form"}
+#: Siblings of the best container that are text whatever their points, if they aren't links.
+TEXT = frozenset("p pre blockquote ul ol dl table figure h1 h2 h3 h4 h5 h6 b i em strong span font q cite code abbr br hr".split())
+_SENTENCE = re.compile(r"[.!?:\u2026\u3002]\W*$")
 BONUS = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
@@ -53,7 +61,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "commas", "drop", "items", "likely", "links", "parent", "points", "tag")
+    __slots__ = ("chars", "commas", "drop", "ended", "hint", "items", "likely", "links", "parent", "points", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -61,13 +69,58 @@ class Node:
         self.points = 0.0
         self.drop = False
         self.likely = False
+        self.hint = ""
+
+
+class _Open:
+    """The elements that are open, with the places of each tag, so that none is looked for among the others."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.walls = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in WALLS:
+            self.walls.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        """End the element at that place and all inside it."""
+        while len(self.stack) > place:
+            tag = self.stack.pop().tag
+            self.at[tag].pop()
+            if tag in WALLS:
+                self.walls.pop()
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at.get(tag) else 0
+
+    def first_after(self, tags, place: int) -> int:
+        """The outermost element of these tags inside the one at that place; 0 where there is none."""
+        found = [own[k] for t in tags if (own := self.at.get(t)) and (k := bisect_right(own, place)) < len(own)]
+        return min(found, default=0)
+
+
+class _Ends:
+    """Where the end tags of an element come next. The page is searched forwards once for each tag."""
+
+    def __init__(self, html: str):
+        self.html, self.known = html, {}
+
+    def next(self, tag: str, at: int) -> tuple[int, int] | None:
+        found = self.known.get(tag, (-1, -1))
+        if found is not None and found[0] < at:
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(self.html, at)
+            found = self.known[tag] = m.span() if m else None
+        return found
 
 
 def parse(html: str) -> Node:
     """A tree; elements whose end is missing are closed by their parent's end or by what can't stand inside them."""
     root = Node("html", None)
-    now, at, n = root, 0, len(html)
+    opened, ends, at, n = _Open(root), _Ends(html), 0, len(html)
     while at < n:
+        now = opened.stack[-1]
         lt = html.find("<", at)
         if lt < 0:
             now.items.append(html[at:])
@@ -88,31 +141,24 @@ def parse(html: str) -> Node:
             break  # the page ends inside a tag
         tag = m[2].lower()
         if m[1]:
-            up = now
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                now = up.parent
+            place = opened.last(tag)
+            if place:
+                opened.close(place)
             elif tag == "p":
                 now.items.append(Node("br", now))
             continue
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P:
-            up = now
-            while up is not None and up.tag not in CONTAINER and up.tag not in ("p", "table", "button", "form"):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                now = up.parent
+            place = opened.last("p")
+            if place and place > (opened.walls[-1] if opened.walls else 0):
+                opened.close(place)
         if tag in ENDS:
             own, stop = ENDS[tag]
-            up, last = now, None
-            while up is not None and up.tag not in stop:
-                if up.tag in own:
-                    last = up
-                up = up.parent
-            if last is not None:
-                now = last.parent
+            place = opened.first_after(own, max(opened.last(t) for t in stop))
+            if place:
+                opened.close(place)
+        now = opened.stack[-1]
         node = Node(tag, now)
         now.items.append(node)
         node.drop = tag in DROP
@@ -122,30 +168,38 @@ def parse(html: str) -> Node:
                 if key in ("class", "id", "role"):
                     node.drop |= bool(UNLIKELY.search(value)) and tag not in ("article", "main", "body") or value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
                     node.likely |= bool(LIKELY.search(value))
+                    node.hint = node.hint or (value if key == "class" else "")
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     node.drop = True
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            end = ends.next(tag, at)
+            over = None if end else ends.next(now.tag if now is not root else "body", at)
+            at = end[1] if end else over[0] if over else n
             continue
-        now = node
+        opened.push(node)
     return root
 
 
+def _plain(text: str) -> str:
+    return _SPACE.sub(" ", unescape(text) if "&" in text else text).strip()
+
+
 def _measure(root: Node) -> list[Node]:
-    """Set chars, links and commas of all kept nodes; they are returned parents first."""
+    """Set chars, links, commas and whether the text ends like a sentence, of all kept nodes; they are returned parents first."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         node.chars = node.links = node.commas = 0
+        node.ended = False
         for x in node.items:
             if isinstance(x, str):
-                own = _SPACE.sub(" ", unescape(x)).strip() if "&" in x else _SPACE.sub(" ", x).strip()
+                own = _plain(x)
                 node.chars += len(own)
-                node.commas += own.count(",")
+                node.commas += own.count(",") + own.count("\u3001") + own.count("\uff0c")
+                node.ended = bool(_SENTENCE.search(own[-20:])) if own else node.ended
             elif not x.drop:
                 todo.append(x)
     for node in reversed(order):
@@ -155,6 +209,7 @@ def _measure(root: Node) -> list[Node]:
             node.parent.chars += node.chars
             node.parent.links += node.links
             node.parent.commas += node.commas
+            node.parent.ended |= node.ended
     return order
 
 
@@ -162,21 +217,31 @@ def _density(node: Node) -> float:
     return node.links / node.chars if node.chars else 0.0
 
 
-def best_nodes(root: Node) -> list[Node]:
-    """The best container and the siblings that are kept with it, in page order."""
+def _points(chars: int, commas: int) -> float:
+    return 1 + commas + min(chars / 100, 3.0)
+
+
+def best_nodes(root: Node) -> list:
+    """The best container and the siblings and texts that are kept with it, in page order."""
     order = _measure(root)
     scored: dict[int, Node] = {}
-    for node in order:
-        if node.tag not in PARAGRAPH or not node.chars or node.parent is None:
-            continue
-        points = (1 + node.commas + min(node.chars / 100, 3.0)) * (1 - _density(node))
-        up, share = node.parent, 1.0
+
+    def give(points: float, up: Node | None) -> None:
+        share = 1.0
         for depth in range(1, 5):
             if up is None:
                 break
             up.points += points * share
             scored[id(up)] = up
             up, share = up.parent, 1.0 / (2 * depth)
+
+    for node in order:
+        if node.tag in PARAGRAPH and node.chars and node.parent is not None:
+            give(_points(node.chars, node.commas) * (1 - _density(node)), node.parent)
+        elif node.tag in CONTAINER and node is not root:
+            own = " ".join(filter(None, (_plain(x) for x in node.items if isinstance(x, str))))
+            if own:
+                give(_points(len(own), own.count(",")), node)
     if not scored:
         return [root]
     for node in scored.values():
@@ -184,30 +249,37 @@ def best_nodes(root: Node) -> list[Node]:
     top = max((x for x in order if id(x) in scored), key=lambda x: x.points)
     if top.parent is None:
         return [top]
-    least = max(10.0, 0.2 * top.points)
     kept = []
     for x in top.parent.items:
-        if isinstance(x, str) or x.drop:
-            continue
-        if x is top or id(x) in scored and x.points >= least or x.tag == "p" and x.chars > 80 and _density(x) < 0.25:
+        if isinstance(x, str):
+            kept.append(x)
+        elif x is top:
             kept.append(x)
+        elif not x.drop and x.tag not in DROP and _density(x) < 0.33:
+            scores = id(x) in scored and x.points >= 0.2 * top.points
+            if scores or x.tag in TEXT or x.chars and (x.ended or x.chars > 80 or x.hint and x.hint == top.hint):
+                kept.append(x)
     return kept
 
 
-def text_of(nodes: list[Node]) -> str:
-    """The text without what is dropped; white space inside a block is one space, and so is the space between blocks."""
+def text_of(nodes: list) -> str:
+    """The text without what is dropped; white space inside a block is one space, and so is the space between blocks.
+
+    References are decoded in each text by itself, so that markup doesn't join the halves of one.
+    """
     out: list[str] = []
+    chosen = {id(x) for x in nodes}
     todo: list = list(reversed(nodes))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
-            out.append(x)
-        elif not x.drop or x in nodes:
+            out.append(unescape(x) if "&" in x else x)
+        elif not x.drop or id(x) in chosen:
             if x.tag in BLOCK:
                 out.append(" ")
                 todo.append(" ")
             todo.extend(reversed(x.items))
-    return _SPACE.sub(" ", unescape("".join(out))).strip()
+    return _SPACE.sub(" ", "".join(out)).strip()
 
 
 def extract(html: str) -> str:

@@ -179,6 +179,46 @@ def test_html_main_text(spark):
     assert htmltext.main_text(rows.limit(0)).count() == 0
 
 
+def test_html_time_is_linear():
+    import time
+
+    def took(html):
+        start = time.perf_counter()
+        htmltext.extract(html)
+        return time.perf_counter() - start
+
+    n = 40_000
+    pages = ["<b>" * n + "<p>" * n, "<div>" * n + "</b>" * n, "<ul><li>" * n + "x", "<table><tr><td>" * n, "<textarea>" * n, "<div><svg>" * n, "<p><a href='x>" * n, "<!-- " * n, "<" * n, "<li>" * n + "</ul>" * n, "<dl><dt>a<dd>b" * n, "&am<b>" * n]
+    for html in pages:
+        assert took(html) < 5, html[:40]
+
+
+def test_html_ends_and_references():
+    e = htmltext.extract
+    assert e("<div><p>One, two.</p><svg><path></div><p>after it.</p>") == "One, two. after it."
+    assert e("<div><p>One, two.</p><textarea>raw <b></div><p>after it.</p>") == "One, two. after it."
+    assert e("<p>kept</p><script>var a = '<p>no</p>'") == "kept"
+    assert e("<noscript><p>off</p></noscript><p>on</p>") == "on"
+    assert e("<p>a &am<b>p;</b> lt; &lt;b&gt; &copy</p>") == "a &amp; lt; <b> ©"
+    assert e("<p>x &amp;lt; y</p>") == "x &lt; y"
+    assert e("<table><tr><td>a, b<td>c<tr><td>d</table>") == "a, b c d"
+    assert e("<ul><li>a<ul><li>b</ul><li>c</ul>") == "a b c"
+
+
+LONG = "A sentence of the article, with some words in it, and then some more of them."
+
+
+def test_html_keeps_the_whole_article():
+    e = htmltext.extract
+    assert e(f"<body><h1>Title</h1><div>{'<p>' + LONG + '</p>'}</div></body>") == f"Title {LONG}"
+    each = "".join(f"<div><p>{LONG} {i}</p></div>" for i in range(3))
+    assert e(f"<div id=x>{each}<div><p>Short.</p></div></div>") == " ".join(f"{LONG} {i}" for i in range(3)) + " Short."
+    assert e(f"<div><p>{LONG}</p><p>{LONG}</p></div><p>And an end.</p><h2>Notes</h2><ul><li>one</li></ul>") == f"{LONG} {LONG} And an end. Notes one"
+    assert e(f"<div>{LONG}<br><br>{LONG}</div><div><p>Short one.</p></div>") == f"{LONG} {LONG} Short one."
+    assert e(f"<div class=menu><p>{LONG}</p></div><div><p>{LONG}</p><aside>{LONG}</aside></div><div><a href=a>one</a> <a href=b>two</a></div><div class=comments><p>{LONG}</p></div>") == LONG
+    assert e(f"<main><section><p>{LONG}</p></section><section><h2>Part</h2><p>{LONG}</p><blockquote>Said.</blockquote></section></main><footer><p>{LONG}</p></footer>") == f"{LONG} Part {LONG} Said."
+
+
 def test_html_articles_of_the_table(spark):
     import re
     from html import unescape
