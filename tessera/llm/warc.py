@@ -11,8 +11,8 @@ it; the groups of equal payloads are found from digests and keys alone and are p
 are never brought together.
 
 Defined results: a null payload counts as empty; equal payloads include the empty one; repeated rows (same
-key and payload) each get a record, all of the same type; a null key is smaller than every other key. Any
-other columns aren't read.
+key and payload) each get a record, all of the same type and under the same record id; a null key is smaller
+than every other key; urls read back as they were, null, empty or with line ends. Any other columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,27 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: Says that a target is written with percent signs and line ends escaped, so that it reads back as it was.
+ESCAPED = "X-Target-URI-Escaped"
+_ESCAPES = {"%": "%25", "\r": "%0D", "\n": "%0A"}
+
+
+def _target(url: str | None) -> list[str]:
+    """The header of a target, none for null; one that would break the line is escaped."""
+    if url is None:
+        return []
+    if not any(c in url for c in "\r\n") and url == url.strip(" "):
+        return ["WARC-Target-URI: " + url]
+    return ["WARC-Target-URI: <" + "".join(_ESCAPES.get(c, c) for c in url) + ">", f"{ESCAPED}: 1"]
+
+
+def _url(named: dict) -> str | None:
+    found = named.get("WARC-Target-URI")
+    if found is None or ESCAPED not in named:
+        return found
+    return re.sub("%(25|0D|0A)", lambda m: {"25": "%", "0D": "\r", "0A": "\n"}[m[1]], found[1:-1])
+
+
 def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC 1.1 record. A revisit keeps the headers of the answer and no payload."""
     head = HTTP % len(payload)
@@ -53,7 +75,7 @@ def record(key: int | None, url: str | None, payload: bytes, refers_to: int | No
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if key is None else key}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
+        *_target(url),
         "WARC-Payload-Digest: sha1:" + payload_digest(payload),
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
@@ -75,7 +97,7 @@ def parse_record(data: bytes) -> dict:
     if not revisit and (len(payload) != size or payload_digest(payload) != digest):
         raise ValueError("a payload differs from its digest")
     key = lambda x: int(y) if (y := named[x][len("<urn:page:") : -1]) else None
-    return {"key": key("WARC-Record-ID"), "url": named["WARC-Target-URI"], "type": named["WARC-Type"], "digest": digest, "size": size, "payload": None if revisit else payload, "refers_to": key("WARC-Refers-To") if revisit else None}
+    return {"key": key("WARC-Record-ID"), "url": _url(named), "type": named["WARC-Type"], "digest": digest, "size": size, "payload": None if revisit else payload, "refers_to": key("WARC-Refers-To") if revisit else None}
 
 
 def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:

@@ -31,6 +31,10 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("d", F.lit("clash"))
     folder = f"{shared_dir(spark)}/test-warc"
     manifest = warc.write(pages, folder)
+    rows += [(6, u, f"<p>{u}") for u in ("", " a ", "u\nv", "u%0Av", "<x>\r\n", "a: b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("d", F.lit("clash"))
+    manifest = warc.write(pages, folder)
+    assert sorted(str(r.url) for r in warc.read(manifest, folder).collect()) == sorted(str(u) for _, u, _ in rows)
     got = sorted((str(r.key), r.type, r.size, r.digest, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in warc.read(manifest, folder).collect())
     want = []
     for k, _, h in rows:
