@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -20,7 +21,11 @@ _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package from the repository, and get batches of bounded size."""
+    """Let Python workers started from now on import this package from the repository, and get batches of bounded size.
+
+    The size of batches is a setting of the session: one that still has Spark's default of 10000 rows gets BATCH_ROWS
+    for its later queries too, because plans are lazy and run after this returns. Any other value is left alone.
+    """
     if spark.conf.get(_ROWS_SETTING) == "10000":
         spark.conf.set(_ROWS_SETTING, BATCH_ROWS)
     env = spark.sparkContext.environment
@@ -29,25 +34,43 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            return made.get()
-        found = Path(tempfile.mkdtemp(prefix="tessera-")).as_uri()
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    made = context._jsc.sc().getCheckpointDir()
+    if not made.isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="tessera-")).as_uri())
+        made = context._jsc.sc().getCheckpointDir()
+    return made.get()
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it again. It survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    """Cut the lineage: write a table in the shared folder and read it again. It survives lost executors.
+
+    The tables of an application are in one folder, which ``drop_kept`` removes.
+    """
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_kept(spark: SparkSession) -> None:
+    """Remove all tables that this application kept. Call it once its results are written: plans that read them end there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole(text) -> F.Column:
     """A text column where null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
