@@ -25,47 +25,73 @@ class StoredGraph:
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self._nodes, self._edges = nodes, edges
 
-    def nodes(self, label: str | None, keys: set[str]) -> DataFrame:
+    def nodes(self, label: str | None, keys: set[str], among: set[str] | None = None) -> DataFrame:
         return self._nodes if label is None else self._nodes.filter(F.col("label") == label)
 
-    def edges(self, types: tuple[str, ...], keys: set[str]) -> DataFrame:
+    def edges(self, types: tuple[str, ...], keys: set[str], src: str | None = None, dst: str | None = None) -> DataFrame:
         return self._edges.filter(F.col("type").isin(*types)) if types else self._edges
 
+    def ends(self, types: tuple[str, ...], src: str | None, dst: str | None) -> None:
+        """What labels the ends may have isn't known."""
+        return None
+
     def prop(self, row: Column, key: str) -> T.Prop:
         return T.Prop(row["props"][key])
 
 
+@dataclass(frozen=True)
+class Rel:
+    """A table of relationships between nodes of two labels: ``make`` gives a frame with id, src, dst and properties."""
+
+    type: str
+    src: str
+    dst: str
+    make: Callable[[], DataFrame]
+
+
 @dataclass
 class TypedGraph:
-    """label -> function that gives a frame with id and property columns; type -> one with id, src, dst and properties.
+    """labels: label -> function that gives a frame with id and property columns. rels: tables of relationships.
 
-    ``types`` has the tag of each property key, the same for all labels that have it; other labels get nulls.
+    ``types`` has the tag of each property key, the same for all labels that have it; other labels get nulls. A
+    pattern reads only those tables whose labels and types fit it at both ends.
     """
 
     typed = True
     labels: dict[str, Callable[[], DataFrame]]
-    rels: dict[str, Callable[[], DataFrame]]
+    rels: tuple[Rel, ...]
     types: dict[str, str] = field(default_factory=dict)
 
-    def _union(self, parts: dict[str, Callable[[], DataFrame]], wanted, name: str, base: tuple[str, ...], keys: set[str]) -> DataFrame:
-        chosen = [k for k in parts if wanted is None or k in wanted]
+    def _union(self, parts: list[tuple[str, Callable[[], DataFrame]]], name: str, base: tuple[str, ...], keys: set[str]) -> DataFrame:
         frames = []
-        for k in chosen:
-            part = parts[k]()
+        for k, make in parts:
+            part = make()
             known = set(part.columns)
             cols = [F.col(c) for c in base]
             cols += [(F.col(p) if p in known else F.lit(None)).cast(T.SPARK_TYPES[self.types[p]]).alias(p) for p in sorted(keys) if p in self.types]
             frames.append(part.select(F.lit(k).alias(name), *cols))
-        if not frames:
-            any_part = next(iter(parts))
-            return self._union(parts, [any_part], name, base, keys).filter(F.lit(False))
         return reduce(lambda a, b: a.unionByName(b), frames)
 
-    def nodes(self, label: str | None, keys: set[str]) -> DataFrame:
-        return self._union(self.labels, None if label is None else [label], "label", ("id",), keys)
+    def nodes(self, label: str | None, keys: set[str], among: set[str] | None = None) -> DataFrame:
+        """The nodes of a label, or of the labels ``among``."""
+        parts = [(k, make) for k, make in self.labels.items() if (label is None or k == label) and (among is None or k in among)]
+        none = not parts
+        out = self._union(parts or list(self.labels.items())[:1], "label", ("id",), keys)
+        return out.filter(F.lit(False)) if none else out
+
+    def _fitting(self, types: tuple[str, ...], src: str | None, dst: str | None) -> list[Rel]:
+        return [r for r in self.rels if (not types or r.type in types) and src in (None, r.src) and dst in (None, r.dst)]
+
+    def edges(self, types: tuple[str, ...], keys: set[str], src: str | None = None, dst: str | None = None) -> DataFrame:
+        """The relationships of these types (of all, where none is given) between nodes of these labels."""
+        parts = [(r.type, r.make) for r in self._fitting(types, src, dst)]
+        out = self._union(parts or [(self.rels[0].type, self.rels[0].make)], "type", ("id", "src", "dst"), keys)
+        return out if parts else out.filter(F.lit(False))
 
-    def edges(self, types: tuple[str, ...], keys: set[str]) -> DataFrame:
-        return self._union(self.rels, types or None, "type", ("id", "src", "dst"), keys)
+    def ends(self, types: tuple[str, ...], src: str | None, dst: str | None) -> tuple[set[str], set[str]]:
+        """The labels that either end can have."""
+        found = self._fitting(types, src, dst)
+        return {r.src for r in found}, {r.dst for r in found}
 
     def prop(self, row: Column, key: str) -> T.Prop:
         return T.Prop(row[key], self.types[key]) if key in self.types else T.Prop(F.lit(None).cast("string"), "string")
@@ -100,19 +126,21 @@ class Matcher:
             frame = frame.filter(self.graph.prop(row, key).equals(C.bind(value, self.params)))
         return frame
 
-    def node(self, n: C.Node) -> DataFrame:
-        frame = self.graph.nodes(n.label, self.keys.get(n.alias, set()))
+    def node(self, n: C.Node, among: set[str] | None = None) -> DataFrame:
+        frame = self.graph.nodes(n.label, self.keys.get(n.alias, set()), among)
         frame = frame.select(F.struct(*frame.columns).alias(n.alias))
         return self._inline(frame, F.col(f"`{n.alias}`"), n)
 
     def path(self, p: C.Path) -> DataFrame:
-        edges = self.graph.edges(p.rel.types, self.keys.get(p.rel.alias, set()))
+        edges = self.graph.edges(p.rel.types, self.keys.get(p.rel.alias, set()), p.left.label, p.right.label)
+        ends = self.graph.ends(p.rel.types, p.left.label, p.right.label)
         edges = self._inline(edges.select(F.struct(*edges.columns).alias(p.rel.alias)), F.col(f"`{p.rel.alias}`"), p.rel)
         e = F.col(f"`{p.rel.alias}`")
         loop = p.left.alias == p.right.alias
         out = edges.filter(e["src"] == e["dst"]) if loop else edges
         for n, end in ((p.left, "src"),) if loop else ((p.left, "src"), (p.right, "dst")):
-            out = out.join(self.node(n), e[end] == F.col(f"`{n.alias}`")["id"])
+            among = None if ends is None else ends[0] & ends[1] if loop else ends[end == "dst"]
+            out = out.join(self.node(n, among), e[end] == F.col(f"`{n.alias}`")["id"])
         return out
 
     def condition(self, where) -> Column:

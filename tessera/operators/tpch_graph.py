@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .graph import TypedGraph
+from .graph import Rel, TypedGraph
 
 #: First id of each label; keys are added to it.
 FIRST = {"Region": 1_000, "Nation": 2_000, "Customer": 10_000_000_000, "Supplier": 20_000_000_000, "Part": 30_000_000_000, "Order": 40_000_000_000}
@@ -34,10 +34,11 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> TypedGraph:
         return t(table).select(first.cast("bigint").alias("id"), _id(*src).alias("src"), _id(*dst).alias("dst"), *props)
 
     customer, supplier, nation, order = ("Customer", "c_custkey"), ("Supplier", "s_suppkey"), ("Nation", "n_nationkey"), ("Order", "o_orderkey")
-    rels = {
-        "IN_REGION": lambda: edges("nation", _id(*nation), nation, ("Region", "n_regionkey")),
-        "IN_NATION": lambda: edges("customer", _id(*customer), customer, ("Nation", "c_nationkey")).unionByName(edges("supplier", _id(*supplier), supplier, ("Nation", "s_nationkey"))),
-        "PLACED": lambda: edges("orders", _id(*order), ("Customer", "o_custkey"), order, c("o_totalprice", "total")),
-        "CONTAINS": lambda: edges("lineitem", F.lit(1 << 40) + F.col("l_orderkey") * 16 + F.col("l_linenumber"), ("Order", "l_orderkey"), ("Part", "l_partkey"), c("l_quantity", "quantity"), c("l_discount", "discount"), c("l_linenumber", "line")),
-    }
+    rels = (
+        Rel("IN_REGION", "Nation", "Region", lambda: edges("nation", _id(*nation), nation, ("Region", "n_regionkey"))),
+        Rel("IN_NATION", "Customer", "Nation", lambda: edges("customer", _id(*customer), customer, ("Nation", "c_nationkey"))),
+        Rel("IN_NATION", "Supplier", "Nation", lambda: edges("supplier", _id(*supplier), supplier, ("Nation", "s_nationkey"))),
+        Rel("PLACED", "Customer", "Order", lambda: edges("orders", _id(*order), ("Customer", "o_custkey"), order, c("o_totalprice", "total"))),
+        Rel("CONTAINS", "Order", "Part", lambda: edges("lineitem", F.lit(1 << 40) + F.col("l_orderkey") * 16 + F.col("l_linenumber"), ("Order", "l_orderkey"), ("Part", "l_partkey"), c("l_quantity", "quantity"), c("l_discount", "discount"), c("l_linenumber", "line"))),
+    )
     return TypedGraph(labels, rels, TYPES)

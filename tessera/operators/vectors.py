@@ -90,54 +90,57 @@ def normalised(embedding: Column) -> Column:
     return F.when(n > 0, F.transform(e, lambda x: x / n)).otherwise(e)
 
 
-def fit_cells(vectors: DataFrame, metric: str, cells: int | None = None, seed: int = 7) -> list[list[float]]:
-    """Centres of k-means cells, fitted on a bounded sample."""
+def fit_cells(vectors: DataFrame, metric: str, many: int, cells: int | None = None, seed: int = 7) -> np.ndarray:
+    """Centres of k-means cells of ``many`` vectors, fitted on a bounded sample."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    many = vectors.count()
     cells = cells or max(1, min(4096, round(math.sqrt(many))))
     own = normalised(F.col("embedding")) if metric == "cosine" else F.col("embedding").cast("array<double>")
     rows = vectors.select(own.alias("e"))
     if many > TRAIN_ROWS:
         rows = rows.sample(TRAIN_ROWS / many, seed)
     rows = rows.select(array_to_vector("e").alias("features"))
-    return [[float(x) for x in c] for c in KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters()]
+    return np.array([[float(x) for x in c] for c in KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters()])
 
 
-def nearest_cell(embedding: Column, centres: list[list[float]], metric: str) -> Column:
-    """The cell of a vector: its nearest centre. The centres are literals of a number that fit_cells bounds."""
-    e = normalised(embedding) if metric == "cosine" else embedding.cast("array<double>")
-    table = F.array(*(F.array(*(F.lit(x) for x in c)) for c in centres))
-    far = F.transform(table, lambda c, i: F.struct(F.aggregate(F.zip_with(e, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("cell")))
-    return F.array_min(far)["cell"]
+def with_cells(vectors: DataFrame, centres: np.ndarray, metric: str, embedding: str = "embedding") -> DataFrame:
+    """vectors with their cell, that of the nearest centre, and how far it is, by one matrix product for each batch.
 
+    The centres go with the tasks: fit_cells bounds their number.
+    """
+    names = vectors.columns
+    at = names.index(embedding)
+    halves = (centres**2).sum(1) / 2
 
-def probed_cells(query: list[float], centres: list[list[float]], metric: str, probes: int = PROBES) -> list[int]:
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            e = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            if metric == "cosine":
+                norm = np.sqrt((e**2).sum(1, keepdims=True))
+                e = np.where(norm > 0, e / np.where(norm > 0, norm, 1.0), e)
+            cell = np.concatenate([np.argmin(halves - part @ centres.T, axis=1) for part in np.array_split(e, max(1, len(e) // 512))])
+            far = np.sqrt(((e - centres[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], [*names, "cell", "far"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    return vectors.mapInArrow(run, f"{fields}, cell int, far double")
+
+
+def probed_cells(query: list[float], centres: np.ndarray, metric: str, probes: int = PROBES) -> list[int]:
     """The cells nearest to the query; under the inner product those of the largest products."""
-    q = query
+    q = np.array(query, float)
     if metric == "cosine":
-        n = math.sqrt(sum(x * x for x in q)) or 1.0
-        q = [x / n for x in q]
-    key = (lambda c: -sum(x * y for x, y in zip(q, c, strict=True))) if metric == "dot" else (lambda c: sum((x - y) ** 2 for x, y in zip(q, c, strict=True)))
-    return sorted(range(len(centres)), key=lambda i: (key(centres[i]), i))[:probes]
-
-
-def cell_radii(celled: DataFrame, centres: list[list[float]], metric: str) -> list[float]:
-    """The largest distance of each cell's vectors from its centre."""
-    e = normalised(F.col("embedding")) if metric == "cosine" else F.col("embedding").cast("array<double>")
-    centre = F.element_at(F.array(*(F.array(*(F.lit(x) for x in c)) for c in centres)), F.col("cell") + 1)
-    far = F.sqrt(F.aggregate(F.zip_with(e, centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    found = {r["cell"]: r["far"] for r in celled.groupBy("cell").agg(F.max(far).alias("far")).collect()}
-    return [float(found.get(i, 0.0)) for i in range(len(centres))]
-
-
-def cell_bounds(queries: np.ndarray, centres: list[list[float]], radii: list[float] | None, metric: str) -> np.ndarray:
-    """For each query and cell a score that no vector of the cell is above; infinite without radii (older snapshots)."""
-    c = np.array(centres, float).reshape(len(centres), queries.shape[1])
-    if radii is None:
-        return np.full((len(queries), len(c)), np.inf)
-    r = np.array(radii, float)
+        q = q / (np.linalg.norm(q) or 1.0)
+    key = -(centres @ q) if metric == "dot" else ((centres - q) ** 2).sum(1)
+    return [int(i) for i in np.argsort(key, kind="stable")[:probes]]
+
+
+def cell_bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray, metric: str) -> np.ndarray:
+    """For each query and cell a score that no vector of the cell is above."""
+    c, r = centres.reshape(len(centres), queries.shape[1]), radii
     norm = np.linalg.norm(queries, axis=1, keepdims=True)
     if metric == "dot":
         bound = queries @ c.T + norm * r

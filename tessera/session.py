@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+import concurrent.futures
 import contextlib
 import functools
 import itertools
 import json
 import logging
 import re
+import threading
+import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import tagged as T
 from .operators import graph as G
 from .operators import vectors as V
 from .plans import cypher as C
-from .plans import routing, sqltext
+from .plans import reads, routing, sqltext
 from .plans import statements as D
 from .sources import csvfiles
-from .sources.catalog import Catalog, with_dense_ids
+from .sources.catalog import Catalog, Measured, with_dense_ids
 
 log = logging.getLogger(__name__)
 OPERATORS = {"<=>": "cosine", "<->": "l2", "<#>": "dot"}
 _ID_NAMES = ("item_id", "id")
+#: The columns of the index catalogue.
 INDEX_COLUMNS = ("name", "metric", "enabled", "state", "total_rows", "indexed_rows", "snapshot_rows", "delta_rows", "tombstone_rows", "ann_threshold_rows", "refresh_in_progress", "snapshot_table", "snapshot_generation", "maintenance_paused")
 _INDEX_DDL = "name string, metric string, enabled boolean, state string, total_rows bigint, indexed_rows bigint, snapshot_rows bigint, delta_rows bigint, tombstone_rows bigint, ann_threshold_rows bigint, refresh_in_progress boolean, snapshot_table string, snapshot_generation bigint, maintenance_paused boolean"
 _OPS = {"vector_cosine_ops": "cosine", "vector_ip_ops": "dot", "vector_l2_ops": "l2", "cosine": "cosine", "dot": "dot", "ip": "dot", "inner_product": "dot", "l2": "l2", "euclidean": "l2"}
@@ -71,6 +76,11 @@ class Engine:
         self.catalog = Catalog(spark, base_path)
         self.views: dict[str, DataFrame] = {}
         self._cached: tuple[str, DataFrame] | None = None
+        # A refresh in the background takes the lock to publish; a transaction holds it from begin to its end.
+        self._lock = threading.RLock()
+        self._pool = concurrent.futures.ThreadPoolExecutor(1, "tessera-index")
+        self._refreshing: dict[str, concurrent.futures.Future] = {}
+        self._known_cells: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         if preload_vectors:
             self.preload_vectors()
 
@@ -84,20 +94,34 @@ class Engine:
 
     def close(self) -> None:
         if self.catalog.in_transaction:
-            self.catalog.rollback()
+            self.rollback()
+        self._pool.shutdown(wait=True)
         self._drop_cache()
 
     def begin(self) -> None:
-        self.catalog.begin()
+        self._lock.acquire()
+        try:
+            self.catalog.begin()
+        except BaseException:
+            self._lock.release()
+            raise
 
     def commit(self) -> None:
         self.catalog.commit()
+        self._lock.release()
         self._drop_cache()
+        self._maintain()
 
     def rollback(self) -> None:
         self.catalog.rollback()
+        self._lock.release()
         self._drop_cache()
 
+    def vacuum(self, versions: int = 1) -> int:
+        """Remove what none of the last versions needs; returns how many folders went. Readers of older versions must have ended."""
+        with self._lock:
+            return self.catalog.vacuum(versions)
+
     @contextlib.contextmanager
     def transaction(self):
         """Commit at the end, roll back on an error. Transactions don't nest."""
@@ -114,8 +138,10 @@ class Engine:
         self.views[name] = df
 
     def _atomically(self, change):
-        out = self.catalog.atomically(change)
+        with self._lock:
+            out = self.catalog.atomically(change)
         self._drop_cache()
+        self._maintain()
         return out
 
     # --- statements ------------------------------------------------------------------------------------
@@ -162,31 +188,21 @@ class Engine:
 
     # --- SQL -------------------------------------------------------------------------------------------
 
-    def _frames(self) -> dict[str, DataFrame]:
-        frames = dict(self.views)
-        for n in self.catalog.names():
-            frames[n] = self.catalog.frame(n)
-        nodes, edges = self.catalog.frame("__nodes"), self.catalog.frame("__edges")
-        frames["graph_nodes"] = nodes.select("id", "label")
-        frames["graph_edges"] = edges.select("id", "type", F.col("src").alias("from_node_id"), F.col("dst").alias("to_node_id"))
-        frames["graph_node_properties"] = G.eav(nodes, "node_id")
-        frames["graph_edge_properties"] = G.eav(edges, "edge_id")
-        return frames
+    def _frames(self) -> dict[str, Callable[[], DataFrame]]:
+        """What makes each table that a read may name."""
+        cat = self.catalog
+        frames = {n: (lambda df=df: df) for n, df in self.views.items()}
+        frames |= {n: (lambda n=n: cat.frame(n)) for n in cat.names()}
+        nodes, edges = (lambda: cat.frame("__nodes")), (lambda: cat.frame("__edges"))
+        return frames | {
+            "graph_nodes": lambda: nodes().select("id", "label"),
+            "graph_edges": lambda: edges().select("id", "type", F.col("src").alias("from_node_id"), F.col("dst").alias("to_node_id")),
+            "graph_node_properties": lambda: G.eav(nodes(), "node_id"),
+            "graph_edge_properties": lambda: G.eav(edges(), "edge_id"),
+        }
 
     def _run_sql(self, text: str, params: dict | None) -> DataFrame:
-        """Spark's plan of a read. Tables are given as arguments, so that nothing global is registered."""
-        params = params or {}
-        needed = sqltext.params_in(text)
-        missing = needed - params.keys()
-        if missing:
-            raise ValueError(f"missing parameter ${sorted(missing)[0]}")
-        words = {sqltext.name_of(t).lower() for t in sqltext.tokens(text) if t.kind in ("word", "quoted", "tick")}
-        frames = self._frames()
-        for name, frame in frames.items():
-            if name.lower() in words:
-                frame.createOrReplaceTempView(name)
-        args = {k: params[k] for k in needed}
-        return self.spark.sql(sqltext.to_spark(text), args=args) if args else self.spark.sql(sqltext.to_spark(text))
+        return reads.run(self.spark, text, self._frames(), params)
 
     def _sql(self, text: str, params: dict | None) -> QueryResult:
         s = sqltext.shape(text)
@@ -213,7 +229,7 @@ class Engine:
                 raise ValueError("an index column doesn't exist")
             if stmt.unique and list(stmt.columns) not in entry["unique"]:
                 entry["unique"].append(list(stmt.columns))
-                cat.check(stmt.table, cat.frame(stmt.table), None)
+                cat.check(stmt.table, cat.frame(stmt.table), None, [], set(stmt.columns))
             return 0
         if isinstance(stmt, D.Insert):
             if stmt.rows:
@@ -223,24 +239,34 @@ class Engine:
             if len(rows.columns) != len(names):
                 raise ValueError("the query's columns don't fit the table's")
             return self._insert(stmt.table, rows.toDF(*names))
-        frame = cat.frame(stmt.table)
+        frame = cat.located(stmt.table)
         where = stmt.where
         hit = F.coalesce(self._expr(where, params), F.lit(False)) if where else F.lit(True)
-        marked = frame.withColumn("__hit", hit)
-        many = marked.filter("__hit").count()
+        return self._change(stmt, lambda rows: rows.withColumn("__hit", hit), frame, {c: self._expr(v, params) for c, v in getattr(stmt, "sets", ())})
+
+    def _change(self, stmt, mark: Callable[[DataFrame], DataFrame], located: DataFrame, values: dict[str, Column]) -> int:
+        """DELETE or UPDATE of the rows that ``mark`` gives a true __hit: only the folders that hold one are written anew.
+
+        values: what each column that is set gets, in terms of the marked rows.
+        """
+        cat = self.catalog
+        columns = cat.schema(stmt.table).names
+        names = {n.lower(): n for n in columns}
+        for column in values:
+            if column.lower() not in names:
+                raise ValueError(f"no column {column!r}")
+        found = cat.folders(stmt.table, mark(located).filter("__hit"))
+        many = sum(found.values())
         if not many:
             return 0
+        rows = mark(cat.frame(stmt.table, list(found)))
         if isinstance(stmt, D.Delete):
-            cat.replace(stmt.table, marked.filter("NOT __hit").drop("__hit"))
+            cat.replace(stmt.table, rows.filter("NOT coalesce(__hit, false)").select(*columns), list(found), many)
             return many
-        names = {n.lower(): n for n in frame.columns}
-        new = {}
-        for column, value in stmt.sets:
-            if column.lower() not in names:
-                raise ValueError(f"no column {column!r}")
-            name = names[column.lower()]
-            new[name] = F.when(F.col("__hit"), self._expr(value, params).cast(frame.schema[name].dataType)).otherwise(F.col(name))
-        cat.replace(stmt.table, marked.select(*(new.get(n, F.col(n)).alias(n) for n in frame.columns)))
+        new = {names[c.lower()]: F.when(F.col("__hit"), v.cast(located.schema[names[c.lower()]].dataType)).otherwise(F.col(f"`{names[c.lower()]}`")) for c, v in values.items()}
+        cat.replace(stmt.table, rows.select(*(new.get(n, F.col(f"`{n}`")).alias(n) for n in columns)), list(found), 0, set(new))
+        if "embedding" in new:
+            self._check_dimensions(cat.frame(stmt.table, cat.entry(stmt.table)["paths"][-1:]).select("embedding"))
         return many
 
     def _write_keyed(self, stmt, keyed: tuple[str, str], params_seq: list[dict]) -> int:
@@ -260,32 +286,21 @@ class Engine:
         ddl = ", ".join(f"__v{i} {_loose(k, [v[i] for v in values])}" for i, k in enumerate(kinds))
         new = self.spark.createDataFrame(values, ddl)
         new = new.select(*(F.col(f"__v{i}").cast(k).alias(f"__v{i}") for i, k in enumerate(kinds)), F.lit(True).alias("__hit"))
-        marked = frame.join(new, frame[names[column.lower()]] == new["__v0"], "left")
-        many = marked.filter("__hit").count()
-        if not many:
-            return 0
-        if isinstance(stmt, D.Delete):
-            self.catalog.replace(stmt.table, marked.filter("__hit IS NULL").select(*frame.columns))
-        else:
-            changed = {names[c.lower()]: F.when(F.col("__hit"), F.col(f"__v{i + 1}")).otherwise(frame[names[c.lower()]]) for i, (c, _) in enumerate(sets)}
-            self.catalog.replace(stmt.table, marked.select(*(changed.get(n, frame[n]).alias(n) for n in frame.columns)))
-        return many
+        key = names[column.lower()]
+        return self._change(stmt, lambda rows: rows.join(new, rows[key] == new["__v0"], "left"), self.catalog.located(stmt.table), {c: F.col(f"__v{i + 1}") for i, (c, _) in enumerate(sets)})
 
     def _expr(self, text: str, params: dict | None):
-        """An expression with its parameters bound as literals."""
-        own = sqltext.to_spark(text)
-        for name in sqltext.params_in(text):
+        """An expression with its parameters bound as literals, each in the place of its own token."""
+        named = sqltext.params_in(text)
+        for name in named:
             if not params or name not in params:
                 raise ValueError(f"missing parameter ${name}")
-        bound = {n: params[n] for n in sqltext.params_in(text)}
-        if not bound:
-            return F.expr(own)
-        for t in sqltext.tokens(text):
-            if t.kind == "param" and isinstance(bound[t.text[1:]], (list, tuple)):
-                if len(sqltext.tokens(text)) > 1:
-                    raise ValueError("a vector parameter stands alone")
-                return F.array(*(F.lit(float(x)) for x in bound[t.text[1:]])).cast("array<float>")
-        return F.expr(re.sub(r":([A-Za-z_]\w*)", lambda m: _sql_literal(bound[m[1]]) if m[1] in bound else m[0], own))
+        vectors = [n for n in named if isinstance(params[n], (list, tuple))]
+        if vectors:
+            if len(sqltext.tokens(text)) > 1:
+                raise ValueError("a vector parameter stands alone")
+            return F.array(*(F.lit(float(x)) for x in params[vectors[0]])).cast("array<float>")
+        return F.expr(sqltext.to_spark(text, {n: _sql_literal(params[n]) for n in named}))
 
     def _insert_values(self, stmt: D.Insert, params_seq: list[dict]) -> int:
         """Rows of VALUES. Plain literals and parameters become one local table, whatever their number."""
@@ -338,22 +353,20 @@ class Engine:
         own = {c.lower() for c in rows.columns}
         key = entry["key"]
         out = rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name.lower() in own else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
+        staged = cat.stage(table, out)
+        found = cat.measure(table, staged.frame)
         if key and schema[key].dataType.simpleString() == "bigint":
-            staged = cat.stage(table, out)
-            out = staged.frame
-            empty = out.filter(F.col(key).isNull())
-            many = empty.count()
-            largest = out.agg(F.max(key)).first()[0]
-            stored = cat.frame(table).agg(F.max(key)).first()[0] if many else None
+            many = found.nulls[key]
             if many:
-                first = cat.next_ids("table:" + table, many, max(largest or 0, stored or 0))
-                numbered = with_dense_ids(empty.drop(key), key, first)
-                out = out.filter(F.col(key).isNotNull()).unionByName(numbered.select(*out.columns))
-            cat.used_id("table:" + table, largest)
-            out = out if many else staged
-        many = cat.append(table, out)
+                stored = cat.frame(table).agg(F.max(key)).first()[0]
+                first = cat.next_ids("table:" + table, many, max(found.most or 0, stored or 0))
+                numbered = with_dense_ids(staged.frame.filter(F.col(key).isNull()).drop(key), key, first)
+                staged = cat.stage(table, staged.frame.filter(F.col(key).isNotNull()).unionByName(numbered.select(*out.columns)))
+                found = None
+            cat.used_id("table:" + table, (found.most if found else None))
+        many = cat.append(table, staged, found)
         if "embedding" in schema.names:
-            self._check_dimensions()
+            self._check_dimensions(staged.frame.select("embedding"))
         return many
 
     # --- graph -----------------------------------------------------------------------------------------
@@ -392,31 +405,36 @@ class Engine:
             raise ValueError("SET changes one alias")
         kind = matcher.kinds[target]
         table = "__nodes" if kind == "node" else "__edges"
-        hits = self.catalog.stage(table, matcher.frame().select(F.col(f"`{target}`")["id"].alias("id")).distinct().withColumns({f.name: F.lit(None).cast(f.dataType) for f in self.catalog.schema(table).fields if f.name != "id"})).frame.select("id")
-        many = hits.count()
+        cat = self.catalog
+        hits = cat.stage(table, matcher.frame().select(F.col(f"`{target}`")["id"].alias("id")).distinct().withColumns({f.name: F.lit(None).cast(f.dataType) for f in cat.schema(table).fields if f.name != "id"})).frame.select("id")
+        found = cat.folders(table, cat.located(table).join(hits, "id", "left_semi"))
+        many = sum(found.values())
         if not many:
             return 0
-        frame = self.catalog.frame(table)
+        frame = cat.frame(table, list(found))
         if s.kind == "match_delete":
-            self.catalog.replace(table, frame.join(hits, "id", "left_anti"))
+            cat.replace(table, frame.join(hits, "id", "left_anti"), list(found), many)
             if kind == "node":
-                edges = self.catalog.frame("__edges")
-                edges = edges.join(hits.withColumnRenamed("id", "src"), "src", "left_anti").join(hits.withColumnRenamed("id", "dst"), "dst", "left_anti")
-                self.catalog.replace("__edges", edges)
+                ends = F.explode(F.array_distinct(F.array("src", "dst"))).alias("end")
+                loose = cat.located("__edges").select("id", "__folder", ends).join(hits.withColumnRenamed("id", "end"), "end", "left_semi").select("id", "__folder").distinct()
+                touched = cat.folders("__edges", loose)
+                if touched:
+                    cat.replace("__edges", cat.frame("__edges", list(touched)).join(loose.select("id"), "id", "left_anti"), list(touched), sum(touched.values()))
             return many
         changes = G.tagged_props(tuple((k, v) for _, k, v in s.sets), params)
-        if kind == "rel" and any(v["t"] == "vector" for v in changes.values()):
+        vector = any(v["t"] == "vector" for v in changes.values())
+        if kind == "rel" and vector:
             raise ValueError("relationships hold no vectors")
         new = G.with_props(F.col("props"), G.props_literal(changes), list(changes))
         marked = frame.join(hits.withColumn("__hit", F.lit(True)), "id", "left")
         out = marked.withColumn("props", F.when(F.col("__hit"), new).otherwise(F.col("props"))).drop("__hit")
-        if kind == "node" and any(v["t"] == "vector" for v in changes.values()):
+        if kind == "node" and vector:
             several = F.size(F.map_filter("props", lambda k, v: v["t"] == "vector")) > 1
             if out.filter(several).limit(1).count():
                 raise ValueError("a node has one vector property at most")
-        self.catalog.replace(table, out)
-        if kind == "node":
-            self._check_dimensions()
+        cat.replace(table, out, list(found), 0)
+        if kind == "node" and vector:
+            self._check_dimensions(_node_vectors(cat.frame(table, cat.entry(table)["paths"][-1:])).select("embedding"))
         return many
 
     def _append_rows(self, table: str, rows: list[tuple]) -> None:
@@ -462,8 +480,8 @@ class Engine:
         else:
             raise ValueError("CREATE takes a node, a relationship, or two nodes and a relationship between them")
         self._append_rows("__nodes", list(made.values()))
-        if any(v["t"] == "vector" for m in made.values() for v in m[2].values()):
-            self._check_dimensions()
+        for vector in (v["v"] for m in made.values() for v in m[2].values() if v["t"] == "vector"):
+            self._check_size(len(vector))
         return self.spark.createDataFrame([tuple(values)], ", ".join(f"{n} bigint" for n in names))
 
     def _match_create(self, s: C.Statement, params: dict | None) -> int:
@@ -499,29 +517,39 @@ class Engine:
             end = "dst" if known[0] else "src"
             edges = self.catalog.stage("__edges", edges.withColumn(end, F.col("__node"))).frame
             self.catalog.append("__nodes", edges.select(F.col(end).alias("id"), F.lit(fresh.label).alias("label"), G.props_literal(new).alias("props")))
-            if any(v["t"] == "vector" for v in new.values()):
-                self._check_dimensions()
+            for vector in (v["v"] for v in new.values() if v["t"] == "vector"):
+                self._check_size(len(vector))
         self.catalog.append("__edges", edges)
         return many
 
     # --- vectors ---------------------------------------------------------------------------------------
 
-    def vectors(self) -> DataFrame:
-        """(target, namespace, target_id, embedding, metadata) of direct vectors, SQL rows and graph nodes."""
-        mark = json.dumps([self.catalog.state["version"], {n: e["paths"] for n, e in self.catalog.state["tables"].items()}])
-        if self._cached and self._cached[0] == mark:
-            return self._cached[1]
+    def _vector_sources(self) -> dict[tuple[str, str], tuple[str, Callable[[list[str] | None], DataFrame]]]:
+        """(target, namespace) -> the table, and what reads its vectors from some of its folders (all by default), with each row's ``__folder``."""
+        cat = self.catalog
         none = F.create_map().cast(T.PROPS)
-        out = self.catalog.frame("__vectors")
-        for n in self.catalog.names():
-            schema, key = self.catalog.schema(n), self.catalog.entry(n)["key"]
+        shaped = lambda rows, target, name, own, meta: rows.select(F.lit(target).alias("target"), F.lit(name).alias("namespace"), own.cast("bigint").alias("target_id"), "embedding", meta.alias("metadata"), "__folder")
+        out = {("direct", ""): ("__vectors", lambda paths=None: shaped(cat.located("__vectors", paths), "direct", "", F.col("target_id"), F.col("metadata")))}
+        for n in cat.names():
+            schema, key = cat.schema(n), cat.entry(n)["key"]
             if "embedding" in schema.names and schema["embedding"].dataType.simpleString() == "array<float>":
                 own = key or next((c for c in _ID_NAMES if c in schema.names), None)
                 if own:
-                    rows = self.catalog.frame(n).filter("embedding IS NOT NULL")
-                    out = out.unionByName(rows.select(F.lit("sql_row").alias("target"), F.lit(n).alias("namespace"), F.col(own).cast("bigint").alias("target_id"), "embedding", none.alias("metadata")))
-        nodes = self.catalog.frame("__nodes").select("id", F.map_values(F.map_filter("props", lambda k, v: v["t"] == "vector")).alias("v")).filter(F.size("v") > 0)
-        return out.unionByName(nodes.select(F.lit("graph_node").alias("target"), F.lit("").alias("namespace"), F.col("id").alias("target_id"), F.col("v")[0]["v"].alias("embedding"), none.alias("metadata")))
+                    out["sql_row", n] = (n, lambda paths=None, n=n, own=own: shaped(cat.located(n, paths).filter("embedding IS NOT NULL"), "sql_row", n, F.col(own), none))
+        out["graph_node", ""] = ("__nodes", lambda paths=None: shaped(_node_vectors(cat.located("__nodes", paths)), "graph_node", "", F.col("id"), none))
+        return out
+
+    def _located_vectors(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, (make(None) for _, make in self._vector_sources().values()))
+
+    def vectors(self) -> DataFrame:
+        """(target, namespace, target_id, embedding, metadata) of direct vectors, SQL rows and graph nodes."""
+        if self._cached and self._cached[0] == self._mark():
+            return self._cached[1]
+        return self._located_vectors().drop("__folder")
+
+    def _mark(self) -> str:
+        return json.dumps([self.catalog.state["version"], {n: e["paths"] for n, e in self.catalog.state["tables"].items()}])
 
     def _drop_cache(self) -> None:
         if self._cached:
@@ -532,21 +560,32 @@ class Engine:
         """Keep the vectors in executor memory until the next write; False where there are none."""
         self._drop_cache()
         frame = self.vectors().persist()
-        mark = json.dumps([self.catalog.state["version"], {n: e["paths"] for n, e in self.catalog.state["tables"].items()}])
-        self._cached = (mark, frame)
+        self._cached = (self._mark(), frame)
         return frame.count() > 0
 
     def vectors_cached(self) -> bool:
         return self._cached is not None
 
     def _dimensions(self) -> int | None:
+        """The dimension of all vectors: kept in the manifest, else looked up."""
+        if self.catalog.state.get("dimensions"):
+            return self.catalog.state["dimensions"]
         row = self.vectors().select(F.size("embedding")).first()
         return row[0] if row else None
 
-    def _check_dimensions(self) -> None:
-        sizes = [r[0] for r in self.vectors().select(F.size("embedding")).distinct().limit(3).collect()]
+    def _check_dimensions(self, new: DataFrame) -> None:
+        """Hold new vectors (embedding) to the dimension of the others. Only they are read."""
+        sizes = [r[0] for r in new.filter("embedding IS NOT NULL").select(F.size("embedding")).distinct().limit(3).collect()]
         if len(sizes) > 1 or 0 in sizes:
             raise ValueError(f"all vectors have one dimension, found {sorted(sizes)}")
+        for size in sizes:
+            self._check_size(size)
+
+    def _check_size(self, size: int) -> None:
+        known = self.catalog.state.get("dimensions")
+        if known != size and self.vectors().filter(F.size("embedding") != size).limit(1).count():
+            raise ValueError(f"all vectors have one dimension, found {size} beside others")
+        self.catalog.state["dimensions"] = size
 
     def insert_vectors(self, rows) -> list[int]:
         """Store direct vectors: a list, (id, vector), or {embedding, metadata?, target_id?}. Returns their ids."""
@@ -581,7 +620,8 @@ class Engine:
                 raise ValueError("a vector must not be empty")
             self.catalog.used_id("vector", max(ids))
             self._append_rows("__vectors", rows)
-            self._check_dimensions()
+            for size in {len(r[3]) for r in rows}:
+                self._check_size(size)
             return ids
 
         return self._atomically(change)
@@ -594,11 +634,12 @@ class Engine:
             staged = self.catalog.stage("__vectors", own)
             new = staged.frame
             keys = ["target", "namespace", "target_id"]
-            if new.groupBy(*keys).count().filter("count > 1").limit(1).count() or new.join(self.catalog.frame("__vectors"), keys, "left_semi").limit(1).count():
+            stored = bool(self.catalog.entry("__vectors")["paths"])
+            if new.groupBy(*keys).count().filter("count > 1").limit(1).count() or stored and new.join(self.catalog.frame("__vectors"), keys, "left_semi").limit(1).count():
                 raise ValueError("a vector id occurs twice")
             many = self.catalog.append("__vectors", staged)
             self.catalog.used_id("vector", new.agg(F.max("target_id")).first()[0])
-            self._check_dimensions()
+            self._check_dimensions(new.select("embedding"))
             return many
 
         return self._atomically(change)
@@ -609,11 +650,12 @@ class Engine:
             return 0
 
         def change() -> int:
-            frame = self.catalog.frame("__vectors")
+            cat = self.catalog
             gone = self.spark.createDataFrame([(i,) for i in ids], "target_id bigint")
-            many = frame.join(gone, "target_id", "left_semi").count()
+            found = cat.folders("__vectors", cat.located("__vectors").join(gone, "target_id", "left_semi"))
+            many = sum(found.values())
             if many:
-                self.catalog.replace("__vectors", frame.join(gone, "target_id", "left_anti"))
+                cat.replace("__vectors", cat.frame("__vectors", list(found)).join(gone, "target_id", "left_anti"), list(found), many)
             return many
 
         return self._atomically(change)
@@ -626,17 +668,18 @@ class Engine:
             return 0
 
         def change() -> int:
-            frame = self.catalog.frame("__vectors")
+            cat = self.catalog
             merged: dict[int, dict] = {}
             for i, m in found:
                 merged.setdefault(i, {}).update({k: T.tagged(v) for k, v in m.items()})
             new = self.spark.createDataFrame(list(merged.items()), f"target_id bigint, new {T.PROPS}")
-            if new.join(frame, "target_id", "left_anti").limit(1).count():
+            held = cat.folders("__vectors", cat.located("__vectors").join(new, "target_id", "left_semi"))
+            if sum(held.values()) < len(merged):
                 raise ValueError("a vector of that id doesn't exist")
-            joined = frame.join(new, "target_id", "left")
+            joined = cat.frame("__vectors", list(held)).join(new, "target_id", "left")
             kept = F.map_filter("metadata", lambda k, v: ~F.array_contains(F.map_keys("new"), k))
             out = joined.withColumn("metadata", F.when(F.col("new").isNull(), F.col("metadata")).otherwise(F.map_concat(kept, "new"))).drop("new")
-            self.catalog.replace("__vectors", out)
+            cat.replace("__vectors", out, list(held), 0)
             return pairs
 
         return self._atomically(change)
@@ -649,33 +692,61 @@ class Engine:
                 rows = rows.filter(F.lit(False))
             for k, v in filters.items():
                 rows = rows.filter(T.Prop(F.col("metadata")[k]).equals(v))
-        return QueryResult(self._search(rows, query, top_k, metric, ann=filters is None), "vector", routing.VECTOR)
+        return QueryResult(self._search(rows, query, top_k, metric, "direct" if filters is None else None), "vector", routing.VECTOR)
 
-    def _search(self, rows: DataFrame, query, k: int, metric: str, ann: bool = False) -> DataFrame:
+    def _search(self, rows: DataFrame, query, k: int, metric: str, target: str | None = None) -> DataFrame:
+        """The best of rows. ``target``: rows are all vectors of that target, so that an index may be used."""
         dims = self._dimensions()
+        if dims is not None and len(query) != dims:  # vectors of another dimension may be gone since
+            row = self.vectors().select(F.size("embedding")).first()
+            dims = row[0] if row else None
         q = V.query_vector(query, dims, metric)
-        index = next((i for i in self.catalog.state["indexes"].values() if i["metric"] == metric and i["enabled"] and i["snapshot"]), None) if ann else None
+        index = self._live_index(metric) if target else None
         if not index:
             return V.top_k(rows, q, k, metric)
-        # Vectors of the nearest cells and those that the snapshot doesn't have as they are now are ranked first; then
-        # those of all cells whose bound reaches the k-th best of them, so that no neighbour is lost.
+        # Vectors of the nearest cells and those that the snapshot lacks are ranked first; then those of all cells
+        # whose bound reaches the k-th best of them, so that no neighbour is lost.
         keys = ("target", "namespace", "target_id")
-        current, delta = self._celled(rows, index, keys)
-        cells = V.probed_cells(q, index["centres"], metric)
-        found = V.merge_best([V.top_k(current.filter(F.col("cell").isin(*cells)), q, k, metric), V.top_k(delta, q, k, metric)], keys, k)
+        current, delta = self._celled(index, target)
+        centres, radii = self._cells(index)
+        cells = V.probed_cells(q, centres, metric)
+        parts = [V.top_k(current.filter(F.col("cell").isin(*cells)), q, k, metric)]
+        found = V.merge_best(parts + ([V.top_k(delta, q, k, metric)] if delta is not None else []), keys, k)
         best = found.collect()
         found = self.spark.createDataFrame(best, found.schema)
-        bounds = V.cell_bounds(np.array([q]), index["centres"], index.get("radii"), metric)[0]
+        bounds = V.cell_bounds(np.array([q]), centres, radii, metric)[0]
         more = [i for i, x in enumerate(bounds.tolist()) if i not in set(cells) and (len(best) < k or x >= best[-1]["score"])]
         if not more:
             return found.orderBy(F.col("score").desc(), *keys)
         return V.merge_best([found, V.top_k(current.filter(F.col("cell").isin(*more)), q, k, metric)], keys, k)
 
-    def _celled(self, rows: DataFrame, index: dict, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-        """The snapshot's vectors that rows have as they are, with their cells, and the other vectors of rows."""
-        snap = self.spark.read.parquet(f"{self.base_path}/{index['snapshot']}").withColumn("h", F.hash("embedding"))
-        rows, marked = rows.withColumn("h", F.hash("embedding")), [*keys, "h"]
-        return snap.join(rows.select(*marked), marked, "left_semi"), rows.join(snap.select(*marked), marked, "left_anti")
+    def _live_index(self, metric: str) -> dict | None:
+        return next((i for i in self.catalog.state["indexes"].values() if i["metric"] == metric and i["enabled"] and i["snapshot"]), None)
+
+    def _cells(self, index: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Centres and radii of a snapshot's cells, read once."""
+        if index["snapshot"] not in self._known_cells:
+            rows = self.spark.read.parquet(f"{self.base_path}/{index['snapshot']}/cells").orderBy("cell").collect()
+            self._known_cells = {index["snapshot"]: (np.array([r["centre"] for r in rows], float), np.array([r["radius"] for r in rows], float))}
+        return self._known_cells[index["snapshot"]]
+
+    def _celled(self, index: dict, target: str) -> tuple[DataFrame, DataFrame | None]:
+        """The snapshot's vectors that are as they were, with their cells, and the vectors that it lacks, if there may be any.
+
+        The manifest says which folders came after the snapshot and which are gone: a vector is as it was if its
+        folder is still there. Nothing is joined, and only what changed is read besides the cells.
+        """
+        still, new = [], []
+        for (kind, name), (table, make) in self._vector_sources().items():
+            if kind == target:
+                paths, known = self.catalog.entry(table)["paths"], set(index["sources"].get(table, ()))
+                still += [p.rpartition("/")[2] for p in paths if p in known]
+                later = [p for p in paths if p not in known]
+                if later:
+                    new.append(make(later))
+        snapshot = self.spark.read.parquet(f"{self.base_path}/{index['snapshot']}/vectors").filter(F.col("target") == target)
+        current = snapshot.filter(F.col("__folder").isin(*still)) if still else snapshot.filter(F.lit(False))
+        return current, functools.reduce(DataFrame.unionByName, new) if new else None
 
     def search_vectors_many(self, queries: DataFrame, *, top_k: int = 10, metric: str = "cosine", block: int = 1024) -> DataFrame:
         """queries (query_id, embedding) as (query_id, target, namespace, target_id, score): the best direct vectors of each query.
@@ -683,24 +754,25 @@ class Engine:
         Queries are searched ``block`` at a time, which bounds what the driver and a worker hold.
         """
         rows, dims, keys = self.vectors().filter("target = 'direct'"), self._dimensions(), ("target", "namespace", "target_id")
-        index = next((i for i in self.catalog.state["indexes"].values() if i["metric"] == metric and i["enabled"] and i["snapshot"]), None)
-        current, delta = self._celled(rows, index, keys) if index else (None, rows)
+        index = self._live_index(metric)
+        current, delta = self._celled(index, "direct") if index else (None, rows)
+        centres, radii = self._cells(index) if index else (None, None)
         parts, asked = [], queries.select("query_id", "embedding").toLocalIterator()
         while some := list(itertools.islice(asked, block)):
             q = np.array([V.query_vector(r["embedding"], dims, metric) for r in some])
             floor = np.full(len(q), -np.inf)
-            found = [V.best_of_cells(delta, q, None, floor, top_k, metric, keys)]
+            found = [V.best_of_cells(delta, q, None, floor, top_k, metric, keys)] if delta is not None else []
             if index:
-                near = np.zeros((len(q), len(index["centres"])), bool)
+                near = np.zeros((len(q), len(centres)), bool)
                 for i, x in enumerate(q.tolist()):
-                    near[i, V.probed_cells(x, index["centres"], metric)] = True
-                first = V.best_of_cells(current, q, near, floor, top_k, metric, keys).unionByName(found[0])
+                    near[i, V.probed_cells(x, centres, metric)] = True
+                first = functools.reduce(DataFrame.unionByName, found, V.best_of_cells(current, q, near, floor, top_k, metric, keys))
                 least = F.sort_array(F.collect_list("score"), asc=False)
                 ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("nth").orderBy(F.col("score").desc(), *keys))).filter(F.col("rank") <= top_k).drop("rank")
                 kth = ranked.groupBy("nth").agg(F.get(least, top_k - 1).alias("kth")).filter("kth IS NOT NULL")
                 for r in kth.collect():
                     floor[r["nth"]] = r["kth"]
-                wanted = V.cell_bounds(q, index["centres"], index.get("radii"), metric) >= floor[:, None]
+                wanted = V.cell_bounds(q, centres, radii, metric) >= floor[:, None]
                 found.append(V.best_of_cells(current, q, wanted | near, floor - 1e-9 * (1 + np.abs(floor)), top_k, metric, keys))
             names = self.spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(some)], f"nth int, query_id {queries.schema['query_id'].dataType.simpleString()}")
             both = functools.reduce(DataFrame.unionByName, found)
@@ -728,7 +800,7 @@ class Engine:
         if call.candidates is not None:
             found = G.Matcher(self.graph(), call.candidates, params).frame().select(F.col("node")["id"].alias("target_id")).distinct()
             rows = rows.join(found, "target_id", "left_semi")
-        out = self._search(rows, query, k, metric, ann=call.candidates is None).select(F.col("target_id").alias("node.id"), "score")
+        out = self._search(rows, query, k, metric, "graph_node" if call.candidates is None else None).select(F.col("target_id").alias("node.id"), "score")
         if call.order:
             out = out.orderBy(*(F.col(f"`{n}`").desc() if desc else F.col(f"`{n}`").asc() for n, desc in call.order))
         return QueryResult(out.select(*(F.col(f"`{n}`") for n in call.items)), "vector", routing.VECTOR)
@@ -752,23 +824,78 @@ class Engine:
             other = next((n for n, i in indexes.items() if i["metric"] == metric and i["enabled"] and n != name), None)
             if other:
                 raise ValueError(f"metric {metric} has the index {other!r}")
-            indexes[name] = {"metric": metric, "enabled": True, "paused": False, "snapshot": None, "rows": 0, "generation": 0, "centres": []}
+            indexes[name] = {"metric": metric, "enabled": True, "paused": False, "snapshot": None, "rows": 0, "generation": 0, "sources": {}, "tried": 0}
             self._build(name)
 
         self._atomically(change)
 
-    def _build(self, name: str, force: bool = False) -> None:
-        index, rows = self._index(name), self.vectors()
+    def _sources(self) -> dict[str, list[str]]:
+        """The folders of each table that holds vectors."""
+        return {table: list(self.catalog.entry(table)["paths"]) for table, _ in self._vector_sources().values()}
+
+    def _snapshot(self, rows: DataFrame, metric: str, path: str, least: int) -> int:
+        """Write the vectors by cell, and the cells, below ``path``; 0 and nothing if there are fewer than ``least``."""
         many = rows.count()
-        if many < max(self.ann_threshold if not force else 1, 256):
+        if many < max(least, 256):
+            return 0
+        centres = V.fit_cells(rows, metric, many)
+        top = f"{self.base_path}/{path}"
+        celled = V.with_cells(rows.select("target", "namespace", "target_id", "embedding", "__folder"), centres, metric)
+        celled.repartition("cell").write.partitionBy("cell").parquet(f"{top}/vectors")
+        far = {r["cell"]: r["far"] for r in self.spark.read.parquet(f"{top}/vectors").groupBy("cell").agg(F.max("far").alias("far")).collect()}
+        cells = [(i, [float(x) for x in c], float(far.get(i, 0.0))) for i, c in enumerate(centres)]
+        self.spark.createDataFrame(cells, "cell int, centre array<double>, radius double").coalesce(1).write.parquet(f"{top}/cells")
+        return many
+
+    def _build(self, name: str, force: bool = False) -> None:
+        index = self._index(name)
+        path = f"index/{name}/{uuid.uuid4().hex}"
+        index["tried"] = self._vector_rows()
+        many = self._snapshot(self._located_vectors(), index["metric"], path, 1 if force else self.ann_threshold)
+        if many:
+            index.update(snapshot=path, rows=many, sources=self._sources(), generation=index["generation"] + 1)
+
+    def _vector_rows(self) -> int:
+        """Rows of the folders that may hold vectors, by the manifest."""
+        return sum(sum(self.catalog.entry(t).get("rows", {}).values()) for t in self._sources())
+
+    def _drift(self, index: dict) -> int:
+        """Rows of folders that came after the snapshot, and those of folders that are gone, at most as many as it has."""
+        now = self._sources()
+        rows = {p: n for t in now for p, n in self.catalog.entry(t).get("rows", {}).items()}
+        known = {p for paths in index["sources"].values() for p in paths}
+        later = sum(rows.get(p, 0) for paths in now.values() for p in paths if p not in known)
+        kept = sum(rows.get(p, 0) for paths in now.values() for p in paths if p in known)
+        return later + max(0, index["rows"] - kept)
+
+    def _maintain(self) -> None:
+        """Start the refresh of indexes that have drifted by the threshold, or that grew beyond it, in the background.
+
+        One worker builds a snapshot of the version at hand while statements go on. A paused or dropped index isn't maintained.
+        """
+        if self.catalog.in_transaction:
             return
-        centres = V.fit_cells(rows, index["metric"])
-        index["generation"] += 1
-        path = f"index/{name}/{index['generation']:06d}"
-        celled = rows.select("target", "namespace", "target_id", "embedding", V.nearest_cell(F.col("embedding"), centres, index["metric"]).alias("cell"))
-        celled.repartition("cell").write.partitionBy("cell").parquet(f"{self.base_path}/{path}")
-        radii = V.cell_radii(self.spark.read.parquet(f"{self.base_path}/{path}"), centres, index["metric"])
-        index.update(snapshot=path, rows=many, centres=centres, radii=radii)
+        for name, index in self.catalog.committed["indexes"].items():
+            running = self._refreshing.get(name)
+            if not index["enabled"] or index["paused"] or running and not running.done():
+                continue
+            due = self._drift(index) if index["snapshot"] else self._vector_rows() - index.get("tried", 0)
+            if due >= max(self.ann_threshold, 256):
+                job = (self._located_vectors(), index["metric"], f"index/{name}/{uuid.uuid4().hex}", self._sources(), index["generation"], self._vector_rows())
+                self._refreshing[name] = self._pool.submit(self._refresh, name, *job)
+
+    def _refresh(self, name: str, rows: DataFrame, metric: str, path: str, sources: dict, generation: int, tried: int) -> bool:
+        """Build a snapshot and make it the index's, unless the index was rebuilt, paused or dropped meanwhile."""
+        many = self._snapshot(rows, metric, path, self.ann_threshold)
+        with self._lock:
+            index = self.catalog.committed["indexes"].get(name)
+            if index and index["enabled"] and not index["paused"] and index["generation"] == generation:
+                change = {"tried": tried} | ({"snapshot": path, "rows": many, "sources": sources, "generation": generation + 1} if many else {})
+                self.catalog.atomically(lambda: self._index(name).update(change))
+                if many:
+                    return True
+        self.catalog.files.delete(path)
+        return False
 
     def build_vector_index(self, name: str) -> dict:
         """Build the snapshot if there is none."""
@@ -797,7 +924,12 @@ class Engine:
         return self._flag(name, paused=False)
 
     def drop_vector_index(self, name: str) -> dict:
-        return self._flag(name, enabled=False, snapshot=None, rows=0, centres=[])
+        """Search is exact from now on; the snapshot's folder is removed, at the latest by ``vacuum``."""
+        path = self._index(name)["snapshot"]
+        out = self._flag(name, enabled=False, snapshot=None, rows=0, sources={})
+        if path and not self.catalog.in_transaction:
+            self.catalog.files.delete(path)
+        return out
 
     @contextlib.contextmanager
     def deferred_vector_index_maintenance(self, name: str):
@@ -810,8 +942,15 @@ class Engine:
         self.refresh_vector_index(name)
 
     def await_vector_index_refresh(self, name: str, timeout: float | None = None) -> bool:
-        """Snapshots are built by the statement that asks for them, so that none is ever under way."""
+        """Wait for a refresh in the background; False if it hasn't ended in time. A transaction doesn't wait, since the refresh ends after it."""
         self._index(name)
+        running = self._refreshing.get(name)
+        if running is None:
+            return True
+        try:
+            running.result(0 if self.catalog.in_transaction else timeout)
+        except concurrent.futures.TimeoutError:
+            return False
         return True
 
     def inspect_vector_index(self, name: str) -> dict:
@@ -820,12 +959,13 @@ class Engine:
         delta = gone = 0
         if index["snapshot"]:
             keys = ["target", "namespace", "target_id"]
-            snap = self.spark.read.parquet(f"{self.base_path}/{index['snapshot']}")
+            snap = self.spark.read.parquet(f"{self.base_path}/{index['snapshot']}/vectors")
             marked = keys + ["h"]
             a, b = rows.select(*keys, F.hash("embedding").alias("h")), snap.select(*keys, F.hash("embedding").alias("h"))
             delta, gone = a.join(b, marked, "left_anti").count(), b.join(a, marked, "left_anti").count()
-        state = "disabled" if not index["enabled"] else "ready" if index["snapshot"] else "exact_only"
-        values = (name, index["metric"], index["enabled"], state, total, total - delta if index["snapshot"] else 0, index["rows"], delta, gone, self.ann_threshold, False, index["snapshot"], index["generation"], index["paused"])
+        running = name in self._refreshing and not self._refreshing[name].done()
+        state = "disabled" if not index["enabled"] else "refreshing" if running else "ready" if index["snapshot"] else "exact_only"
+        values = (name, index["metric"], index["enabled"], state, total, total - delta if index["snapshot"] else 0, index["rows"], delta, gone, self.ann_threshold, running, index["snapshot"], index["generation"], index["paused"])
         return dict(zip(INDEX_COLUMNS, values, strict=True))
 
     def vector_indexes(self) -> DataFrame:
@@ -873,16 +1013,18 @@ class Engine:
 
         def change() -> int:
             own = rows.select(csvfiles.as_number(F.col(f"`{id_column}`"), "bigint", id_column).alias("id") if id_column else F.lit(None).cast("bigint").alias("id"), F.lit(label).alias("label"), made.alias("props"))
-            staged = self.catalog.stage("__nodes", own)
+            cat = self.catalog
+            staged = cat.stage("__nodes", own)
             new = staged.frame
             if not id_column:
                 many = new.count()
-                staged = with_dense_ids(new.drop("id"), "id", self.catalog.next_ids("node", many))
-            else:
-                if new.groupBy("id").count().filter("count > 1").limit(1).count() or new.join(self.catalog.frame("__nodes"), "id", "left_semi").limit(1).count():
-                    raise ValueError("a node id occurs twice")
-                self.catalog.used_id("node", new.agg(F.max("id")).first()[0])
-            return self.catalog.append("__nodes", staged)
+                return cat.append("__nodes", with_dense_ids(new.drop("id"), "id", cat.next_ids("node", many)))
+            many, most, distinct = new.agg(F.count("*"), F.max("id"), F.count_distinct("id")).first()
+            known = bool(cat.entry("__nodes")["paths"])
+            if distinct < many or known and new.join(cat.frame("__nodes"), "id", "left_semi").limit(1).count():
+                raise ValueError("a node id occurs twice")
+            cat.used_id("node", most)
+            return cat.append("__nodes", staged, Measured(many, None, {}))
 
         return self._atomically(change)
 
@@ -904,15 +1046,20 @@ class Engine:
             new = staged.frame
             many = new.count()
             self.catalog.used_id("edge", first + many - 1 if many else None)
-            ids = self.catalog.frame("__nodes").select("id")
-            for end in ("src", "dst"):
-                if new.join(ids, new[end] == ids["id"], "left_anti").limit(1).count():
-                    raise ValueError("an edge's end doesn't exist")
-            return self.catalog.append("__edges", staged)
+            named = new.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+            if named.join(self.catalog.frame("__nodes").select("id"), "id", "left_anti").limit(1).count():
+                raise ValueError("an edge's end doesn't exist")
+            return self.catalog.append("__edges", staged, Measured(many, None, {}))
 
         return self._atomically(change)
 
 
+def _node_vectors(nodes: DataFrame) -> DataFrame:
+    """Nodes that have a vector property, with it as embedding."""
+    held = nodes.withColumn("v", F.map_values(F.map_filter("props", lambda k, v: v["t"] == "vector"))).filter(F.size("v") > 0)
+    return held.withColumn("embedding", F.col("v")[0]["v"])
+
+
 _COMPLEX = object()
 
 

@@ -2,7 +2,9 @@
 
 A statement writes new folders and then one new manifest; the manifest is created under the next number and
 never overwritten, so that a commit is atomic and a second writer fails instead of losing rows. Appends add
-a folder; updates and deletes write a new version. Inside a transaction only the staged manifest changes.
+a folder; updates and deletes write those folders anew that have a row to change, and only constraints on
+changed columns are checked again. Inside a transaction only the staged manifest changes. Folders that no
+manifest needs any more are removed by ``vacuum``.
 All access goes through Spark's file systems, so that the base path may be in any store that Spark reads.
 """
 
@@ -49,6 +51,10 @@ class Files:
         finally:
             stream.close()
 
+    def delete(self, name: str) -> bool:
+        """Remove a file or a folder with all that is in it."""
+        return self.fs.delete(self._path(name), True)
+
     def create(self, name: str, text: str) -> None:
         """Write a new file; fails if there is one."""
         stream = self.fs.create(self._path(name), False)
@@ -65,6 +71,14 @@ class Staged(NamedTuple):
     frame: DataFrame
 
 
+class Measured(NamedTuple):
+    """Of new rows: their number, the largest key, and the nulls of columns that need a value."""
+
+    count: int
+    most: object
+    nulls: dict[str, int]
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -79,7 +93,7 @@ class Catalog:
 
     @staticmethod
     def _new(schema: dict, **more) -> dict:
-        return {"schema": schema, "paths": [], "key": None, "not_null": [], "unique": []} | more
+        return {"schema": schema, "paths": [], "rows": {}, "key": None, "not_null": [], "unique": []} | more
 
     @property
     def state(self) -> dict:
@@ -141,12 +155,26 @@ class Catalog:
             raise ValueError(f"table {table!r} already exists")
         self.state["tables"][table] = self._new(json.loads(schema.json()), key=key, not_null=list(not_null), unique=[list(u) for u in unique])
 
-    def frame(self, table: str) -> DataFrame:
+    def frame(self, table: str, paths: list[str] | None = None) -> DataFrame:
+        """The table, or those of its folders."""
         entry = self.entry(table)
         schema = StructType.fromJson(entry["schema"])
-        if not entry["paths"]:
+        chosen = entry["paths"] if paths is None else paths
+        if not chosen:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.base}/{p}" for p in entry["paths"]))
+        return self.spark.read.schema(schema).parquet(*(f"{self.base}/{p}" for p in chosen))
+
+    def located(self, table: str, paths: list[str] | None = None) -> DataFrame:
+        """The table with the folder of each row as ``__folder``."""
+        rows = self.frame(table, paths)
+        if not (self.entry(table)["paths"] if paths is None else paths):
+            return rows.withColumn("__folder", F.lit(""))
+        return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("__folder"))
+
+    def folders(self, table: str, found: DataFrame) -> dict[str, int]:
+        """Paths of the folders of the rows ``found`` (__folder), with the number of these rows. One job."""
+        by = {r["__folder"]: r["n"] for r in found.groupBy("__folder").agg(F.count("*").alias("n")).collect()}
+        return {p: by[name] for p in self.entry(table)["paths"] if (name := p.rpartition("/")[2]) in by}
 
     def _write(self, table: str, rows: DataFrame) -> str:
         schema = self.schema(table)
@@ -157,36 +185,71 @@ class Catalog:
     def stage(self, table: str, rows: DataFrame) -> Staged:
         """Rows of the table's schema, written once and read again, so that checks and the version see the same rows."""
         path = self._write(table, rows)
-        return Staged(path, self.spark.read.schema(self.schema(table)).parquet(f"{self.base}/{path}"))
+        return Staged(path, self.frame(table, [path]))
+
+    def measure(self, table: str, new: DataFrame) -> Measured:
+        """Number of rows, nulls of the columns that need a value, and the largest key, in one job."""
+        entry = self.entry(table)
+        needed = [*entry["not_null"], *([entry["key"]] if entry["key"] else [])]
+        most = F.max(f"`{entry['key']}`") if entry["key"] else F.lit(None)
+        row = new.agg(F.count("*").alias("n"), most.alias("most"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{i}") for i, c in enumerate(needed))).first()
+        return Measured(row["n"], row["most"], {c: row[f"null_{i}"] for i, c in enumerate(needed)})
 
-    def append(self, table: str, rows: DataFrame | Staged) -> int:
+    def append(self, table: str, rows: DataFrame | Staged, measured: Measured | None = None) -> int:
         """Add rows after checking the table's constraints; returns their number. Staged rows aren't written again."""
         path, new = rows if isinstance(rows, Staged) else self.stage(table, rows)
-        self.check(table, new, self.frame(table))
-        self.entry(table)["paths"].append(path)
-        return new.count()
-
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """A new version of the table."""
-        path = self._write(table, rows)
-        new = self.spark.read.schema(self.schema(table)).parquet(f"{self.base}/{path}")
-        self.check(table, new, None)
-        self.entry(table)["paths"] = [path]
+        measured = measured or self.measure(table, new)
+        self.check(table, new, measured, self.entry(table)["paths"])
+        entry = self.entry(table)
+        entry["paths"].append(path)
+        entry.setdefault("rows", {})[path] = measured.count
+        return measured.count
 
-    def check(self, table: str, new: DataFrame, old: DataFrame | None) -> None:
+    def replace(self, table: str, rows: DataFrame, paths: list[str], many: int, columns: set[str] = frozenset()) -> None:
+        """Put rows in place of the folders ``paths``; ``columns`` are those whose values changed, ``many`` is by how many rows the folders shrink."""
         entry = self.entry(table)
-        needed = [*entry["not_null"], *([entry["key"]] if entry["key"] else [])]
-        if needed:
-            empty = new.filter(" OR ".join(f"`{c}` IS NULL" for c in needed)).limit(1).count()
-            if empty:
-                raise ValueError(f"{table}: a column that must not be null is null ({', '.join(needed)})")
+        path, new = self.stage(table, rows)
+        others = [p for p in entry["paths"] if p not in paths]
+        self.check(table, new, None, others, columns)
+        counts = entry.setdefault("rows", {})
+        total = sum(counts.pop(p, 0) for p in paths) - many
+        entry["paths"] = [*others, path]
+        counts[path] = max(0, total)
+
+    def check(self, table: str, new: DataFrame, measured: Measured | None, others: list[str], columns: set[str] | None = None) -> None:
+        """The table's constraints for new rows beside those of the folders ``others``; only those on ``columns``, where given."""
+        entry = self.entry(table)
+        concerned = lambda cols: columns is None or not columns.isdisjoint(cols)
+        needed = [c for c in [*entry["not_null"], *([entry["key"]] if entry["key"] else [])] if concerned([c])]
+        if needed and any((measured or self.measure(table, new)).nulls[c] for c in needed):
+            raise ValueError(f"{table}: a column that must not be null is null ({', '.join(needed)})")
         for cols in [*([[entry["key"]]] if entry["key"] else []), *entry["unique"]]:
+            if not concerned(cols):
+                continue
             own = new.select(*cols).dropna()
             if own.groupBy(*cols).count().filter("count > 1").limit(1).count():
                 raise ValueError(f"{table}: repeated value of unique {', '.join(cols)}")
-            if old is not None and entry["paths"] and own.join(old.select(*cols), cols, "left_semi").limit(1).count():
+            if others and own.join(self.frame(table, others).select(*cols), cols, "left_semi").limit(1).count():
                 raise ValueError(f"{table}: a value of unique {', '.join(cols)} exists already")
 
+    def vacuum(self, versions: int = 1) -> int:
+        """Remove the folders that none of the last ``versions`` manifests names, and older manifests; returns how many folders went."""
+        if self.in_transaction:
+            raise RuntimeError("a transaction is active")
+        names = [n for n in self.files.names("manifest") if n.endswith(".json")]
+        states = [json.loads(self.files.read("manifest/" + n)) for n in names[-max(1, versions) :]] + [self.committed]
+        used = {p for s in states for e in s["tables"].values() for p in e["paths"]}
+        used |= {i["snapshot"] for s in states for i in s["indexes"].values() if i.get("snapshot")}
+        gone = 0
+        for top in ("data", "index"):
+            for group in self.files.names(top):
+                for name in self.files.names(f"{top}/{group}"):
+                    if f"{top}/{group}/{name}" not in used:
+                        gone += self.files.delete(f"{top}/{group}/{name}")
+        for n in names[: -max(1, versions)]:
+            self.files.delete("manifest/" + n)
+        return gone
+
     def next_ids(self, sequence: str, many: int, at_least: int = 0) -> int:
         """Reserve ``many`` dense ids, never used before, and return the first."""
         first = max(self.state["sequences"].get(sequence, 1), at_least + 1)

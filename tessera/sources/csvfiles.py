@@ -1,7 +1,8 @@
 """CSV ingest: all fields are read as text, checked, and then converted by Spark.
 
 Blank rows are skipped; a row with too many or too few fields, a missing column or a bad value raises before
-anything is published; empty strings stay empty strings.
+anything is published; empty strings stay empty strings. Files are read in splits, but for those in which a
+quoted field holds a line end: these are read whole, a task for each file.
 """
 
 from __future__ import annotations
@@ -19,6 +20,12 @@ _BAD = "__malformed"
 _NEVER = "\u0001\u0002never\u0002\u0001"
 
 
+def has_open_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a line leaves a quote open, so that a field goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.option("encoding", encoding).text(path).filter(quotes % 2 == 1).limit(1).count())
+
+
 def _first_line(spark: SparkSession, path: str, encoding: str) -> str:
     rows = spark.read.option("encoding", encoding).text(path).filter(F.length(F.trim("value")) > 0).limit(1).collect()
     return rows[0][0] if rows else ""
@@ -51,7 +58,7 @@ def read_text_columns(spark: SparkSession, path: str, columns: list[str] | None,
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", has_open_quotes(spark, path, encoding))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _BAD)
         .option("enforceSchema", True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,6 +11,13 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="tessera-")).as_uri()
+    """A new folder below spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder; on a cluster that is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = Path(tempfile.mkdtemp(prefix="tessera-")).as_uri()
     return f"{shared.rstrip('/')}/stores/{uuid.uuid4().hex}"
