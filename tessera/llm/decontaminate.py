@@ -38,7 +38,7 @@ from .common import keep, whole
 
 WIDTH = 5
 RADIUS = 20
-#: Shingles of items that are broadcast at most (about 40 bytes each); beyond it the lookup is a shuffled join.
+#: Rows that are broadcast at most: shingles of items, and ids of documents with a find (about 50 bytes each). Beyond it the join is shuffled, with the same result.
 BROADCAST_ROWS = 500_000
 
 
@@ -117,7 +117,11 @@ def windows_of(docs: DataFrame, shingles: DataFrame, threshold: float) -> DataFr
     found = keep(found.groupBy("k", "c").agg(F.collect_set("tid").alias("tids")).withColumnsRenamed({"k": "fk", "c": "fc"}))
     # Only the texts of documents with a find are needed again.
     same = F.col("k").eqNullSafe(F.col("fk")) & (F.col("c") == F.col("fc"))
-    touched = keep(docs.join(found, same).dropDuplicates(["k", "c"]).select("k", "c", "tids", shingled("t").alias("grams")))
+    names = found.select("fk", "fc")
+    if found.count() <= BROADCAST_ROWS:
+        names = F.broadcast(names)
+    touched = docs.join(names, same, "left_semi").dropDuplicates(["k", "c"]).join(found, same)
+    touched = keep(touched.select("k", "c", "tids", shingled("t").alias("grams")))
     size = F.greatest(F.col("n") - (WIDTH - 1), F.lit(1))
     last = F.greatest(F.lit(0), F.col("many") - F.col("size"))
     hits = touched.select("k", "c", "tids", F.size("grams").alias("many"), F.posexplode("grams").alias("pos", "g"))
