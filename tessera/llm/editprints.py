@@ -7,9 +7,14 @@ outputs have a small Hamming distance. The fingerprint samples the output: ``SAM
 of steps, the same for every text, each place as a byte drawn from the last four characters written. The
 share of equal samples, weighted by the steps that they stand for, estimates the likeness of two texts.
 
+Two fingerprints are linked if they share a band of samples and their likeness, compared over all samples,
+reaches the threshold. The query links each document with its edited text and with the next document;
+``near_links`` finds the links of a whole table through the bands.
+
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, alike (1.0) only to
-itself; equal texts have equal fingerprints; a null id stands after all others; rows with one id stand in
-the order of their texts. Texts are walked whole. Other columns aren't read.
+itself; equal texts have equal fingerprints; ids are of any type that can be ordered; a null id stands after
+all others; rows with one id stand in the order of a hash of their texts. Texts are walked whole. Other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,6 +32,12 @@ from .near_dups import components
 
 #: Sampled places of each octave of steps.
 SAMPLES = 64
+#: Samples that are no part of a band, because every text of one language begins alike, and samples of a band.
+SKIP, WIDTH = 64, 4
+#: Likeness from which on texts that share a band are linked.
+THRESHOLD = 0.8
+#: Documents of a range, and ranges at most: ranges grow beyond PART_ROWS where there would be more.
+PART_ROWS, MOST_PARTS = 5_000, 20_000
 #: Characters that are walked at a time, which bounds what a worker holds.
 CHUNK = 12 << 20
 PAD = 0xFFFFFFFF
@@ -95,6 +106,19 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(both > 0, same / np.where(both > 0, both, 1), 1.0)
 
 
+def share_band(a: np.ndarray, b: np.ndarray, skip: int = SKIP, width: int = WIDTH) -> np.ndarray:
+    """Whether two rows of samples share one of the bands that ``bands`` gives them."""
+    n = a.shape[1]
+    used = [(x > 0).sum(1) for x in (a, b)]
+    small = np.minimum(*used) < skip + width
+    out = small & (used[0] == used[1]) & (a == b).all(1)
+    if n >= skip + width:
+        last = skip + (n - skip) // width * width
+        same = ((a == b) & (a > 0))[:, skip:last].reshape(len(a), -1, width).all(2).any(1)
+        out |= ~small & same
+    return out
+
+
 def as_text(row: np.ndarray) -> str:
     """A fingerprint as text: its samples up to the last, in base 64."""
     used = np.flatnonzero(row)
@@ -135,7 +159,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep_columns: tuple[str, .
     return base.mapInArrow(run, f"{fields}, fingerprint string")
 
 
-def bands(prints: DataFrame, skip: int = 64, width: int = 4, fingerprint: str = "fingerprint") -> DataFrame:
+def bands(prints: DataFrame, skip: int = SKIP, width: int = WIDTH, fingerprint: str = "fingerprint") -> DataFrame:
     """Bit-sampled banding: one row for each run of ``width`` samples, with its place, as ``band`` and ``band_key``.
 
     Texts of likeness s share a given band with a chance of about s to the power of ``width``. Bands begin
@@ -166,7 +190,7 @@ def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return keep(both.select("a", "b", "fa", "fb").mapInArrow(run, "a binary, b binary, s double, w double, h double"))
 
 
-def near_links(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
+def near_links(prints: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
     """Links (key, other, likeness): any two fingerprints that share a band and reach the threshold are connected by them.
 
     Equal fingerprints are linked with the smallest key among them, which alone is compared with others (a null
@@ -201,38 +225,64 @@ def near_links(prints: DataFrame, threshold: float = 0.8, key: str = "doc_id", f
     return named.unionByName(copies.select(F.col("k").alias(key), F.col("rep").alias("other"), F.lit(1.0).alias("likeness")))
 
 
-def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _place(cuts: list, rank, shape: str):
+    """The number of cuts (in order) below rank, a struct of that shape, looked up in two steps."""
+    cells = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    value = lambda c: F.struct(*map(F.lit, c)).cast(shape)
+    below = lambda held: F.size(F.filter(held, lambda x: x < rank))
+    if not cells:
+        return F.lit(0)
+    cell = F.greatest(below(F.array(*(value(c[0]) for c in cells))) - 1, F.lit(0))
+    return cell * 64 + below(F.get(F.array(*(F.array(*map(value, c)) for c in cells)), cell))
+
+
+def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """Rows (part, tail, k, t) dealt and sorted so that each row's next one in descending key follows it.
 
-    The keys are cut into ranges by their quantiles; one extra row (tail = 1) at the end of each range repeats
-    the first row of the range after it, and the last range is followed by the first.
+    The rows are cut into ranges of about the same number of characters by a sample of their ranks (id, then a
+    hash of the text, so that rows of one id can be cut too); one extra row (tail = 1) at the end of each range
+    repeats the first row of the range after it, and the last range is followed by the first.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(key).alias("k"), whole(text).alias("t"))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = base.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    part = F.coalesce(F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(cuts)))), lambda x: x < F.col("k"))) + 1, F.lit(0)) if cuts else F.lit(0)
-    base = base.withColumn("part", F.when(F.col("k").isNull(), 0).otherwise(part))
+    kind = base.schema["k"].dataType
+    h = F.xxhash64("t")
+    known = F.struct(F.col("k").isNotNull().alias("x"), F.col("k").alias("k"), h.alias("h"))
+    many = base.count()
+    parts = max(1, min(MOST_PARTS, -(-many // part_rows)))
+    asked = max(20 * parts, 10_000)
+    few = base if many <= asked else base.sample(asked / many, 11)
+    # A bounded sample of ranks; it decides only where ranges end.
+    rows = few.select(F.col("k").isNotNull().alias("x"), "k", h.alias("h"), F.length("t").alias("n")).orderBy("x", "k", "h").collect() if parts > 1 else []
+    total, seen, cuts = sum(r["n"] + 100 for r in rows), 0, []
+    for r in rows:
+        seen += r["n"] + 100
+        if seen * parts >= total * (len(cuts) + 1) and len(cuts) < parts - 1:
+            cuts.append((r["x"], r["k"], r["h"]))
+    cuts = sorted(set(cuts), key=lambda c: (c[0], c[1] if c[0] else 0, c[2]))
+    shape = f"struct<x:boolean,k:{kind.simpleString()},h:bigint>"
+    typed = known.cast(shape)
+    place = _place(cuts, typed, shape)
+    if not cuts and many == 0:
+        return base.select(F.lit(0).alias("part"), F.lit(0).alias("tail"), "k", "t")
+    base = base.withColumn("rank", typed).withColumn("part", place)
     # One row for each range.
-    heads = {r["part"]: r["k"] for r in base.groupBy("part").agg(F.max("k").alias("k")).collect()}
+    heads = {r["part"]: r["rank"] for r in base.groupBy("part").agg(F.max("rank").alias("rank")).collect()}
     order = sorted(heads, reverse=True)
-    before = dict(zip(order, [order[-1], *order[:-1]], strict=True)) if order else {}
-    if not order:
-        return base.select("part", F.lit(0).alias("tail"), "k", "t")
-    to = F.element_at(F.create_map(*(F.lit(x) for p in order for x in (p, before[p]))), F.col("part"))
-    first = F.element_at(F.create_map(*(F.lit(x) for p in order for x in (p, heads[p]))), F.col("part"))
+    before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
+    to = F.get(F.array(*(F.lit(before.get(p, -1)) for p in range(max(order) + 1))), F.col("part"))
+    ranks = F.array(*((F.struct(*(F.lit(x) for x in heads[p])) if p in heads else F.struct(F.lit(None), F.lit(None), F.lit(None))).cast(shape) for p in range(max(order) + 1)))
     here = F.struct(F.col("part"), F.lit(0).alias("tail"))
-    dealt = base.select(F.explode(F.when(F.col("k").eqNullSafe(first), F.array(here, F.struct(to.alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(here))).alias("p"), "k", "t")
-    dealt = dealt.select("p.part", "p.tail", "k", "t").repartition(parts, "part")
-    return dealt.sortWithinPartitions("part", "tail", F.col("k").desc_nulls_last(), "t")
+    dealt = base.select(F.explode(F.when(F.col("rank").eqNullSafe(F.get(ranks, F.col("part"))), F.array(here, F.struct(to.alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(here))).alias("p"), "k", "t", "rank")
+    dealt = dealt.select("p.part", "p.tail", "k", "t", "rank").repartition(max(1, len(order)), "part")
+    return dealt.sortWithinPartitions("part", "tail", F.col("rank").desc()).select("part", "tail", "k", "t")
 
 
-def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row its fingerprint, that of its text edited with the next row's, and both likenesses."""
+def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, part_rows: int = PART_ROWS) -> DataFrame:
+    """For each row its fingerprint, that of its text edited with the next row's, both likenesses, and whether bands and likeness link them."""
     ship(docs.sparkSession)
-    base = beside_next(docs, key, text)
+    base = beside_next(docs, key, text, part_rows)
     kind = base.schema["k"].dataType.simpleString()
-    names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "linked_edited", "linked_next"]
 
     def compare(keys: list, texts: list[str], kind) -> pa.RecordBatch:
         """texts: one more than keys, each row's next one after it."""
@@ -240,6 +290,8 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
         changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
         s = samples([*texts, *changed])
         own, nxt, new = s[:n], s[1 : n + 1], s[n + 1 :]
+        near = [likeness(own, other) for other in (new, nxt)]
+        linked = [share_band(own, other) & (x >= threshold) for other, x in zip((new, nxt), near, strict=True)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(keys, kind),
@@ -247,8 +299,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
                 pa.array([as_text(r) for r in own], pa.string()),
                 pa.array([as_text(r) for r in new], pa.string()),
-                pa.array(likeness(own, new)),
-                pa.array(likeness(own, nxt)),
+                *map(pa.array, (*near, *linked)),
             ],
             names,
         )
@@ -276,7 +327,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 if not ended:
                     keys.append(k.as_py())
 
-    return base.mapInArrow(run, f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return base.mapInArrow(run, f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, linked_edited boolean, linked_next boolean")
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -392,9 +392,8 @@ def test_hamming_blocks_meet(spark):
 def test_fingerprints(spark):
     texts = [None, "", "a", "hello world " * 50, "é🙂" * 300, "hello world " * 50, "z" * 90_000, "hello brave world " * 40]
     rows = sorted(docs_of(spark, texts, [5, 3, 9, 1, 7, 2, 4, 8]).select("doc_id", "text").collect(), key=lambda r: -r.doc_id)
-    for parts in ("2", "7"):
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = {r.doc_id: r for r in editprints.compare_with_next(docs_of(spark, texts, [5, 3, 9, 1, 7, 2, 4, 8])).collect()}
+    for part_rows in (100, 3, 1):
+        got = {r.doc_id: r for r in editprints.compare_with_next(docs_of(spark, texts, [5, 3, 9, 1, 7, 2, 4, 8]), part_rows=part_rows).collect()}
         for i, r in enumerate(rows):
             own, nxt = r.text or "", rows[(i + 1) % len(rows)].text or ""
             half = len(own) // 2
@@ -403,12 +402,73 @@ def test_fingerprints(spark):
             assert got[r.doc_id].edited_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[r.doc_id].n_chars == len(own)
             assert got[r.doc_id].fingerprint == editprints.as_text(s[0]) and got[r.doc_id].edited_fingerprint == editprints.as_text(s[1])
             assert got[r.doc_id].near_edited == pytest.approx(editprints.likeness(s[:1], s[1:2])[0]) and got[r.doc_id].near_next == pytest.approx(editprints.likeness(s[:1], s[2:3])[0])
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+            assert got[r.doc_id].linked_edited == bool(editprints.share_band(s[:1], s[1:2])[0] and got[r.doc_id].near_edited >= 0.8)
     assert got[1].fingerprint == got[2].fingerprint and got[3].fingerprint == ""
     assert editprints.compare_with_next(docs_of(spark, texts).limit(0)).count() == 0
     one = editprints.compare_with_next(docs_of(spark, ["abcdef"])).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and one.near_next == 1.0
-    assert len(editprints.compare_with_next(docs_of(spark, ["ab", "cd", "ef"], [None, 4, 4])).collect()) == 3
+    assert len(editprints.compare_with_next(docs_of(spark, ["ab", "cd", "ef"], [None, 4, 4]), part_rows=1).collect()) == 3
+
+
+def test_next_of_any_ids_is_that_of_the_order(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, "a", "b", "b", "c", f"id{i}"]), " ".join(words(rng, rng.randrange(1, 30)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("rank", F.lit("clash"))
+    order = [r.text for r in docs.orderBy(F.struct(F.col("doc_id").isNotNull(), "doc_id", F.xxhash64("text")).desc()).collect()]
+    following = {t: order[(i + 1) % len(order)] for i, t in enumerate(order)}
+    for part_rows in (1, 7, 1000):
+        got = editprints.compare_with_next(docs, part_rows=part_rows).collect()
+        want = sorted(hashlib.sha256(editprints.edited(t, following[t]).encode()).hexdigest() for t in order)
+        assert sorted(r.edited_sha256 for r in got) == want
+
+
+def test_bands_and_their_sharing_agree(spark):
+    rng = random.Random(13)
+    base = " ".join(words(rng, 60))
+    texts = ["", "x", "xy", base[:30], base[:31], base, base + "!", base[:200] + "?" + base[200:], " ".join(words(rng, 60)), base[::-1]]
+    prints = editprints.fingerprints(docs_of(spark, texts))
+    keys: dict = {}
+    for r in editprints.bands(prints).collect():
+        keys.setdefault(r.doc_id, set()).add((r.band, r.band_key))
+    s = editprints.samples(texts)
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert bool(keys[i] & keys[j]) == bool(editprints.share_band(s[i : i + 1], s[j : j + 1])[0]), (i, j)
+
+
+def test_links_of_a_table_are_those_of_brute_force(spark):
+    """Recall and precision of the banded links against all pairs, as connected classes."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(14)
+    near = []
+    for i, t in rows[:60]:
+        if len(t) > 300:
+            at = rng.randrange(len(t) // 2, len(t) - 10)
+            near.append((10_000 + i, t[:at] + " some words " + t[at + rng.randrange(12) :]))
+    rows += near
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = editprints.samples([t for _, t in rows])
+    want = set()
+    for a in range(len(rows)):
+        x = editprints.likeness(np.repeat(s[a : a + 1], len(rows), 0), s)
+        want |= {tuple(sorted((rows[a][0], rows[b][0]))) for b in np.flatnonzero(x >= 0.8).tolist() if b != a}
+    got = {tuple(sorted((r.doc_id, r.other))) for r in editprints.near_links(editprints.fingerprints(docs)).collect()}
+
+    def classes(links):
+        root = {i: i for i, _ in rows}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in links:
+            root[find(a)] = find(b)
+        return {i: find(i) for i in root}
+
+    assert got <= want and len(near) > 30
+    mine = classes(got)
+    assert sum(mine[a] == mine[b] for a, b in want) >= 0.95 * len(want)
 
 
 def naive_walk(text):
