@@ -3,8 +3,7 @@
 ``Normaliser`` walks the text through the model's compiled character map, always by the longest prefix,
 and records for each normalised byte the source bytes that it came from. The library segments the text;
 every piece's place in the normalised text is then projected to a span of bytes of the original text. A model
-without a map is normalised by its rules for spaces alone. Words that come again are neither segmented nor
-aligned again.
+without a map is normalised by its rules for spaces alone.
 
 Defined results: a null text counts as empty; an empty text has no pieces; repeated rows give repeated
 results; other columns are not read, so that their names can't clash. Texts are encoded whole at any length.
@@ -68,18 +67,16 @@ class Normaliser:
         self.map = CharacterMap(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
 
-    def normalise(self, text: str, inner: bool = False) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """``inner``: the text goes on from another, so that no prefix is put before it."""
+    def normalise(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
         data = text.encode()
-        prefix = self.prefix and not inner
         space = SPACE if self.escape else b" "
         if not data:
             return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
         if self.map is None and not self.squeeze:
             b = np.frombuffer(data, np.uint8)
-            begin = np.repeat(np.arange(len(b)), np.where(b == 32, len(space), 1))
-            pad = np.zeros(len(space) * prefix, np.int64)
-            return space * prefix + data.replace(b" ", space), np.concatenate((pad, begin)), np.concatenate((pad, begin + 1))
+            begin = np.repeat(np.arange(len(b), dtype=np.int32), np.where(b == 32, len(space), 1))
+            pad = np.zeros(len(space) * self.prefix, np.int32)
+            return space * self.prefix + data.replace(b" ", space), np.concatenate((pad, begin)), np.concatenate((pad, begin + 1))
         out, begin, end = bytearray(), [], []
         parts = list(self._parts(data))
         if self.squeeze:
@@ -87,7 +84,7 @@ class Normaliser:
                 parts.pop(0)
         if not parts:
             return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if prefix:
+        if self.prefix:
             out += space
             begin += [parts[0][0]] * len(space)
             end += [parts[0][0]] * len(space)
@@ -144,8 +141,7 @@ class Encoder:
         plain = self.normaliser.map is None and spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces
         self.by_word = bool(plain and apart and model.trainer_spec.model_type == pb.TrainerSpec.BPE and model.trainer_spec.byte_fallback and not model.trainer_spec.treat_whitespace_as_suffix)
         self.mark = self.sp.piece_to_id(mark)
-        # Of each known word the ids and the spans in it as 32-bit numbers, so that those of a text are one join, how many, and its bytes.
-        self.words: dict[str, tuple[bytes, bytes, int, int]] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit numbers, so that those of a text are one join
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if not self.by_word:
@@ -158,24 +154,19 @@ class Encoder:
         if new:
             # The library puts a space before each word; the one that stands there is taken off first.
             for w, ids in zip(new, self.sp.encode([w[1:] for w in new], num_threads=1), strict=True):
-                ids = np.array(ids if len(w) > 1 else [self.mark], np.int32)
-                known[w] = (ids.tobytes(), np.stack(self._spans(ids, *self.normaliser.normalise(w, inner=True)), 1).tobytes(), len(ids), len(w.encode()))
+                known[w] = np.array(ids if len(w) > 1 else [self.mark], np.int32).tobytes()
         out = []
         for t, words in zip(texts, split, strict=True):
             if words is None:
                 out.append(self.encode(t))
                 continue
-            own, spans, counts, sizes = zip(*map(known.__getitem__, words), strict=True)
-            # The first word's space is the one that was put before the text.
-            shift = np.repeat(np.cumsum(np.array((-1, *sizes[:-1]), np.int32), dtype=np.int32), counts)
-            both = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2) + shift[:, None]
-            both[0] = np.maximum(both[0], 0)
-            out.append((np.frombuffer(b"".join(own), np.int32), both[:, 0], both[:, 1]))
+            ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+            out.append((ids, *self._spans(ids, *self.normaliser.normalise(t))))
         return out
 
-    def _spans(self, ids: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _spans(self, ids: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Begins and ends of the pieces by the alignment of the normalised bytes."""
-        sizes = self.sizes[ids]
+        sizes = self.sizes[ids] if sizes is None else sizes
         stop = np.cumsum(sizes)
         if stop[-1] != len(data):
             raise ValueError("the pieces do not cover the normalised text")
@@ -186,14 +177,10 @@ class Encoder:
         ids = np.array(self.sp.encode(text), np.int32)
         if not len(ids):
             return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        data, begin, end = self.normaliser.normalise(text)
         sizes = self.sizes[ids]
         if self.unknown and not self.unknown.isdisjoint(ids.tolist()):
             sizes = np.array([len(p.encode()) for p in self.sp.encode(text, out_type=str)], np.int64)
-        stop = np.cumsum(sizes)
-        if stop[-1] != len(data):
-            raise ValueError("the pieces do not cover the normalised text")
-        return ids, begin[stop - sizes].astype(np.int32), end[stop - 1].astype(np.int32)
+        return ids, *self._spans(ids, *self.normaliser.normalise(text), sizes)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
