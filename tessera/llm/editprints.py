@@ -236,6 +236,13 @@ def _place(cuts: list, rank, shape: str):
     return cell * 64 + below(F.get(F.array(*(F.array(*map(value, c)) for c in cells)), cell))
 
 
+def deal_keys(spark, parts: int) -> list[int]:
+    """For each of so many partitions a number that Spark's hash deals to it, so that no two ranges meet in one task."""
+    rows = spark.range(0, 16 * parts + 64, 1, 1).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"), F.col("id").alias("k"))
+    found = {r["p"]: r["k"] for r in rows.groupBy("p").agg(F.min("k").alias("k")).collect()}
+    return [found.get(p, p) for p in range(parts)]
+
+
 def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """Rows (part, tail, k, t) dealt and sorted so that each row's next one in descending key follows it.
 
@@ -273,7 +280,8 @@ def beside_next(docs: DataFrame, key: str = "doc_id", text: str = "text", part_r
     ranks = F.array(*((F.struct(*(F.lit(x) for x in heads[p])) if p in heads else F.struct(F.lit(None), F.lit(None), F.lit(None))).cast(shape) for p in range(max(order) + 1)))
     here = F.struct(F.col("part"), F.lit(0).alias("tail"))
     dealt = base.select(F.explode(F.when(F.col("rank").eqNullSafe(F.get(ranks, F.col("part"))), F.array(here, F.struct(to.alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(here))).alias("p"), "k", "t", "rank")
-    dealt = dealt.select("p.part", "p.tail", "k", "t", "rank").repartition(max(1, len(order)), "part")
+    deal = F.get(F.array(*map(F.lit, deal_keys(docs.sparkSession, max(order) + 1))), F.col("part")).cast("int").alias("deal")
+    dealt = dealt.select("p.part", "p.tail", "k", "t", "rank").select("*", deal).repartition(max(order) + 1, "deal")
     return dealt.sortWithinPartitions("part", "tail", F.col("rank").desc()).select("part", "tail", "k", "t")
 
 
