@@ -556,6 +556,46 @@ def test_pipeline(spark):
     assert all(list(out[i].ids) == sp.encode(left[3][i].text or "") for i in out)
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows, a long text, and columns whose names clash."""
+    import corpus_pipeline
+
+    from tessera.llm import toxicity
+
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    rng = random.Random(15)
+    long = " ".join(words(rng, 30_000))
+    rows = [(None, "some words of a text without an id", "en"), (1, "a text that stands here twice", None), (1, "a text that stands here twice", None), (1, "another text of the same id", "en"), (2, None, "en"), (3, "", None), (None, None, None), (4, long, "en"), (4, long + " end", "en")]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("near_k", "k", "c", "t", "label", "toxicity", "leak_k", "secret_clean", "sp_ids"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), r.n_tokens > 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == [("1", True), ("1", True), ("2", False), ("4", True), ("None", True)]
+    empty = tmp_path / "empty"
+    for t in ("labels", "benchmark", "documents"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(empty / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+    # The first stage keeps just those that the model scores below the bound.
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit_on_labels(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.reject_toxic(spark, table, SF).collect()}
+    assert kept == {r.doc_id for r in table.collect() if model.score(r.text or "") < corpus_pipeline.TOXIC}
+
+
+def test_kept_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from tessera.llm import common
+
+    kept = common.keep(spark.range(3))
+    folder = Path(common._tables(spark).removeprefix("file:"))
+    assert kept.count() == 3 and any(folder.iterdir())
+    common.drop_kept(spark)
+    assert not folder.exists()
+
+
 def test_pipeline_returns_spans_of_the_alignment(spark):
     import corpus_pipeline
     import public_tokenizers
