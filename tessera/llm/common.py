@@ -20,6 +20,10 @@ BATCH_ROWS = 1000
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: What Python workers start with, so that memory of large arrays goes back to the system once they are freed. Settings of the session's own stay.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers started from now on import this package from the repository, and get batches of bounded size.
 
@@ -29,6 +33,8 @@ def ship(spark: SparkSession) -> None:
     if spark.conf.get(_ROWS_SETTING) == "10000":
         spark.conf.set(_ROWS_SETTING, BATCH_ROWS)
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 

@@ -45,7 +45,7 @@ PART = 64
 _LACKS = np.uint64(1)
 #: What rounding may take from a similarity that is the threshold.
 EQUAL = 1e-9
-CHUNK = 1 << 21  # shingles that are counted at a time
+CHUNK = 1 << 20  # shingles that are counted at a time
 RUN = 1 << 16  # words that are hashed at a time
 _TABLE = 16  # bits of an entry of the tables of random numbers
 

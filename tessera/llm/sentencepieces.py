@@ -26,7 +26,7 @@ SPACE = "▁".encode()
 #: Texts of one output batch, which bounds what a worker holds.
 BATCH = 256
 #: Words whose pieces a worker remembers.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 _MARK = SPACE.decode()
 _WORD_AND_SPACES = re.compile(r" +[^ ]*")
 
