@@ -188,11 +188,15 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)))
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with sp_ids, sp_begins and sp_ends: the pieces of the whole text and their spans of UTF-8 bytes."""
+def encode(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The columns ``keep`` with sp_ids, sp_begins and sp_ends: the pieces of the whole text and their spans of UTF-8 bytes.
+
+    ``decoded``: with sp_decoded too, the library's decode(ids), made by the same worker that encodes.
+    """
     ship(docs.sparkSession)
     base = docs.select(*keep, whole(text).alias("sp_text"))
     n = len(keep)
+    names = [*keep, "sp_ids", "sp_begins", "sp_ends", *["sp_decoded"] * decoded]
 
     def run(batches):
         encoder = Encoder(model_path)
@@ -202,10 +206,12 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str
                 texts = part.column(n).to_pylist()
                 found = encoder.encode_batch(texts)
                 cols = [_lists([f[k] for f in found]) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], *cols], [*keep, "sp_ids", "sp_begins", "sp_ends"])
+                if decoded:
+                    cols.append(pa.array(encoder.sp.decode([f[0].tolist() for f in found], num_threads=1), pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *cols], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:n])
-    return base.mapInArrow(run, f"{fields}, sp_ids array<int>, sp_begins array<int>, sp_ends array<int>")
+    return base.mapInArrow(run, f"{fields}, sp_ids array<int>, sp_begins array<int>, sp_ends array<int>" + ", sp_decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "sp_ids") -> DataFrame:
@@ -231,15 +237,13 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "sp_ids") -> DataFram
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """The contract's columns for each document, derived from the encoded and the decoded rows."""
-    encoded = encode(docs, model_path)
-    slim = encoded.select("doc_id", "sp_ids", F.xxhash64("sp_begins", "sp_ends").alias("spans_hash"), F.coalesce(F.array_max("sp_ends"), F.lit(0)).cast("long").alias("span_bytes"))
-    return decode(slim, model_path).select(
+    return encode(docs, model_path, decoded=True).select(
         "doc_id",
         F.size("sp_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("sp_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("sp_decoded", 256).alias("decoded_sha256"),
-        "span_bytes",
-        "spans_hash",
+        F.coalesce(F.array_max("sp_ends"), F.lit(0)).cast("long").alias("span_bytes"),
+        F.xxhash64("sp_begins", "sp_ends").alias("spans_hash"),
     )
 
 

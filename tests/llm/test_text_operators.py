@@ -29,6 +29,9 @@ def test_pieces_match_the_library(spark):
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
     assert sentencepieces.digests(table(spark, TEXTS).limit(0), MODEL).count() == 0
+    both = sentencepieces.decode(sentencepieces.encode(table(spark, TEXTS), MODEL), MODEL)
+    once = sentencepieces.encode(table(spark, TEXTS), MODEL, decoded=True)
+    assert sorted(map(tuple, both.select("doc_id", "sp_ids", "sp_decoded").collect())) == sorted(map(tuple, once.select("doc_id", "sp_ids", "sp_decoded").collect()))
 
 
 @settings(max_examples=400, deadline=None)
