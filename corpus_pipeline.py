@@ -49,8 +49,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepieces.encode(docs.select(*COLUMNS), model, keep=("doc_id", "lang", "source"))
-    found = sentencepieces.decode(encoded, model)
+    found = sentencepieces.encode(docs.select(*COLUMNS), model, keep=("doc_id", "lang", "source"), decoded=True)
     return found.select("doc_id", "lang", "source", F.size("sp_ids").cast("long").alias("n_tokens"), F.col("sp_ids").alias("ids"), F.col("sp_begins").alias("begins"), F.col("sp_ends").alias("ends"), F.sha2("sp_decoded", 256).alias("decoded_sha256"))
 
 
